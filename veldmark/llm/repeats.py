@@ -151,7 +151,7 @@ def answers(sent: DataFrame, exact: bool) -> DataFrame:
         doc = np.repeat(np.arange(len(docs)), each)[flag]
         pos = pos[flag]
         cut = np.flatnonzero(np.diff(doc, prepend=-1))
-        ends = np.append(cut[1:], len(doc))
+        ends = np.append(cut[1:], len(doc))[: len(cut)]
         own = docs[doc[cut]]
         return pd.DataFrame({"k1": own[:, 0], "k2": own[:, 1], "pos": [pos[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
 
