@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
