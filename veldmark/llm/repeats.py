@@ -17,11 +17,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 U64, U32 = np.uint64, np.uint32
-SENT = "block int, hi binary, lo binary, pos binary, doc binary, each binary, mute_hi binary, mute_lo binary"
+SENT = "sender long, block int, hi binary, lo binary, pos binary, doc binary, each binary, mute_hi binary, mute_lo binary"
+REPLY = "sender long, pos binary, doc binary, each binary"
 ANSWER = "k1 long, k2 long, pos binary"
 #: Keys that a task gathers before it sends rows.
 FLUSH = 1 << 20
@@ -37,6 +39,8 @@ class Sender:
 
     def __init__(self, blocks: int, exact: bool):
         self.blocks, self.exact = blocks, exact
+        task = TaskContext.get()
+        self.name = (task.partitionId() if task else 0) << 32
         self.parts: list[tuple] = []
         self.n = 0
 
@@ -84,6 +88,7 @@ class Sender:
                 rows = []
         if rows:
             yield self._batch(rows)
+        self.name += 1
 
     @staticmethod
     def _docs(doc: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +97,9 @@ class Sender:
         own = doc[cut]
         return np.stack([k1[own], k2[own]], 1), np.diff(np.append(cut, len(doc))).astype(U32)
 
-    @staticmethod
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        names = ["block", "hi", "lo", "pos", "doc", "each", "mute_hi", "mute_lo"]
-        columns = [pa.array([r[0] for r in rows], pa.int32())]
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        names = ["sender", "block", "hi", "lo", "pos", "doc", "each", "mute_hi", "mute_lo"]
+        columns = [pa.array([self.name] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32())]
         columns += [pa.array([None if r[i] is None else r[i].tobytes() for r in rows], pa.binary()) for i in range(1, 8)]
         return pa.RecordBatch.from_arrays(columns, names)
 
@@ -132,17 +136,18 @@ def seen_twice(hi: np.ndarray, lo: np.ndarray, asked: int, exact: bool) -> np.nd
 
 
 def answers(sent: DataFrame, exact: bool) -> DataFrame:
-    """Per document and block, the positions whose keys occur at least twice."""
+    """Per document, the positions whose keys occur at least twice. Blocks answer senders, one row for each that they got, and a sender's answers are then parted by document: rows grow with the documents, not with documents times blocks."""
     key_type = U64 if exact else U32
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def count(group: pd.DataFrame) -> pd.DataFrame:
         def joined(name, kind):
             return np.frombuffer(b"".join(x for x in group[name] if x is not None), kind)
 
         hi, pos, docs, each = joined("hi", key_type), joined("pos", U32), joined("doc", np.int64).reshape(-1, 2), joined("each", U32)
         lo, mute_lo = (joined("lo", U32), joined("mute_lo", U32)) if exact else (None, None)
         mute = joined("mute_hi", key_type)
-        asks = np.repeat(group["hi"].map(len).to_numpy() > 0, group["pos"].map(len).to_numpy() // 4)
+        entries = group["pos"].map(len).to_numpy() // 4
+        asks = np.repeat(group["hi"].map(len).to_numpy() > 0, entries)
         flag = np.ones(len(pos), bool)
         if exact:
             flag[asks] = seen_twice(np.concatenate([hi, mute]), np.concatenate([lo, mute_lo]), len(hi), True)
@@ -150,14 +155,25 @@ def answers(sent: DataFrame, exact: bool) -> DataFrame:
             flag[asks] = seen_twice(np.concatenate([hi, mute]), None, len(hi), False)
         doc = np.repeat(np.arange(len(docs)), each)[flag]
         pos = pos[flag]
-        cut = np.flatnonzero(np.diff(doc, prepend=-1))
-        ends = np.append(cut[1:], len(doc))[: len(cut)]
-        own = docs[doc[cut]]
-        return pd.DataFrame({"k1": own[:, 0], "k2": own[:, 1], "pos": [pos[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]})
+        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(np.append(flag, False).astype(np.int64), np.cumsum(entries) - entries) * (entries > 0))]) if len(entries) else np.zeros(1, np.int64)
+        out = []
+        for sender, a, b in zip(group["sender"], ends[:-1], ends[1:], strict=True):
+            if b > a:
+                cut = np.flatnonzero(np.diff(doc[a:b], prepend=-1))
+                out.append((sender, pos[a:b].tobytes(), docs[doc[a:b][cut]].tobytes(), np.diff(np.append(cut, b - a)).astype(U32).tobytes()))
+        return pd.DataFrame(out, columns=["sender", "pos", "doc", "each"])
+
+    def part(group: pd.DataFrame) -> pd.DataFrame:
+        pos, docs, each = (np.frombuffer(b"".join(group[n]), t) for n, t in (("pos", U32), ("doc", np.int64), ("each", U32)))
+        own = np.repeat(docs.reshape(-1, 2), each, axis=0)
+        order = np.lexsort((pos, own[:, 1], own[:, 0]))
+        own, pos = own[order], pos[order]
+        cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)]))
+        return pd.DataFrame({"k1": own[cut, 0], "k2": own[cut, 1], "pos": [pos[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(pos)), strict=True)]})
 
-    return sent.groupBy("block").applyInPandas(run, ANSWER)
+    return sent.groupBy("block").applyInPandas(count, REPLY).groupBy("sender").applyInPandas(part, ANSWER)
 
 
 def by_document(answered: DataFrame) -> DataFrame:
-    """All positions of a document: k1, k2 and parts, a list of arrays of uint32 as bytes."""
+    """All positions of a document: k1, k2 and parts, a list of arrays of uint32 as bytes (equal ones for equal rows)."""
     return answered.groupBy("k1", "k2").agg(F.collect_list("pos").alias("parts"))
