@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, substring_dedup
+from . import jaccard_join, quality_rules, source_mixing, substring_dedup, warc_archive
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
+    "op7_source_mixing": source_mixing.op7_source_mixing,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_warc": warc_archive.op10_warc,
+}
+ORACLES = {
+    "op10_warc": warc_archive.ORACLE,
 }
-ORACLES: dict[str, str] = {}
