@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality_rules, source_mixing, substring_dedup, warc_archive
+from . import jaccard_join, quality_rules, secret_scan, source_mixing, substring_dedup, warc_archive
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op7_source_mixing": source_mixing.op7_source_mixing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_warc": warc_archive.op10_warc,
