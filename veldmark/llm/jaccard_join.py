@@ -9,17 +9,20 @@ A document's set is its distinct word shingles; two documents link when
    each set sends that prefix (c is about a fifth of o) to the repeat exchange,
    and only sets with c or more shingles that occur elsewhere go on. All
    documents take part; texts of one set are one node from here on.
-2. *Heavy and light.* Inside the prefixes shingles are ordered anew, rarest
-   first, by their exact number of sets. Light sets enumerate subsets of fixed
-   size two of their first (m - c + 2); a heavy set's first (m - c + 1) go into
-   inverted lists, which are scanned for pairs with at least one heavy set.
-   Both lose no link. The boundary is the size that costs least: subsets
-   emitted by the light, against list entries scanned by the heavy.
-3. *Scan.* In each list the first 1, then 4, 16, ... nodes meet all others of
-   the list that are not yet in their component; pairs are verified on whole
-   sets. A list ends when it holds one component or all its pairs have met, so
-   a list of near copies costs its length, not its square, and no link between
-   components is lost.
+2. *Heavy and light.* The whole sets of what is left are exchanged likewise, and
+   only those with o shingles that occur elsewhere go on. Their shared shingles
+   are ordered anew, rarest first, by the exact number of sets. Light sets
+   enumerate subsets of fixed size two of their first (shared - o + 2); a heavy
+   set's first (shared - o + 1) go into inverted lists, which are scanned for
+   pairs with at least one heavy set. Both lose no link. The boundary is the
+   size that costs least: subsets emitted by the light, against list entries
+   scanned by the heavy.
+3. *Scan.* In each list the first 1, then 16, 256, ... nodes (those with the
+   commonest shingles first: a group's original before its copies) meet all
+   others of the list that are not yet in their component and of which enough
+   shingles are left; pairs are verified on whole sets. A list ends when it
+   holds one component or all its pairs have met, so a list of near copies
+   costs its length, not its square, and no link between components is lost.
 
 No table is broadcast or collected; only the histogram of sizes to 64 reaches
 the driver. Ties and repeated rows: equal sets are one node. Null, empty or
@@ -57,12 +60,6 @@ def _need_sql(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
-def _least_common_sql(n: Column, percent: int) -> Column:
-    """The least c among the sizes that a partner of a set of n can have."""
-    m = _need_sql(n, percent)
-    return F.least(_need_sql(m, percent), F.greatest(F.lit(2), F.floor(m * 15 / 100))).cast("int")
-
-
 def shingle_sets(words, k: int):
     """Distinct shingles of each document: their document and hash, by document and then by hash; and how many each has."""
     h = words.hashes(lower=True)
@@ -105,7 +102,7 @@ def _send(k, percent):
         for batch, words in slices(batches):
             doc, g, sizes = shingle_sets(words, k)
             rank, chosen = _prefix(sizes, percent)
-            yield (*_keys(batch), doc[chosen], rank[chosen], g[chosen], None)
+            yield (*_keys(batch), doc[chosen], rank[chosen], mix(g[chosen], 8), None)  # mixed, as a prefix holds the least hashes
 
     return produce
 
@@ -120,7 +117,7 @@ def _profile(k):
 
 
 def _sets(k, percent):
-    """Sets of the documents that can link, and those shingles of the prefix that occur elsewhere."""
+    """Sets of the documents with enough shingles in their prefix that occur elsewhere."""
 
     def run(batches):
         for batch, words in slices(batches):
@@ -129,30 +126,50 @@ def _sets(k, percent):
             rows = []
             for d, parts in enumerate(batch.column("parts").to_pylist()):
                 own = g[ends[d] - sizes[d] : ends[d]]
-                at = np.concatenate([np.frombuffer(x, np.uint32) for x in parts])
-                least = int(_common(_need(sizes[d], percent), percent))
-                if len(at) >= least:
-                    rows.append((int(names[d]), int(sizes[d]), own[at].view(np.int64), own.tobytes()))
+                flagged = len(np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in parts])))
+                if flagged >= int(_common(_need(sizes[d], percent), percent)):
+                    rows.append((int(names[d]), int(sizes[d]), own.view(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["node", "n", "shared", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["node", "n", "members"])
 
     return run
 
 
+def _lists_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists of longs."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy().view(U64)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _send_whole(batches):
+    """Whole sets of nodes, for the second look at what occurs elsewhere."""
+    for batch in batches:
+        names = batch.column("node").to_numpy(zero_copy_only=False)
+        values, offsets = _lists_of(batch.column("members"))
+        at = 0
+        while at < len(names):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 18), side="right")) - 1)
+            n = np.diff(offsets[at : to + 1])
+            rank = np.arange(n.sum()) - np.repeat(offsets[at:to] - offsets[at], n)
+            yield names[at:to], names[at:to], np.repeat(np.arange(to - at), n), rank, mix(values[offsets[at] : offsets[to]], 9), None
+            at = to
+
+
 def _verify(percent):
     def run(batches):
         for batch in batches:
-            a, b = batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()
+            a, of_a = _lists_of(batch.column("set_a"))
+            b, of_b = _lists_of(batch.column("set_b"))
             keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            for i in range(batch.num_rows):
+                x, y = a[of_a[i] : of_a[i + 1]], b[of_b[i] : of_b[i + 1]]
                 if len(x) > len(y):
                     x, y = y, x
-                i = np.searchsorted(y, x)
-                i[i == len(y)] = 0
-                both = int((y[i] == x).sum())
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                both = int((y[at] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -174,9 +191,9 @@ def connect(edges: DataFrame, work: Workspace) -> DataFrame:
             return labels.select("node", "root")
 
 
-def _boundary(ordered: DataFrame, least: Column) -> int:
+def _boundary(ordered: DataFrame) -> int:
     """The largest light size, by the cost of subsets against the cost of scanning lists."""
-    m = F.size("ordered") - least
+    m = F.col("spare")
     subsets = F.when(m >= 0, (m + 2) * (m + 1) / 2).otherwise(0)
     scanned = F.aggregate(F.slice("ordered", 1, F.greatest(m + 1, F.lit(0))), F.lit(0.0), lambda s, x: s + x["df"])
     costs = ordered.groupBy(F.least("n", F.lit(LARGEST_LIGHT + 1)).alias("n")).agg(F.sum(subsets).alias("light"), F.sum(scanned).alias("heavy")).collect()
@@ -185,14 +202,16 @@ def _boundary(ordered: DataFrame, least: Column) -> int:
 
 
 def _lists(ordered: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """heavy, key, node, n: inverted lists and, for light sets, those of pairs of shingles."""
-    m = F.size("ordered") - _least_common_sql(F.col("n"), percent)
-    first = F.slice("ordered", 1, F.greatest(m + 1, F.lit(0)))
-    heavy = ordered.where(F.col("n") >= (boundary + 1) * percent / 100).select(F.lit(True).alias("heavy"), F.explode(F.transform(first, lambda x: x["h"])).alias("key"), "node", "n")
-    pool = F.slice("ordered", 1, F.greatest(m + 2, F.lit(0)))
-    light = ordered.where(F.col("n") <= boundary).select("node", "n", pool.alias("pool"))
-    pairs = F.flatten(F.transform("pool", lambda x, i: F.transform(F.slice("pool", i + 2, F.size("pool")), lambda y: F.xxhash64(x["h"], y["h"]))))
-    return heavy.unionByName(light.select(F.lit(False).alias("heavy"), F.explode(pairs).alias("key"), "node", "n"))
+    """heavy, key, node, n, left, hub: inverted lists and, for light sets, those of pairs of shingles. left: how many shared shingles a node has from the key's (first) one on. hub: order in which nodes are to meet the others, those with the commonest shingles first."""
+    hub = F.aggregate("ordered", F.lit(0.0), lambda s, x: s + x["df"]) / F.col("n")
+    rows = ordered.withColumn("hub", F.struct((-hub).alias("less"), "node")).withColumn("shared", F.size("ordered"))
+    first = lambda more: F.slice("ordered", 1, F.greatest(F.col("spare") + more, F.lit(0)))
+    heavy = rows.where(F.col("n") >= (boundary + 1) * percent / 100).select("node", "n", "hub", "shared", F.posexplode(F.transform(first(1), lambda x: x["h"])).alias("at", "key"))
+    light = rows.where(F.col("n") <= boundary).select("node", "n", "hub", "shared", first(2).alias("pool"))
+    pairs = F.transform("pool", lambda x, i: F.transform(F.slice("pool", i + 2, F.size("pool")), lambda y: F.xxhash64(x["h"], y["h"])))
+    light = light.select("node", "n", "hub", "shared", F.posexplode(pairs).alias("at", "keys")).select("node", "n", "hub", "shared", "at", F.explode("keys").alias("key"))
+    of = lambda kind: ["key", "node", "n", "hub", (F.col("shared") - F.col("at")).alias("left"), F.lit(kind).alias("heavy")]
+    return heavy.select(*of(True)).unionByName(light.select(*of(False)))
 
 
 def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -206,12 +225,19 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     profile = docs.mapInArrow(_profile(shingle), f"k1 long, k2 long, doc_id {id_type}, n long, node long")
     texts = docs.select("k1", "k2", "text")
     able = work.write(by_document(answers(sent_by(texts, _send(shingle, percent), blocks_for(n_chars // 15, partitions), False), False)), "able")
-    sets = texts.join(able, ["k1", "k2"]).mapInArrow(_sets(shingle, percent), "node long, n long, shared array<long>, members binary")
-    nodes = work.write(sets.dropDuplicates(["node"]), "nodes")
-    shingles = nodes.select("node", "n", F.explode("shared").alias("h"))
+    sets = texts.join(able, ["k1", "k2"]).mapInArrow(_sets(shingle, percent), "node long, n long, members array<long>")
+    some = work.write(sets.dropDuplicates(["node"]), "sets")
+    n_members = some.agg(F.sum("n")).first()[0] or 0
+    seen = by_document(answers(sent_by(some.select("node", "members"), _send_whole, blocks_for(n_members, partitions), False), False))
+    n_seen = F.aggregate("parts", F.lit(0), lambda s, x: s + F.octet_length(x)) / 4
+    enough = seen.select(F.col("k1").alias("node"), n_seen.alias("seen"))
+    nodes = work.write(some.join(enough, "node").where(F.col("seen") >= _need_sql(F.col("n"), percent)), "nodes")
+    shingles = nodes.select("node", "n", F.explode("members").alias("h"))
     df = shingles.groupBy("h").agg(F.count("*").alias("df")).where("df >= 2")
-    ordered = work.write(shingles.join(df, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ordered")), "ordered")
-    boundary = _boundary(ordered, _least_common_sql(F.col("n"), percent))
+    ordered = shingles.join(df, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ordered"))
+    # spare: shared shingles beyond those that any link needs
+    ordered = work.write(ordered.withColumn("spare", (F.size("ordered") - _need_sql(F.col("n"), percent)).cast("int")).where("spare >= 0"), "ordered")
+    boundary = _boundary(ordered)
     lists = work.write(_lists(ordered, boundary, percent), "lists")
     links, roots, width = None, None, 1
     while True:
@@ -221,12 +247,14 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
             lists = lists.withColumn("root", F.lit(None).cast("long"))
         lists = lists.withColumn("root", F.coalesce("root", "node"))
         live = lists.groupBy("heavy", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("heavy", "key")
-        order = Window.partitionBy("heavy", "key").orderBy("node")
+        order = Window.partitionBy("heavy", "key").orderBy("hub")
         lists = work.write(lists.join(live, ["heavy", "key"], "left_semi"), "lists")
         pivots = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
-        p = pivots.select("heavy", "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        sized = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (~F.col("heavy") | (F.greatest("n", "n_a") > boundary))
-        met = work.write(lists.join(p, ["heavy", "key"]).where((F.col("a") < F.col("node")) & (F.col("root_a") != F.col("root")) & sized).select("a", F.col("node").alias("b")).distinct(), "pairs")
+        p = pivots.select("heavy", "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("root").alias("root_a"), F.col("hub").alias("hub_a"))
+        # at the first shingle that two sets share, neither has more in common than it has left; a later list of theirs may be passed over
+        enough = F.least("left", "left_a") * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
+        sized = enough & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (~F.col("heavy") | (F.greatest("n", "n_a") > boundary))
+        met = work.write(lists.join(p, ["heavy", "key"]).where((F.col("hub_a") < F.col("hub")) & (F.col("root_a") != F.col("root")) & sized).select("a", F.col("node").alias("b")).distinct(), "pairs")
         if met.limit(1).count():
             members = nodes.select("node", "members")
             of_a = members.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
@@ -238,7 +266,7 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         if not rest.limit(1).count():
             break
         lists = rest
-        width *= 4
+        width *= 16
     if roots is not None:
         profile = profile.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
     else:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import U64, slices, sliding_min, windows
+from .hashing import U64, mix, slices, sliding_min, windows
 from .repeats import answers, blocks_for, by_document, sent_by
 from .storage import Workspace, row_keys
 
@@ -71,7 +71,7 @@ def _send_anchors(size):
             chosen[at[at >= 0]] = True
             i = np.flatnonzero(chosen)
             doc = words.document()[i]
-            yield (*_columns(batch), doc, i - words.first[doc], g[i], None)
+            yield (*_columns(batch), doc, i - words.first[doc], mix(g[i], 8), None)  # mixed, as anchors are the least hashes
 
     return produce
 
