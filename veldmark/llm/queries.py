@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, quality_rules, secret_scan, source_mixing, substring_dedup, warc_archive
+from . import decontamination, jaccard_join, preference_format, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, token_counts, warc_archive
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_quality_classifier": quality_classifier.op2_quality_classifier,
     "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_preference_format": preference_format.op6_preference_format,
     "op7_source_mixing": source_mixing.op7_source_mixing,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_warc": warc_archive.op10_warc,
 }
