@@ -6,6 +6,7 @@ Stages get all that their predecessor kept, written as Parquet and read again.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veldmark.llm.decontamination import remove_leaks
 from veldmark.llm.jaccard_join import keep_one_of_each
@@ -31,8 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark; documents stay."""
-    return redact(docs)
+    """Secrets in texts are replaced by a mark, and n_chars follows; documents stay."""
+    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
