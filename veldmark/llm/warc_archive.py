@@ -10,11 +10,12 @@ Reading. Spark's text reader cuts archives at the magic ``WARC/1.0`` CRLF,
 in splits, so a file of any size is read by many tasks. A task emits for each
 magic a candidate: its offset and, by its Content-Length, that of its
 successor. Offsets inside a split are made absolute by the lengths of the
-splits before it. Then reachability spreads from the file's start by pointer
-jumping (successors of successors, doubling each round): magic inside a
-payload is no record unless the chain from the start reaches it. Payloads
-that were cut at such a magic are joined again from the pieces between two
-records.
+splits before it; tasks also follow chains to where they leave the split.
+Then the entries of splits are found from the file's start by pointer jumping
+(jumps of jumps, doubling each round), and each split is walked from its
+entries: magic inside a payload is no record unless the chain from the start
+reaches it. Payloads that were cut at such a magic are joined again from the
+pieces between two records; only then are they read a second time.
 
 Defined cases: null html is an empty payload; a null id is written as "null",
 ranks last and comes back as null; payloads under ``least_bytes`` are all
@@ -74,105 +75,161 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", html_
 
 
 HEADER = re.compile(rb"(?im)^(WARC-Type|WARC-Record-ID|WARC-Payload-Digest|X-Payload-Length|WARC-Refers-To|Content-Length): *([^\r\n]*)")
-PIECES = "file string, split long, at long, len long, succ long, raw binary, first long, size long, whole boolean, kind string, record string, digest string, full_len long, refers string"
+PIECES = "file string, split long, mag long, len long, succ long, leave long, first long, size long, whole boolean, kind string, record string, digest string, full_len long, refers string, body_len long, body_sha256 string"
+TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def _pieces(batches):
-    """For each piece between two magics: where it lies in its split, and what it says if it is a record."""
+def _table(rows: list[dict], schema: str) -> pa.RecordBatch:
+    names = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], TYPES[t]) for n, t in names], [n for n, _ in names])
+
+
+def _splits(batches):
+    """file, split and the value and place of each piece, by split in order. Places count from the split's start; the magic stands before."""
     here, at = None, 0
     for batch in batches:
-        out = []
-        for value, file, split in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True):
+        for value, file, split in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "split")), strict=True):
             if (file, split) != here:
                 here, at = (file, split), 0
-            value = value or b""
-            head, gap, _ = value.partition(b"\r\n\r\n")
-            found = {k.lower(): v.decode("utf-8", "replace") for k, v in HEADER.findall(head)} if gap else {}
-            size = found.get(b"content-length", "")
-            row = dict.fromkeys(("succ", "size", "kind", "record", "digest", "full_len", "refers"))
-            row |= {"file": file, "split": split, "at": at, "len": len(value) + len(MAGIC), "raw": value, "first": len(head) + 4, "size": None, "whole": False}
-            if size.isdigit() and len(size) < 16:
-                end = len(head) + 4 + int(size)
-                row["succ"] = at + end + len(BETWEEN)
-                row["size"] = int(size)
-                row["whole"] = len(value) >= end
-                full = found.get(b"x-payload-length", "")
-                row |= {"kind": found.get(b"warc-type"), "record": found.get(b"warc-record-id"), "digest": found.get(b"warc-payload-digest"), "full_len": int(full) if full.isdigit() else None, "refers": found.get(b"warc-refers-to")}
-            out.append(row)
-            at += row["len"]
-        names = [x.split()[0] for x in PIECES.split(", ")]
-        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kinds[x.split()[1]]) for n, x in zip(names, PIECES.split(", "), strict=True)], names)
+            yield file, split, at - len(MAGIC), value or b""
+            at += len(value or b"") + len(MAGIC)
+
+
+def _piece(file: str, split: int, mag: int, value: bytes) -> dict:
+    """What a piece says if it is a record; digests of payloads that lie in it whole."""
+    head, gap, _ = value.partition(b"\r\n\r\n")
+    found = {k.lower(): v.decode("utf-8", "replace") for k, v in HEADER.findall(head)} if gap else {}
+    row = dict.fromkeys(x.split()[0] for x in PIECES.split(", "))
+    row |= {"file": file, "split": split, "mag": mag, "len": len(value) + len(MAGIC), "first": len(head) + 4, "whole": False}
+    size = found.get(b"content-length", "")
+    if size.isdigit() and len(size) < 16:
+        end = len(head) + 4 + int(size)
+        full = found.get(b"x-payload-length", "")
+        row |= {"size": int(size), "succ": mag + len(MAGIC) + end + len(BETWEEN), "whole": len(value) >= end, "kind": found.get(b"warc-type"), "record": found.get(b"warc-record-id"), "digest": found.get(b"warc-payload-digest"), "full_len": int(full) if full.isdigit() else None, "refers": found.get(b"warc-refers-to")}
+        if row["whole"]:
+            row |= {"body_len": int(size), "body_sha256": hashlib.sha256(value[row["first"] : end]).hexdigest()}
+    return row
+
+
+def _pieces(batches):
+    """Candidates of each split, each with its successor and with where its chain leaves the split."""
+    rows: list[dict] = []
+
+    def resolved():
+        leave: dict[int, int | None] = {}
+        for r in reversed(rows):
+            r["leave"] = leave.get(r["succ"], r["succ"])
+            leave[r["mag"]] = r["leave"]
+        return _table(rows, PIECES)
+
+    for file, split, mag, value in _splits(batches):
+        if rows and (rows[0]["file"], rows[0]["split"]) != (file, split):
+            yield resolved()
+            rows = []
+        rows.append(_piece(file, split, mag, value))
+    if rows:
+        yield resolved()
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
 def candidates(spark: SparkSession, path: str, work: Workspace) -> DataFrame:
-    """Pieces with absolute offsets: file, off, succ and what the piece holds. The piece before a file's first magic is left out."""
-    lines = spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
-    pieces = work.write(lines.mapInArrow(_pieces, PIECES), "pieces")
+    """Candidates with absolute offsets: off, succ and leave. The piece before a file's first magic is left out."""
+    pieces = work.write(_lines(spark, path).mapInArrow(_pieces, PIECES), "pieces")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     start = pieces.groupBy("file", "split").agg(F.sum("len").alias("total")).withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    base = pieces.join(start.drop("total"), ["file", "split"])
-    # the magic stands before the piece
-    shift = F.col("start") - len(MAGIC)
-    return base.withColumn("off", F.col("at") + shift).withColumn("succ", F.col("succ") + F.col("start")).where("off >= 0").drop("at", "split", "start", "len")
+    at = lambda c: (F.col(c) + F.col("start")).alias({"mag": "off"}.get(c, c))
+    rest = [c for c in pieces.columns if c not in ("len", "succ", "leave")]
+    return work.write(pieces.join(start.drop("total"), ["file", "split"]).select(*rest, at("mag"), at("succ"), at("leave")).where("off >= 0"), "candidates")
 
 
-def reachable(found: DataFrame, work: Workspace) -> DataFrame:
-    """file, off of the records on the chain from each file's start, by pointer jumping."""
-    jumps = work.write(found.select("file", "off", F.col("succ").alias("to")), "jumps")
+def entries(found: DataFrame, work: Workspace) -> DataFrame:
+    """file, off of the first real record of each split, by pointer jumping from the file's start."""
+    jumps = found.select("file", "off", F.col("leave").alias("to"))
     reached = work.write(jumps.where("off = 0").select("file", "off"), "reached")
     n = reached.count()
     while True:
         step = reached.join(jumps, ["file", "off"]).where("to is not null").select("file", F.col("to").alias("off"))
         new = work.write(reached.union(step.join(jumps, ["file", "off"], "left_semi")).distinct(), "reached")
         m = new.count()
-        work.drop(reached)
-        reached = new
         if m == n:
-            work.drop(jumps)
-            return reached
-        n = m
+            return new
+        reached, n = new, m
         on = jumps.select("file", F.col("off").alias("to"), F.col("to").alias("next"))
-        doubled = work.write(jumps.join(on, ["file", "to"], "left").select("file", "off", F.col("next").alias("to")), "jumps")
-        work.drop(jumps)
-        jumps = doubled
+        jumps = work.write(jumps.join(on, ["file", "to"], "left").select("file", "off", F.col("next").alias("to")), "jumps")
+
+
+def _walk(group: pd.DataFrame) -> pd.DataFrame:
+    """Records of one split on the chain from its entries."""
+    succ = dict(zip(group["off"], group["succ"], strict=True))
+    real: set[int] = set()
+    for off in group.loc[group["entry"], "off"]:
+        while off in succ and off not in real:
+            real.add(off)
+            off = succ[off]
+    return group.loc[group["off"].isin(list(real)), ["file", "off"]]
+
+
+def reachable(found: DataFrame, work: Workspace) -> DataFrame:
+    """file, off of all records on the chain from each file's start."""
+    marked = found.select("file", "split", "off", "succ").join(entries(found, work).withColumn("entry", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
+    return marked.groupBy("file", "split").applyInPandas(_walk, "file string, off long")
+
+
+RAW = "file string, split long, mag long, raw binary"
+
+
+def _raw_pieces(batches):
+    rows: list[dict] = []
+    held = 0
+    for file, split, mag, value in _splits(batches):
+        rows.append({"file": file, "split": split, "mag": mag, "raw": value})
+        held += len(value)
+        if held > 1 << 23:
+            yield _table(rows, RAW)
+            rows, held = [], 0
+    if rows:
+        yield _table(rows, RAW)
 
 
 def _joined(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("off")
-    first = group.iloc[0]
-    start, size = int(first["first"]), int(first["size"])
+    head = group.iloc[0]
+    start, size = int(head["first"]), int(head["size"])
     body = MAGIC.encode().join(group["raw"])[start : start + size]
-    return pd.DataFrame([{"kind": first["kind"], "record": first["record"], "refers": first["refers"], "digest": first["digest"], "full_len": first["full_len"], "body": body if len(body) == size else None}])
+    return pd.DataFrame([{"file": head["file"], "off": head["off"], "body": body if len(body) == size else None}])
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """kind, record, refers, digest, full_len (the last four as the header has them) and body of each record of the archives below path."""
+def read_archive(spark: SparkSession, path: str, *, bodies: bool = True) -> DataFrame:
+    """kind, record, refers, digest and full_len (as the header has them), body_len and body_sha256 of each record below path, and with bodies its body."""
     work = Workspace(spark, "warc")
     found = candidates(spark, path, work)
-    chain = reachable(found, work).withColumn("real", F.lit(True))
+    chain = work.write(reachable(found, work).withColumn("real", F.lit(True)), "chain")
     marked = found.join(chain, ["file", "off"], "left")
-    own = ["kind", "record", "refers", "digest", "full_len", "body"]
-    whole = marked.where("real and whole").withColumn("body", F.expr("substring(raw, int(first + 1), int(size))")).select(*own)
+    own = ["kind", "record", "refers", "digest", "full_len", "body_len", "body_sha256"]
+    whole = marked.where("real and whole")
     # records that a magic in their payload has cut: the pieces up to the next record belong to them
-    light = found.select("file", "off", "succ", "whole").join(chain, ["file", "off"], "left")
     up_to = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owner = F.max(F.when(F.col("real"), F.struct("off", "succ", "whole"))).over(up_to)
-    parts = light.withColumn("owner", owner).where("not owner.whole and off < owner.succ").select("file", "off", F.col("owner.off").alias("owner"))
-    cut = found.join(parts, ["file", "off"]).groupBy("file", "owner").applyInPandas(lambda g: _joined(g), "kind string, record string, refers string, digest string, full_len long, body binary").where("body is not null")
-    return whole.unionByName(cut)
-
-
-def _digests(batches):
-    for batch in batches:
-        bodies = [b if kind == "response" else None for b, kind in zip(batch.column("body").to_pylist(), batch.column("kind").to_pylist(), strict=True)]
-        columns = [batch.column(c) for c in ("record", "kind", "refers", "digest", "full_len")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([None if b is None else len(b) for b in bodies], pa.int64()), pa.array([None if b is None else hashlib.sha256(b).hexdigest() for b in bodies], pa.string())], ["record", "kind", "refers", "digest", "full_len", "body_len", "body_sha256"])
+    parts = marked.select("file", "split", "mag", "off", "succ", "whole", "real", "first", "size").withColumn("owner", owner)
+    parts = work.write(parts.where("not owner.whole and off < owner.succ").select("file", "split", "mag", "off", "first", "size", F.col("owner.off").alias("owner")), "parts")
+    raw = _lines(spark, path).mapInArrow(_raw_pieces, RAW)
+    cut = None
+    if parts.limit(1).count():  # only then are payloads read again
+        bodies_of = raw.join(parts, ["file", "split", "mag"]).groupBy("file", "owner").applyInPandas(_joined, "file string, off long, body binary").where("body is not null")
+        cut = found.drop("body_len", "body_sha256").join(bodies_of, ["file", "off"]).select("*", F.octet_length("body").cast("bigint").alias("body_len"), F.sha2("body", 256).alias("body_sha256"))
+    if not bodies:
+        out = whole.select(*own)
+        return out.unionByName(cut.select(*own)) if cut is not None else out
+    out = whole.join(raw, ["file", "split", "mag"]).select(*own, F.expr("substring(raw, int(first + 1), int(size))").alias("body"))
+    return out.unionByName(cut.select(*own, "body")) if cut is not None else out
 
 
 def archive_report(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """One row per record that was read back: responses by their payload, revisits by what their header says of it."""
-    rows = read_archive(spark, path).mapInArrow(_digests, "record string, kind string, refers string, digest string, full_len long, body_len long, body_sha256 string")
+    rows = read_archive(spark, path, bodies=False)
     of = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("null")).try_cast(id_type)
     response = F.col("kind") == "response"
     return rows.select(
