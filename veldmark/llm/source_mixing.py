@@ -103,11 +103,11 @@ def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     work = Workspace(spark, "source-mixing")
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row_keys(F.col(id_col), F.col(text_col)))
     rows = work.write(rows, "sizes")
-    table = work.write(targets(rows, weights, most), "targets")
+    table = work.write(targets(rows, weights, most).withColumnRenamed("source", "named"), "targets")
     n_sources, n_rows = table.count(), rows.count()
     known = F.broadcast(table) if n_sources <= FEW_SOURCES else table
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.join(known, rows["source"].eqNullSafe(table["source"])).drop(table["source"]).withColumn("rate", rate)
+    rows = rows.join(known, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("rate", rate)
     rows = rows.withColumn("base", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
     whole = (F.col("size") == 0) | (F.col("p") < 1e-12)
     own = ["doc_id", "k1", "k2", "source", "size", "source_size", "target"]
@@ -131,9 +131,9 @@ def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     words = decided[0]
     for x in decided[1:]:
         words = words.unionByName(x)
-    words = words.groupBy("source").agg(F.sum(F.col("d.take") * F.col("d.item.size")).alias("words"))
+    words = words.groupBy(F.col("source").alias("named")).agg(F.sum(F.col("d.take") * F.col("d.item.size")).alias("words"))
     roots = rest.groupBy("source").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
-    joined = roots.join(F.broadcast(words) if n_sources <= FEW_SOURCES else words, roots["source"].eqNullSafe(words["source"]), "left").drop(words["source"])
+    joined = roots.join(F.broadcast(words) if n_sources <= FEW_SOURCES else words, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
     parts.append(_rows(joined.select("source", F.explode(_round_root(F.col("items"), F.coalesce("words", F.lit(0)))).alias("d")), F.col("d.item"), F.col("d.take"), own))
     out = parts[0]
     for x in parts[1:]:
