@@ -212,12 +212,12 @@ def test_warc_round_trip(spark):
     first = collections.defaultdict(list)
     for i, _, h in rows:
         first[h or ""].append(i)
-    for split in ("128m", "3000"):
+    for split, compression in (("128m", "gzip"), ("3000", "none")):
         spark.conf.set("spark.sql.files.maxPartitionBytes", split)
         spark.conf.set("spark.sql.files.openCostInBytes", "1")
         try:
             path = Workspace(spark, "test").path("archive")
-            warc_archive.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path)
+            warc_archive.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), path, compression=compression)
             got = {r.page_id: r for r in warc_archive.archive_report(spark, path).collect()}
             bodies = {r.record: bytes(r.body) for r in warc_archive.read_archive(spark, path).collect() if r.kind == "response"}
         finally:

@@ -49,19 +49,25 @@ def classify(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("bigint").alias("n_bytes"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    shared = pages.select(F.col(id_col).alias("page_id"), payload.alias("payload")).where(F.octet_length("payload") >= least_bytes).groupBy(F.sha2("payload", 256).alias("digest")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
-    shared = shared.select("digest", "first_id", "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    equal = pages.select(F.col(id_col).alias("page_id"), payload.alias("payload")).where(F.octet_length("payload") >= least_bytes).groupBy(F.sha2("payload", 256).alias("digest"), "page_id").agg(F.count(F.lit(1)).alias("n"))
+    # the smallest id, null last, and how many rows have it
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")
+    shared = equal.groupBy("digest").agg(F.min(order).alias("least"), F.sum("n").alias("copies")).where("copies > 1")
+    shared = shared.select("digest", F.col("least.page_id").alias("first_id"), F.col("least.n").alias("n_first"), "copies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = rows.join(shared, ["digest", "salt"], "left")
     return joined.withColumn("is_first", F.col("copies").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")))
 
 
-def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 100) -> None:
-    """Write one record for each page below path."""
+def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 100, compression: str = "gzip") -> None:
+    """Write one record for each page below path. compression: of whole files, or "none", which readers can split."""
     rows = classify(pages, id_col=id_col, html_col=html_col, least_bytes=least_bytes)
-    # rows that repeat the first page's id and payload: all but one revisit it
-    ties = Window.partitionBy("digest", "page_id").orderBy(F.lit(1))
-    first, rest = rows.where("is_first and copies is not null"), rows.where("not is_first or copies is null")
-    rows = rest.withColumn("nth", F.lit(1)).unionByName(first.withColumn("nth", F.row_number().over(ties)))
+    # rows that repeat a first page's id and payload: all but one revisit it
+    tie = "is_first and copies is not null and n_first > 1"
+    if rows.where(tie).limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy(F.lit(1)))
+        rows = rows.where(f"not coalesce({tie}, false)").withColumn("nth", F.lit(1)).unionByName(rows.where(tie).withColumn("nth", nth))
+    else:
+        rows = rows.withColumn("nth", F.lit(1))
     revisit = F.col("copies").isNotNull() & (~F.col("is_first") | (F.col("nth") > 1))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
     header = F.concat(
@@ -71,7 +77,7 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", html_
         F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {SAME_DIGEST}\r\nWARC-Refers-To: <urn:page:"), name("first_id"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http-payload\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("n_bytes").cast("string")), F.lit("\r\n\r\n"),
     )
-    rows.select(F.concat(header, F.when(revisit, "").otherwise(F.col("payload"))).alias("value")).write.mode("overwrite").option("lineSep", BETWEEN).text(path)
+    rows.select(F.concat(header, F.when(revisit, "").otherwise(F.col("payload"))).alias("value")).write.mode("overwrite").option("lineSep", BETWEEN).option("compression", compression).text(path)
 
 
 HEADER = re.compile(rb"(?im)^(WARC-Type|WARC-Record-ID|WARC-Payload-Digest|X-Payload-Length|WARC-Refers-To|Content-Length): *([^\r\n]*)")
