@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from veldmark.plans import catalog
+from veldmark.plans import more as catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
