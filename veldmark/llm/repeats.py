@@ -25,12 +25,13 @@ U64, U32 = np.uint64, np.uint32
 SENT = "sender long, block int, hi binary, lo binary, pos binary, doc binary, each binary, mute_hi binary, mute_lo binary"
 REPLY = "sender long, pos binary, doc binary, each binary"
 ANSWER = "k1 long, k2 long, pos binary"
-#: Keys that a task gathers before it sends rows.
-FLUSH = 1 << 20
+#: Keys that a task gathers before it sends rows, at least and at most: with many blocks more, so that a row still holds several keys.
+FLUSH, FLUSH_MOST = 1 << 20, 1 << 22
 
 
-def blocks_for(n_keys: int, partitions: int, per_block: int = 1 << 22) -> int:
-    """As many blocks as shuffle partitions, or as it takes to keep a block's keys within per_block."""
+def blocks_for(n_keys: int, partitions: int) -> int:
+    """As many blocks as shuffle partitions, or as it takes to keep a block within 4 million keys; beyond 4,096 blocks they grow, to 16 million keys at most."""
+    per_block = min(1 << 24, max(1 << 22, n_keys >> 12))
     return max(1, partitions, -(-n_keys // per_block))
 
 
@@ -42,13 +43,13 @@ class Sender:
         task = TaskContext.get()
         self.name = (task.partitionId() if task else 0) << 32
         self.parts: list[tuple] = []
-        self.n = 0
+        self.n, self.full = 0, min(FLUSH_MOST, max(FLUSH, 16 * blocks))
 
     def add(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, low: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         """k1, k2: keys of documents; doc: index into them, for each pos and key, ascending."""
         self.parts.append((k1, k2, doc, pos.astype(U32), key, low))
         self.n += len(pos)
-        if self.n >= FLUSH:
+        if self.n >= self.full:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
