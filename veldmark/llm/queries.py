@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard_join, preference_format, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, token_counts, warc_archive
+from . import decontamination, jaccard_join, oracles, preference_format, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, token_counts, warc_archive
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -17,5 +17,8 @@ QUERIES = {
     "op10_warc": warc_archive.op10_warc,
 }
 ORACLES = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op3_ngram_jaccard_join": oracles.JACCARD_JOIN,
+    "op6_preference_format": oracles.PREFERENCE_FORMAT,
     "op10_warc": warc_archive.ORACLE,
 }
