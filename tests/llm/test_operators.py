@@ -198,6 +198,23 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontamination.remove_leaks(table(spark, texts), bench).collect()) == [*range(n), n + 5, n + 6]
 
 
+def test_every_common_window_is_found(spark):
+    rng = random.Random(11)
+    item, short = [f"q{i}" for i in range(20)], [f"s{i}" for i in range(6)]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(short)), (2, " ".join(item[:5]) + " z")], "item_id long, text string")
+    texts, want = [], {}
+    for before in range(7):
+        for n in range(6, 13):
+            at = rng.randrange(len(item) - n)
+            want |= {(len(texts), 0): n - 7} if n >= 8 else {}
+            texts.append(" ".join([f"b{i}" for i in range(before)] + item[at : at + n] + ["c"] * 3))
+        want[len(texts), 1] = 1
+        texts.append(" ".join([f"b{i}" for i in range(before)] + short + ["c"] * (before % 2)))
+        texts.append(" ".join([f"b{i}" for i in range(before)] + short[:5]))
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontamination.leaks(table(spark, texts), bench).collect()}
+    assert got == want
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "add 3 apples to 3 pears and then give 3 plums to the old man near the well"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")

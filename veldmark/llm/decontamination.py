@@ -2,22 +2,25 @@
 
 Texts become templates: numbers, names (capitalised words inside a sentence)
 and units after numbers turn into the typed placeholders ``##``, ``@@`` and
-``%%``; case and punctuation go. Windows of WINDOW template tokens are hash-
-joined: those of benchmark items at every token, those of documents at every
-STRIDE-th, so any common run of WINDOW + STRIDE - 1 tokens has a window in the
-join. A hit fixes how item and document lie on each other; then their slots
-are compared: a leak needs every value of the item to become one and the same
-value in the document. If all values are equal the leak is exact, else the
-question was asked with other parameters.
-
-Only DataFrame functions are used. Windows of documents are 28 bytes each and
+``%%``; case and punctuation go. What counts is a window of WINDOW template
+tokens at any place of item and document. To find all of them, seeds are hash-
+joined: SEED = WINDOW - STRIDE + 1 tokens, of benchmark items at every token,
+of documents at every STRIDE-th, so each common window has a seed in the join.
+Items shorter than WINDOW are one window of their own length, and meet windows
+of that length at every token. A hit fixes how item and document lie on each
+other; there the windows are looked up, and slots are compared: a leak needs
+every value of the item to become one and the same value in the document. If
+all values are equal the leak is exact, else the question was asked with other
+parameters.
+
+Only DataFrame functions are used. Seeds of documents are 28 bytes each and
 meet the benchmark's in a broadcast join when the benchmark has at most
-FEW_WINDOWS windows, else in a shuffled one. A passage that a third of all
-documents holds costs a row for each document and window, no pairs.
+FEW_WINDOWS of them, else in a shuffled one. A passage that a third of all
+documents holds costs a row for each document and seed, no pairs.
 
-Defined cases: null and empty texts have no windows; items shorter than a
-window, or with windows of which less than LEAST_PLAIN tokens are plain words,
-have none either and are never found; equal rows get equal results; empty
+Defined cases: null and empty texts have no windows; nor have items all whose
+windows hold less than LEAST_PLAIN different plain words, so these are never
+found, however long they are; equal rows get equal results; empty
 tables give empty results; a document may leak several items. Other columns
 are ignored (``remove_leaks`` keeps the documents' own).
 """
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from .storage import Workspace, row_keys
 
 WINDOW = 8
-STRIDE = 5
+STRIDE = 3
+SEED = WINDOW - STRIDE + 1
 LEAST_PLAIN = 4
 FEW_WINDOWS = 1_000_000
 MARK = "\x01"
@@ -61,25 +65,49 @@ def tokens(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
-def _windows(table: DataFrame, own: list[str], step: int) -> DataFrame:
-    """own, pos and key of each window of the column ``tokens``."""
+def _seeds(table: DataFrame, own: list[str], widths: dict[int, int]) -> DataFrame:
+    """own, pos and key of the runs of the column ``tokens``: of each width at every so many tokens."""
 
     def keyed(t: Column) -> Column:
-        last = F.size(t) - WINDOW
-        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(t, i + 1, F.lit(WINDOW))).alias("key")))
+        def of(width: int, step: int) -> Column:
+            last = F.size(t) - width
+            starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(t, i + 1, F.lit(width))).alias("key")))
 
-    return table.select(*own, _let(F.col("tokens"), keyed).alias("windows")).select(*own, F.inline("windows"))
+        return F.concat(*(of(*x) for x in widths.items()))
+
+    return table.select(*own, _let(F.col("tokens"), keyed).alias("seeds")).select(*own, F.inline("seeds"))
+
+
+def _width(tokens: Column) -> Column:
+    """Of an item's windows."""
+    return F.least(F.lit(WINDOW), F.size(tokens))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """item_id, item_pos and key of the windows that say enough."""
-    last = F.size("tokens") - WINDOW
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    window = lambda i: F.slice("tokens", i + 1, F.lit(WINDOW))
+    """items with ``said``: places of the windows that say enough."""
+    last = F.size("tokens") - _width(F.col("tokens"))
+    window = lambda i: F.slice("tokens", i + 1, _width(F.col("tokens")))
     plain = lambda i: F.size(F.array_distinct(F.filter(window(i), lambda t: ~t.isin("##", "@@", "%%")))) >= LEAST_PLAIN
-    keyed = F.transform(F.filter(starts, plain), lambda i: F.struct(i.alias("item_pos"), F.xxhash64(window(i)).alias("key")))
-    return items.select("item_id", F.inline(keyed))
+    return items.withColumn("said", F.filter(F.sequence(F.lit(0), last), plain))
+
+
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """item, item_pos, width and key of the seeds under the windows that say enough."""
+    width = F.when(F.size("tokens") < WINDOW, F.size("tokens")).otherwise(SEED)
+    starts = F.array_distinct(F.flatten(F.transform("said", lambda p: F.sequence(p, p + _width(F.col("tokens")) - width))))
+    keyed = F.transform(starts, lambda i: F.struct(i.alias("item_pos"), width.alias("width"), F.xxhash64(F.slice("tokens", i + 1, width)).alias("key")))
+    return items.select("item", F.inline(keyed)).distinct()
+
+
+def _runs(n: Column, breaks: Column) -> Column:
+    """start and stop of the runs of 0 to n - 1 between breaks, the rising places that belong to none."""
+    bounds = F.concat(F.array(F.lit(-1)), breaks, F.array(n))
+    return F.zip_with(F.slice(bounds, 1, F.size(bounds) - 1), F.slice(bounds, 2, F.size(bounds) - 1), lambda a, b: F.struct((a + 1).alias("start"), b.alias("stop")))
+
+
+def _places(aligned: Column, hit) -> Column:
+    return F.filter(F.transform(aligned, lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -87,17 +115,20 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     spark = documents.sparkSession
     work = Workspace(spark, "decontamination")
     items = benchmark.select(F.col(item_col).alias("item_id"), valued(F.col(item_text_col)).alias("v"))
-    items = work.write(items.select("item_id", F.xxhash64("item_id", "v").alias("item"), tokens("v").alias("values"), tokens(template(F.col("v"))).alias("tokens")), "items")
-    known = work.write(benchmark_windows(items.drop("item_id").withColumnRenamed("item", "item_id")).withColumnRenamed("item_id", "item").distinct(), "item-windows")
-    if known.count() <= FEW_WINDOWS:
+    items = items.select("item_id", F.xxhash64("item_id", "v").alias("item"), tokens("v").alias("values"), tokens(template(F.col("v"))).alias("tokens"))
+    items = work.write(benchmark_windows(items).where(F.size("said") > 0), "items")
+    known = work.write(benchmark_seeds(items), "item-seeds")
+    widths = {SEED: STRIDE} | {r["n"]: 1 for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < WINDOW).distinct().collect()}
+    known_count, known = known.count(), known.select("item", "item_pos", "key")
+    if known_count <= FEW_WINDOWS:
         known = F.broadcast(known)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(F.col(id_col), F.col(text_col)))
     shaped = docs.select("k1", "k2", valued(F.col("text")).alias("v")).select("k1", "k2", tokens(template(F.col("v"))).alias("tokens"))
-    hits = _windows(shaped, ["k1", "k2"], STRIDE).join(known, "key")
+    hits = _seeds(shaped, ["k1", "k2"], widths).join(known, "key")
     # how an item lies on a document; equal rows hit alike
-    laid = hits.groupBy("k1", "k2", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.countDistinct("pos").alias("n_windows"))
+    laid = hits.select("k1", "k2", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     laid = work.write(laid, "laid")
-    found = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "shift", "n_windows")).alias("laid"))
+    found = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "shift")).alias("laid"))
     # dealt by key whatever the number of hits: their documents can be most of the corpus
     texts = docs.join(found.hint("merge"), ["k1", "k2"]).withColumn("v", valued(F.col("text")))
     texts = texts.select("k1", "k2", "doc_id", tokens("v").alias("doc_values"), tokens(template(F.col("v"))).alias("doc_tokens"), F.explode("laid").alias("l"))
@@ -108,7 +139,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     under = lambda c: F.slice(c, F.col("shift") + from_ + 1, size - from_)
     over = lambda c: F.slice(c, from_ + 1, F.greatest(F.least(size - from_, F.size("doc_tokens") - F.col("shift") - from_), F.lit(0)))
     aligned = F.arrays_zip(over("tokens").alias("t"), over("values").alias("v"), F.slice(under("doc_tokens"), 1, F.size(over("tokens"))).alias("dt"), F.slice(under("doc_values"), 1, F.size(over("tokens"))).alias("dv"))
-    pairs = pairs.select("k1", "k2", "doc_id", "item_id", "n_windows", size.alias("size"), F.filter(aligned, lambda x: x["t"] == x["dt"]).alias("same"))
+
+    def judged(a: Column) -> Column:
+        within = lambda r, q: (r["start"] <= q - from_) & (q - from_ + _width(F.col("tokens")) <= r["stop"])
+        n = _let(_runs(F.size(a), _places(a, lambda x: x["t"] != x["dt"])), lambda runs: F.size(F.filter("said", lambda q: F.exists(runs, lambda r: within(r, q)))))
+        return F.filter(F.array(F.struct(n.alias("n_windows"), F.filter(a, lambda x: x["t"] == x["dt"]).alias("same"))), lambda x: x["n_windows"] > 0)
+
+    # generated, as a filter would be pushed to where these columns are worked out again for each use
+    pairs = pairs.select("k1", "k2", "doc_id", "item_id", size.alias("size"), F.inline(_let(aligned, judged)))
     slots = F.array_distinct(F.transform(F.filter("same", lambda x: x["t"].isin("##", "@@", "%%")), lambda x: F.struct(x["v"].alias("v"), x["dv"].alias("dv"))))
     pairs = pairs.select("k1", "k2", "doc_id", "item_id", "n_windows", "size", F.size("same").alias("matched"), slots.alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["v"])))
