@@ -222,6 +222,16 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [(r.doc_id, r.exact) for r in decontamination.leaks(table(spark, texts), bench).collect()] == [(0, False)]
 
 
+def test_runs_are_judged_by_their_own_slots(spark):
+    item = "add 3 apples to 3 pears and then give 3 plums to the old man near the well"
+    bench = spark.createDataFrame([(1, item), (2, "we walk with 4 dogs over that long green hill today until 4 ends")], "item_id long, text string")
+    texts = [item.replace("3 apples", "5 apples"), "add 5 apples to 7 pears and then give 9 plums to the", "we walk with 4 dogs over that long green hill but later 9 others", "nothing of this kind"]
+    docs = table(spark, texts)
+    got = {(r.doc_id, r.item_id): (r.exact, r.consistent) for r in decontamination.leaks(docs, bench, inconsistent=True).collect()}
+    assert got == {(0, 1): (True, False), (1, 1): (False, False), (2, 2): (True, True)}
+    assert sorted(r.doc_id for r in decontamination.remove_leaks(docs, bench).collect()) == [1, 3]
+
+
 def test_warc_round_trip(spark):
     rng = random.Random(1)
     fake = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"

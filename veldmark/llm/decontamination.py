@@ -8,10 +8,12 @@ joined: SEED = WINDOW - STRIDE + 1 tokens, of benchmark items at every token,
 of documents at every STRIDE-th, so each common window has a seed in the join.
 Items shorter than WINDOW are one window of their own length, and meet windows
 of that length at every token. A hit fixes how item and document lie on each
-other; there the windows are looked up, and slots are compared: a leak needs
-every value of the item to become one and the same value in the document. If
-all values are equal the leak is exact, else the question was asked with other
-parameters.
+other; there the runs of equal template tokens that hold a window are looked
+up, and each run is judged by its own slots: it is consistent if every value of
+the item becomes one and the same value in the document. If all values are
+equal the leak is exact, else the question was asked with other parameters.
+Inconsistent runs are reported only on demand, with a flag; they are exact if
+they hold a window all whose values are equal.
 
 Only DataFrame functions are used. Seeds of documents are 28 bytes each and
 meet the benchmark's in a broadcast join when the benchmark has at most
@@ -110,8 +112,8 @@ def _places(aligned: Column, hit) -> Column:
     return F.filter(F.transform(aligned, lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """k1, k2, doc_id, item_id, n_windows, n_matched, coverage, n_slots and exact of each leak."""
+def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", inconsistent: bool = False) -> DataFrame:
+    """k1, k2, doc_id, item_id, n_windows, n_matched, coverage, n_slots, exact and consistent of each leak; inconsistent: with the runs whose slots are not consistent."""
     spark = documents.sparkSession
     work = Workspace(spark, "decontamination")
     items = benchmark.select(F.col(item_col).alias("item_id"), valued(F.col(item_text_col)).alias("v"))
@@ -141,31 +143,46 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     aligned = F.arrays_zip(over("tokens").alias("t"), over("values").alias("v"), F.slice(under("doc_tokens"), 1, F.size(over("tokens"))).alias("dt"), F.slice(under("doc_values"), 1, F.size(over("tokens"))).alias("dv"))
 
     def judged(a: Column) -> Column:
-        within = lambda r, q: (r["start"] <= q - from_) & (q - from_ + _width(F.col("tokens")) <= r["stop"])
-        n = _let(_runs(F.size(a), _places(a, lambda x: x["t"] != x["dt"])), lambda runs: F.size(F.filter("said", lambda q: F.exists(runs, lambda r: within(r, q)))))
-        return F.filter(F.array(F.struct(n.alias("n_windows"), F.filter(a, lambda x: x["t"] == x["dt"]).alias("same"))), lambda x: x["n_windows"] > 0)
+        width = _width(F.col("tokens"))
+        inside = lambda r: F.filter("said", lambda q: (r["start"] <= q - from_) & (q - from_ + width <= r["stop"]))
+        slot = lambda x: x["t"].isin("##", "@@", "%%")
+
+        def of(run: Column) -> Column:
+            own = F.slice(a, run["start"] + 1, run["stop"] - run["start"])
+            slots = F.array_distinct(F.transform(F.filter(own, slot), lambda x: F.struct(x["v"].alias("v"), x["dv"].alias("dv"))))
+            consistent = lambda s: F.size(s) == F.size(F.array_distinct(F.transform(s, lambda x: x["v"])))
+            equal = lambda xs: ~F.exists(xs, lambda x: x["v"] != x["dv"])
+            verbatim = F.exists(inside(run), lambda q: equal(F.slice(a, q - from_ + 1, width)))
+            return _let(slots, lambda s: F.struct(F.size(inside(run)).alias("n_windows"), (run["stop"] - run["start"]).alias("matched"), F.size(s).alias("n_slots"), consistent(s).alias("consistent"), F.when(consistent(s), equal(s)).otherwise(verbatim).alias("exact")))
+
+        runs = F.filter(_runs(F.size(a), _places(a, lambda x: x["t"] != x["dt"])), lambda r: F.size(inside(r)) > 0)
+        found = F.transform(runs, of)
+        return found if inconsistent else F.filter(found, lambda x: x["consistent"])
+
+    def summed(runs: Column) -> Column:
+        total = lambda c: F.aggregate(F.transform(runs, lambda x: x[c]), F.lit(0), lambda s, x: s + x)
+        some = lambda c: F.exists(runs, lambda x: x[c])
+        one = F.struct(*(total(c).alias(c) for c in ("n_windows", "matched", "n_slots")), *(some(c).alias(c) for c in ("consistent", "exact")))
+        return F.filter(F.array(one), lambda x: x["n_windows"] > 0)
 
     # generated, as a filter would be pushed to where these columns are worked out again for each use
-    pairs = pairs.select("k1", "k2", "doc_id", "item_id", size.alias("size"), F.inline(_let(aligned, judged)))
-    slots = F.array_distinct(F.transform(F.filter("same", lambda x: x["t"].isin("##", "@@", "%%")), lambda x: F.struct(x["v"].alias("v"), x["dv"].alias("dv"))))
-    pairs = pairs.select("k1", "k2", "doc_id", "item_id", "n_windows", "size", F.size("same").alias("matched"), slots.alias("slots"))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["v"])))
-    pairs = pairs.where(consistent).select("*", (~F.exists("slots", lambda x: x["v"] != x["dv"])).alias("exact"))
+    pairs = pairs.select("k1", "k2", "doc_id", "item_id", size.alias("size"), F.inline(_let(_let(aligned, judged), summed)))
     return pairs.groupBy("k1", "k2", "doc_id", "item_id").agg(
         F.sum("n_windows").cast("bigint").alias("n_windows"), F.max("matched").cast("bigint").alias("n_matched"), F.round(F.max(F.col("matched") / F.col("size")), 6).alias("coverage"),
-        F.max(F.size("slots")).cast("bigint").alias("n_slots"), F.bool_or("exact").alias("exact"),
+        F.max("n_slots").cast("bigint").alias("n_slots"), F.bool_or("exact").alias("exact"), F.bool_or("consistent").alias("consistent"),
     )
 
 
 def remove_leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The documents that leak no item, with their own columns."""
+    """The documents that leak no item, with their own columns: those with consistent or exact runs go."""
     own = documents.columns
     k1, k2 = row_keys(F.col(id_col), F.col(text_col))
-    gone = leaks(documents, benchmark, id_col=id_col, text_col=text_col, **columns).select("k1", "k2").distinct()
+    found = leaks(documents, benchmark, id_col=id_col, text_col=text_col, inconsistent=True, **columns)
+    gone = found.where("exact or consistent").select("k1", "k2").distinct()
     keyed = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)), k1, k2)
     return keyed.join(gone, ["k1", "k2"], "left_anti").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots", "exact")
+    found = leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), inconsistent=True)
+    return found.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots", "exact", "consistent")
