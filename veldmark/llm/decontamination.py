@@ -1,30 +1,44 @@
 """Benchmark decontamination by template windows.
 
-Texts become templates: numbers, names (capitalised words inside a sentence)
-and units after numbers turn into the typed placeholders ``##``, ``@@`` and
-``%%``; case and punctuation go. What counts is a window of WINDOW template
-tokens at any place of item and document. To find all of them, seeds are hash-
-joined: SEED = WINDOW - STRIDE + 1 tokens, of benchmark items at every token,
-of documents at every STRIDE-th, so each common window has a seed in the join.
-Items shorter than WINDOW are one window of their own length, and meet windows
-of that length at every token. A hit fixes how item and document lie on each
-other; there the runs of equal template tokens that hold a window are looked
-up, and each run is judged by its own slots: it is consistent if every value of
-the item becomes one and the same value in the document. If all values are
-equal the leak is exact, else the question was asked with other parameters.
-Inconsistent runs are reported only on demand, with a flag; they are exact if
-they hold a window all whose values are equal.
-
-Only DataFrame functions are used. Seeds of documents are 28 bytes each and
-meet the benchmark's in a broadcast join when the benchmark has at most
-FEW_WINDOWS of them, else in a shuffled one. A passage that a third of all
-documents holds costs a row for each document and seed, no pairs.
-
-Defined cases: null and empty texts have no windows; nor have items all whose
-windows hold less than LEAST_PLAIN different plain words, so these are never
-found, however long they are; equal rows get equal results; empty
-tables give empty results; a document may leak several items. Other columns
-are ignored (``remove_leaks`` keeps the documents' own).
+Texts become templates token by token: a token whose first letter or digit is a
+digit is a number, one that begins with a capital and a small letter is a name
+(at a sentence's start too), and a unit word after a number is a unit. Case and
+punctuation go; the values of the slots are kept beside their placeholders.
+
+What counts is a window of WINDOW tokens, at any place of item and document; all
+windows of both are hash-joined, those of documents from each token on:
+
+* template windows with LEAST_WORDS different words outside their slots, which
+  also meet a question that was asked with other parameters, and
+* value windows with LEAST_WORDS different values, which meet a verbatim copy
+  whatever its case and however few words lie outside its slots.
+
+An item shorter than WINDOW is one window of its own length. An item without any
+such window says too little to be told from chance inside other text: it is found
+where a document holds nothing else.
+
+A hit fixes how item and document lie on each other. There the runs of equal
+tokens that hold a window are looked up, and each run is judged by its own slots:
+it is consistent if every value of the item becomes one and the same value in the
+document, and exact if all values are equal. Inconsistent runs are reported only
+on demand, with a flag; they are exact if they hold a value window.
+
+Windows that several items share (a heading that all questions have) would meet
+each document once for each item. So a window belongs to one item, the one with
+the least id (of each pattern of equal slots, at most 15): a document costs its own
+windows, and leaks are reported for these representatives. ``representatives`` tells
+for each item which others stand for its windows.
+
+Only DataFrame functions are used. The benchmark's windows are broadcast if there
+are at most FEW_WINDOWS of them, else joined by a shuffle. A hit carries the part
+of the document that lies under the item, not the document.
+
+Defined cases: null and empty texts have no windows and leak nothing, and null and
+empty items are not found; equal rows of documents are one row of the result, equal
+rows of the benchmark one item; ties between items go to the least id, then to a hash
+of the item; very long texts and items cost their length; empty tables give empty
+results; a document may leak several items. Other columns are ignored
+(``remove_leaks`` keeps the documents' own, and all of several equal rows or none).
 """
 
 from __future__ import annotations
@@ -35,11 +49,15 @@ from pyspark.sql import functions as F
 from .storage import Workspace, row_keys
 
 WINDOW = 8
-STRIDE = 3
-SEED = WINDOW - STRIDE + 1
-LEAST_PLAIN = 4
+LEAST_WORDS = 4
 FEW_WINDOWS = 1_000_000
+TEMPLATE, VALUE = 1, 2
 MARK = "\x01"
+#: A slot is a token that holds MARK and one of these before its value.
+NUMBER, NAME, UNIT = MARK + "#", MARK + "@", MARK + "%"
+SPACE = r"\x20\x09-\x0D"
+#: Characters that texts lose before they are cut into tokens.
+PUNCTUATION = MARK + ".,;:!?\"'()[]{}…«»“”‘’`"
 # Units that may follow a number.
 UNITS = "km|cm|mm|m|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|t|tons?|lbs?|pounds?|l|ml|litres?|liters?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|eur|euros?|usd|dollars?|cents?|percent|degrees?|kmh|mph|hz|khz|mhz|ghz|w|kw|kwh|v|a|kb|mb|gb|tb"
 
@@ -49,57 +67,89 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def valued(text: Column) -> Column:
-    """The text in lower case without punctuation, where slots keep their value behind a mark: MARK, kind, value."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.when(F.contains(t, F.lit(MARK)), F.translate(t, MARK, " ")).otherwise(t)
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:][ \t])\p{Lu}(?=\p{Ll})", f"{MARK}@$0")
-    slots = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, rf"(?i)(?<=[0-9])([ \t]+)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{MARK}%$2"), r"(?<![\p{L}\p{N}])[0-9]", f"{MARK}#$0")).otherwise(t)
-    return F.lower(F.translate(_let(t, slots), ".,;:!?\"'()[]{}…«»“”‘’`", ""))
+def marked(text: Column, units: str = UNITS) -> Column:
+    """Lower-case tokens without punctuation, slots with their mark. Patterns begin with what is rare, so that most characters cost one look. A text without tokens gives one empty token."""
+    t = F.btrim(F.translate(F.coalesce(text, F.lit("")), PUNCTUATION, ""), F.lit(" \t\n\x0b\x0c\r"))
+    t = F.regexp_replace(t, rf"\p{{Lu}}(?<=(?:^|[{SPACE}])\p{{Lu}})(?=\p{{Ll}})", f"{NAME}$0")
+    t = F.regexp_replace(t, rf"[0-9](?<=(?:^|[{SPACE}])[^{SPACE}\p{{L}}\p{{N}}]{{0,3}}[0-9])", f"{NUMBER}$0")
+    t = F.regexp_replace(t, rf"({NUMBER}[^{SPACE}]*[{SPACE}]+)(?={units_of(units)}(?:[{SPACE}]|\z))", f"$1{UNIT}")
+    return F.split(F.lower(t), f"[{SPACE}]+")
 
 
-def template(valued_text: Column) -> Column:
-    return F.when(F.contains(valued_text, F.lit(MARK)), F.regexp_replace(valued_text, rf"[^\x20\x09-\x0D]*{MARK}([@#%])[^\x20\x09-\x0D]*", "$1$1")).otherwise(valued_text)
+def units_of(units: str) -> str:
+    return f"(?i:{units})"
 
 
-def tokens(text: Column) -> Column:
-    """Words, none empty."""
-    return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+def template(tokens: Column) -> Column:
+    """Of marked tokens: slots as their marks alone."""
+    return F.transform(tokens, lambda t: F.when(F.contains(t, F.lit(MARK)), F.regexp_extract(t, f"{MARK}.", 0)).otherwise(t))
 
 
-def _seeds(table: DataFrame, own: list[str], widths: dict[int, int]) -> DataFrame:
-    """own, pos and key of the runs of the column ``tokens``: of each width at every so many tokens."""
+def values(tokens: Column) -> Column:
+    """Of marked tokens: all as they were."""
+    return F.transform(tokens, lambda t: F.when(F.contains(t, F.lit(MARK)), F.regexp_replace(t, f"{MARK}.", "")).otherwise(t))
 
-    def keyed(t: Column) -> Column:
-        def of(width: int, step: int) -> Column:
-            last = F.size(t) - width
-            starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(t, i + 1, F.lit(width))).alias("key")))
 
-        return F.concat(*(of(*x) for x in widths.items()))
+def is_slot(token: Column) -> Column:
+    return F.contains(token, F.lit(MARK))
 
-    return table.select(*own, _let(F.col("tokens"), keyed).alias("seeds")).select(*own, F.inline("seeds"))
 
+def _keyed(tokens: Column, kind: int, widths: list[int]) -> Column:
+    """Keys of the runs of tokens of these widths (WINDOW at most): for each width one from each token on. Those that would go beyond the end meet nothing, as their key is of fewer tokens."""
+    run = lambda one, w: F.transform(one, lambda x, i: F.xxhash64(F.lit(kind * 100 + w), x, *(F.get(one, i + k) for k in range(1, w))))
+    return _let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda one: F.concat(*(run(one, w) for w in widths)))
 
-def _width(tokens: Column) -> Column:
-    """Of an item's windows."""
-    return F.least(F.lit(WINDOW), F.size(tokens))
 
+def _whole_key(values: Column) -> Column:
+    return F.xxhash64(F.lit("whole"), values)
 
-def benchmark_windows(items: DataFrame) -> DataFrame:
-    """items with ``said``: places of the windows that say enough."""
-    last = F.size("tokens") - _width(F.col("tokens"))
-    window = lambda i: F.slice("tokens", i + 1, _width(F.col("tokens")))
-    plain = lambda i: F.size(F.array_distinct(F.filter(window(i), lambda t: ~t.isin("##", "@@", "%%")))) >= LEAST_PLAIN
-    return items.withColumn("said", F.filter(F.sequence(F.lit(0), last), plain))
 
+def _different(tokens: Column) -> Column:
+    return F.size(F.array_distinct(tokens))
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """item, item_pos, width and key of the seeds under the windows that say enough."""
-    width = F.when(F.size("tokens") < WINDOW, F.size("tokens")).otherwise(SEED)
-    starts = F.array_distinct(F.flatten(F.transform("said", lambda p: F.sequence(p, p + _width(F.col("tokens")) - width))))
-    keyed = F.transform(starts, lambda i: F.struct(i.alias("item_pos"), width.alias("width"), F.xxhash64(F.slice("tokens", i + 1, width)).alias("key")))
-    return items.select("item", F.inline(keyed)).distinct()
+
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, units: str) -> DataFrame:
+    """item_id, item (a key), vals, tokens, width, and said and told: places of the template and of the value windows that say enough."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(text_col), units).alias("m")).where("m[0] <> ''")
+    items = items.select("item_id", F.xxhash64("item_id", "m").alias("item"), values(F.col("m")).alias("vals"), template(F.col("m")).alias("tokens")).dropDuplicates(["item"])
+    items = items.withColumn("width", F.least(F.lit(WINDOW), F.size("vals")))
+    window = lambda c, i: F.slice(c, i + 1, F.col("width"))
+    places = F.sequence(F.lit(0), F.size("vals") - F.col("width"))
+    said = F.filter(places, lambda i: _different(F.filter(window("tokens", i), lambda t: ~is_slot(t))) >= LEAST_WORDS)
+    told = F.filter(places, lambda i: _different(window("vals", i)) >= LEAST_WORDS)
+    return items.withColumn("said", said).withColumn("told", told)
+
+
+def widths_of(items: DataFrame) -> list[int]:
+    return sorted(r["width"] for r in items.select("width").distinct().collect()) or [WINDOW]
+
+
+def benchmark_keys(items: DataFrame, widths: list[int]) -> DataFrame:
+    """key, pattern, item_id, item and item_pos of all windows that count."""
+    own = ["item_id", "item", "item_pos", "key"]
+    parts = []
+    for kind, column, places in ((TEMPLATE, "tokens", "said"), (VALUE, "vals", "told")):
+        every = F.lit(None).cast("array<bigint>")
+        for w in widths:
+            every = F.when(F.col("width") == w, _keyed(F.col(column), kind, [w])).otherwise(every)
+        of = items.select("item_id", "item", "vals", "tokens", "width", places, F.posexplode(every).alias("item_pos", "key")).where(F.array_contains(places, F.col("item_pos")))
+        held = F.slice(F.arrays_zip(F.col("tokens").alias("t"), F.col("vals").alias("v")), F.col("item_pos") + 1, F.col("width"))
+        slots = F.transform(F.filter(held, lambda x: is_slot(x["t"])), lambda x: x["v"])
+        same = _let(slots, lambda s: F.array_join(F.transform(s, lambda v: F.array_position(s, v).cast("string")), ","))
+        parts.append(of.select(*own, (same if kind == TEMPLATE else F.lit("")).alias("pattern")))
+    small = items.where((F.size("said") == 0) & (F.size("told") == 0))
+    return parts[0].unionByName(parts[1]).unionByName(small.select("item_id", "item", F.lit(0).alias("item_pos"), _whole_key(F.col("vals")).alias("key"), F.lit("").alias("pattern")))
+
+
+def _owned(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key", "pattern").agg(F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "item", "item_pos")).alias("own"))
+
+
+def representatives(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", units: str = UNITS) -> DataFrame:
+    """item_id, representative: the items that stand for an item's windows (often itself)."""
+    items = Workspace(benchmark.sparkSession, "decontamination").write(benchmark_items(benchmark, item_col, item_text_col, units), "items")
+    keys = benchmark_keys(items, widths_of(items))
+    return keys.join(_owned(keys), ["key", "pattern"]).select("item_id", F.col("own.item_id").alias("representative")).distinct()
 
 
 def _runs(n: Column, breaks: Column) -> Column:
@@ -112,62 +162,75 @@ def _places(aligned: Column, hit) -> Column:
     return F.filter(F.transform(aligned, lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull())
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", inconsistent: bool = False) -> DataFrame:
-    """k1, k2, doc_id, item_id, n_windows, n_matched, coverage, n_slots, exact and consistent of each leak; inconsistent: with the runs whose slots are not consistent."""
-    spark = documents.sparkSession
-    work = Workspace(spark, "decontamination")
-    items = benchmark.select(F.col(item_col).alias("item_id"), valued(F.col(item_text_col)).alias("v"))
-    items = items.select("item_id", F.xxhash64("item_id", "v").alias("item"), tokens("v").alias("values"), tokens(template(F.col("v"))).alias("tokens"))
-    items = work.write(benchmark_windows(items).where(F.size("said") > 0), "items")
-    known = work.write(benchmark_seeds(items), "item-seeds")
-    widths = {SEED: STRIDE} | {r["n"]: 1 for r in items.select(F.size("tokens").alias("n")).where(F.col("n") < WINDOW).distinct().collect()}
-    known_count, known = known.count(), known.select("item", "item_pos", "key")
-    if known_count <= FEW_WINDOWS:
-        known = F.broadcast(known)
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(F.col(id_col), F.col(text_col)))
-    shaped = docs.select("k1", "k2", valued(F.col("text")).alias("v")).select("k1", "k2", tokens(template(F.col("v"))).alias("tokens"))
-    hits = _seeds(shaped, ["k1", "k2"], widths).join(known, "key")
-    # how an item lies on a document; equal rows hit alike
-    laid = hits.select("k1", "k2", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    laid = work.write(laid, "laid")
-    found = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "shift")).alias("laid"))
-    # dealt by key whatever the number of hits: their documents can be most of the corpus
-    texts = docs.join(found.hint("merge"), ["k1", "k2"]).withColumn("v", valued(F.col("text")))
-    texts = texts.select("k1", "k2", "doc_id", tokens("v").alias("doc_values"), tokens(template(F.col("v"))).alias("doc_tokens"), F.explode("laid").alias("l"))
-    pairs = texts.select("k1", "k2", "doc_id", "doc_values", "doc_tokens", "l.*")
-    pairs = pairs.join(F.broadcast(items) if items.count() <= FEW_WINDOWS // 100 else items, "item")
-    # the document's tokens under the item's
-    from_, size = F.greatest(-F.col("shift"), F.lit(0)), F.size("tokens")
-    under = lambda c: F.slice(c, F.col("shift") + from_ + 1, size - from_)
-    over = lambda c: F.slice(c, from_ + 1, F.greatest(F.least(size - from_, F.size("doc_tokens") - F.col("shift") - from_), F.lit(0)))
-    aligned = F.arrays_zip(over("tokens").alias("t"), over("values").alias("v"), F.slice(under("doc_tokens"), 1, F.size(over("tokens"))).alias("dt"), F.slice(under("doc_values"), 1, F.size(over("tokens"))).alias("dv"))
-
-    def judged(a: Column) -> Column:
-        width = _width(F.col("tokens"))
-        inside = lambda r: F.filter("said", lambda q: (r["start"] <= q - from_) & (q - from_ + width <= r["stop"]))
-        slot = lambda x: x["t"].isin("##", "@@", "%%")
+def _judged(a: Column, from_: Column, whole: Column, inconsistent: bool) -> Column:
+    """The runs of an alignment (t and v of the item over dt and dv of the document), each with its windows and slots."""
+    width = F.col("width")
+
+    def with_breaks(b: Column) -> Column:
+        free = lambda q, breaks: ~F.exists(breaks, lambda p: (p >= q - from_) & (p < q - from_ + width))
+        inside = lambda run, q: (run["start"] <= q - from_) & (q - from_ + width <= run["stop"])
+        here = lambda run, places, breaks: F.filter(places, lambda q: inside(run, q) & free(q, breaks))
 
         def of(run: Column) -> Column:
             own = F.slice(a, run["start"] + 1, run["stop"] - run["start"])
-            slots = F.array_distinct(F.transform(F.filter(own, slot), lambda x: F.struct(x["v"].alias("v"), x["dv"].alias("dv"))))
+            told = here(run, F.col("told"), b["v"])
+            n_windows = F.size(F.array_union(here(run, F.col("said"), b["t"]), told)) + whole.cast("int")
+            slots = F.array_distinct(F.transform(F.filter(own, lambda x: is_slot(x["t"])), lambda x: F.struct(x["v"].alias("v"), x["dv"].alias("dv"))))
             consistent = lambda s: F.size(s) == F.size(F.array_distinct(F.transform(s, lambda x: x["v"])))
-            equal = lambda xs: ~F.exists(xs, lambda x: x["v"] != x["dv"])
-            verbatim = F.exists(inside(run), lambda q: equal(F.slice(a, q - from_ + 1, width)))
-            return _let(slots, lambda s: F.struct(F.size(inside(run)).alias("n_windows"), (run["stop"] - run["start"]).alias("matched"), F.size(s).alias("n_slots"), consistent(s).alias("consistent"), F.when(consistent(s), equal(s)).otherwise(verbatim).alias("exact")))
+            equal = ~F.exists(own, lambda x: x["v"] != x["dv"])
+            judge = lambda s: F.struct(n_windows.alias("n_windows"), F.size(own).alias("matched"), F.size(s).alias("n_slots"), consistent(s).alias("consistent"), (equal | (~consistent(s) & (F.size(told) > 0))).alias("exact"))
+            return _let(slots, judge)
 
-        runs = F.filter(_runs(F.size(a), _places(a, lambda x: x["t"] != x["dt"])), lambda r: F.size(inside(r)) > 0)
-        found = F.transform(runs, of)
+        found = F.filter(F.transform(_runs(F.size(a), b["both"]), of), lambda x: x["n_windows"] > 0)
         return found if inconsistent else F.filter(found, lambda x: x["consistent"])
 
-    def summed(runs: Column) -> Column:
-        total = lambda c: F.aggregate(F.transform(runs, lambda x: x[c]), F.lit(0), lambda s, x: s + x)
-        some = lambda c: F.exists(runs, lambda x: x[c])
-        one = F.struct(*(total(c).alias(c) for c in ("n_windows", "matched", "n_slots")), *(some(c).alias(c) for c in ("consistent", "exact")))
-        return F.filter(F.array(one), lambda x: x["n_windows"] > 0)
+    differ_t, differ_v = lambda x: x["t"] != x["dt"], lambda x: x["v"] != x["dv"]
+    breaks = F.struct(_places(a, differ_t).alias("t"), _places(a, differ_v).alias("v"), _places(a, lambda x: differ_t(x) & differ_v(x)).alias("both"))
+    return _let(breaks, with_breaks)
+
+
+def _summed(runs: Column) -> Column:
+    total = lambda c: F.aggregate(F.transform(runs, lambda x: x[c]), F.lit(0), lambda s, x: s + x)
+    some = lambda c: F.exists(runs, lambda x: x[c])
+    most = F.array_max(F.transform(runs, lambda x: x["matched"]))
+    one = F.struct(total("n_windows").alias("n_windows"), most.alias("matched"), total("n_slots").alias("n_slots"), *(some(c).alias(c) for c in ("consistent", "exact")))
+    return F.filter(F.array(one), lambda x: x["n_windows"] > 0)
+
 
+def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", inconsistent: bool = False, units: str = UNITS) -> DataFrame:
+    """k1, k2, doc_id, item_id (of the representative), n_windows, n_matched (longest run), coverage, n_slots, exact and consistent of each leak; inconsistent: with the runs whose slots are not consistent."""
+    spark = documents.sparkSession
+    work = Workspace(spark, "decontamination")
+    items = work.write(benchmark_items(benchmark, item_col, item_text_col, units), "items")
+    widths = widths_of(items)
+    known = _owned(benchmark_keys(items, widths)).select("key", "own.item", "own.item_pos")
+    known = work.write(known.join(items.select("item", F.size("vals").alias("size")), "item"), "known")
+    few = known.count() <= FEW_WINDOWS
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(F.col(id_col), F.col(text_col)))
+    # windows of one kind and width after another, then the whole: places repeat with the number of tokens
+    keys = lambda m: F.concat(_keyed(template(m), TEMPLATE, widths), _keyed(values(m), VALUE, widths), F.array(_whole_key(values(m))))
+    every = docs.select("k1", "k2", _let(marked(F.col("text"), units), lambda m: F.struct(F.size(m).alias("n"), keys(m).alias("keys"))).alias("s"))
+    every = every.select("k1", "k2", F.col("s.n").alias("n"), F.posexplode("s.keys").alias("at", "key"))
+    hits = every.join(F.broadcast(known) if few else known, "key").withColumn("pos", F.col("at") % F.col("n"))
+    # how an item lies on a document; equal rows hit alike
+    laid = work.write(hits.select("k1", "k2", "item", "size", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "laid")
+    found = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "size", "shift")).alias("laid"))
+    # dealt by key whatever the number of hits: their documents can be most of the corpus
+    texts = docs.join(found.hint("merge"), ["k1", "k2"]).select("k1", "k2", "doc_id", "laid", marked(F.col("text"), units).alias("m"))
+    texts = texts.select("k1", "k2", "doc_id", "laid", values(F.col("m")).alias("dv"), template(F.col("m")).alias("dt"))
+    before = lambda shift: F.greatest(-shift, F.lit(0))
+    under = lambda d, h, c: F.slice(d[c], h["shift"] + before(h["shift"]) + 1, h["size"] - before(h["shift"]))
+    parts = lambda d: F.transform(d["laid"], lambda h: F.struct(h["item"].alias("item"), h["shift"].alias("shift"), (F.size(d["dv"]) == h["size"]).alias("alone"), under(d, h, "dv").alias("dv"), under(d, h, "dt").alias("dt")))
+    pairs = texts.select("k1", "k2", "doc_id", F.inline(_let(F.struct("laid", "dv", "dt"), parts)))
+    pairs = pairs.join(F.broadcast(items) if few else items, "item")
+    from_ = before(F.col("shift"))
+    over = lambda c: F.slice(c, from_ + 1, F.size("dv"))
+    aligned = F.arrays_zip(over("tokens").alias("t"), over("vals").alias("v"), F.col("dt"), F.col("dv"))
+    whole = F.col("alone") & (F.size("said") == 0) & (F.size("told") == 0)
     # generated, as a filter would be pushed to where these columns are worked out again for each use
-    pairs = pairs.select("k1", "k2", "doc_id", "item_id", size.alias("size"), F.inline(_let(_let(aligned, judged), summed)))
-    return pairs.groupBy("k1", "k2", "doc_id", "item_id").agg(
+    judged = _let(_let(aligned, lambda a: _judged(a, from_, whole, inconsistent)), _summed)
+    rows = pairs.select("k1", "k2", "doc_id", "item_id", "item", "shift", F.size("vals").alias("size"), F.inline(judged)).distinct()
+    return rows.groupBy("k1", "k2", "doc_id", "item_id").agg(
         F.sum("n_windows").cast("bigint").alias("n_windows"), F.max("matched").cast("bigint").alias("n_matched"), F.round(F.max(F.col("matched") / F.col("size")), 6).alias("coverage"),
         F.max("n_slots").cast("bigint").alias("n_slots"), F.bool_or("exact").alias("exact"), F.bool_or("consistent").alias("consistent"),
     )
