@@ -1,7 +1,8 @@
 """Golden values and table-driven cases of the functions."""
 
 import random
-from decimal import ROUND_HALF_UP, Decimal
+import re
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,13 +85,69 @@ def test_split_record(spark):
     assert split('a;"b;c";"d ""e"""') == ["a", "b;c", 'd "e"']
     assert split("a;;") == ["a", "", ""]
     assert split('a;"open') is None
+    assert split('""') == [""] and split('"";""') == ["", ""] and split('""""') == ['"'] and split('"a""";b') == ['a"', "b"]
+    assert split('a"b;c') is None and split('"a"b;c') is None and split('a;"b" ;c') is None and split('"a\x00b";\x00') == ["a\x00b", "\x00"]
+
+
+def test_split_record_as_a_reader_of_one_line(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice('ab;"') for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    field = r'(?:"((?:[^"]|"")*)"|([^;"]*))'
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").coalesce(1).select(text.split_record(F.col("x"), ";", '"')).collect()]
+    for line, fields in zip(lines, got, strict=True):
+        good = re.fullmatch(f"{field}(?:;{field})*", line)
+        want = [m[1].replace('""', '"') if m[1] is not None else m[2] for m in re.finditer(f";{field}", ";" + line)] if good else None
+        assert fields == want, line
+
+
+def test_long_quoted_fields(spark):
+    for field in ("x" * 100_000, 'y""' * 30_000, ";" * 50_000):
+        got = one(spark, text.split_record(F.concat(F.lit("a;"), F.lit(f'"{field}"'), F.lit(";b")), ";", '"'))[0]
+        assert got == ["a", field.replace('""', '"'), "b"]
+
+
+def test_wide_amounts(spark):
+    c = F.lit("123456789012345678,123456")
+    plain = text.plain_decimal(c)
+    got = one(spark, text.price_error(c, plain), text.micro_units(plain), fp.amount_text(text.micro_units(plain)), numeric.half_up_percent(text.micro_units(plain), text.micro_units(F.lit("0.000003"))), numeric.half_up_percent(text.micro_units(plain) * 2 + 1, text.micro_units(plain)))
+    assert (got[0], int(got[1]), got[2]) == (None, 123456789012345678123456, "123456789012345678.123456")
+    n = 123456789012345678123456
+    assert int(got[3]) == (2 * n * 10**14 + 3) // 6 if (2 * n * 10**14 + 3) // 6 < numeric.MOST_SHARE else int(got[3]) == numeric.MOST_SHARE
+    assert int(got[4]) == (2 * (2 * n + 1) * 10**14 + n) // (2 * n)
+
+
+def test_arithmetic_is_exact(spark):
+    rng = random.Random(5)
+    number = lambda: f"{rng.choice(['', '-'])}{rng.randrange(10 ** rng.randint(1, 18))}" + rng.choice(["", f".{rng.randrange(10**6):06d}", f".{rng.randrange(10**12):012d}", ".5"])
+    rows = [(i, number(), number()) for i in range(300)] + [(900, "0.000000499999", "1"), (901, "0.0000005", "1"), (902, "-0.0000005", "1"), (903, "1", "3"), (904, "5", "0"), (905, "x", "1"), (906, "2", "7000000"), (907, "1.10", "2.2"), (908, "999999999999999999", "999999999999999999")]
+    df = spark.createDataFrame(rows, "i int, x string, y string").coalesce(1)
+    for places in (0, 2, 6, 12):
+        for op in ("add", "subtract", "multiply", "divide", "percentage"):
+            value, error = transforms.arithmetic(F.col("x"), op, F.col("y"), places)
+            with localcontext() as ctx:
+                ctx.prec = 200
+                for r in df.select("i", "x", "y", value.alias("v"), error.alias("e")).collect():
+                    if r.x == "x":
+                        assert r.e == "TRANSFORM_FAILED"
+                        continue
+                    x, y = Decimal(r.x), Decimal(r.y)
+                    if op in ("divide", "percentage") and y == 0:
+                        assert (r.v, r.e) == (None, "TRANSFORM_DIVIDE_BY_ZERO")
+                        continue
+                    want = {"add": lambda: x + y, "subtract": lambda: x - y, "multiply": lambda: x * y, "divide": lambda: x / y, "percentage": lambda: x * 100 / y}[op]()
+                    if op not in ("add", "subtract"):
+                        want = want.quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)
+                    if r.v is None:
+                        assert r.e == "TRANSFORM_FAILED" and abs(want) >= 10**20
+                    else:
+                        assert r.e is None and r.v == f"{abs(want) if want == 0 else want:f}", (op, places, r)
 
 
 def test_transforms(spark):
     t = transforms
     null = F.lit(None).cast("string")
     got = one(spark, t.affix(null, "p")[0], t.concat([null, F.lit("b")], "-")[0], t.split_part(F.lit("a||c"), "|", 2)[0], t.split_part(F.lit("a"), "|", 2)[1], t.mapped(F.lit("RED"), {"red": "r"}, True)[0], t.mapped(F.lit("blue"), {"red": "r"})[1], t.arithmetic(F.lit("1"), "divide", F.lit("0"))[1], t.defaulted(F.lit(""), "x")[0], t.arithmetic(F.lit("10"), "divide", F.lit("3"), 2)[0].cast("string"))
-    assert list(got) == [None, "-b", "", "SPLIT_PART_MISSING", "r", "MAP_VALUE_UNKNOWN", "DIVISION_BY_ZERO", "", "3.33"]
+    assert list(got) == [None, "-b", "", "TRANSFORM_FAILED", "r", "MAPPING_VALUE_UNKNOWN", "TRANSFORM_DIVIDE_BY_ZERO", "", "3.33"]
 
 
 def test_settings():

@@ -51,8 +51,8 @@ def price_error(c: Column, plain: Column, places: int = 6, digits: int = 18) ->
 
 
 def micro_units(plain: Column) -> Column:
-    """A plain decimal in whole micro-units (up to about 9.2e12), null where it doesn't fit."""
-    return (plain.try_cast("decimal(24,6)") * F.lit(1_000_000).cast("decimal(7,0)")).try_cast("bigint")
+    """A plain decimal in whole micro-units, decimal(24,0): 18 digits before the point and six after. price_error tells what doesn't fit; here it is null."""
+    return (plain.try_cast("decimal(24,6)") * F.lit(1_000_000).cast("decimal(7,0)")).try_cast("decimal(24,0)")
 
 
 def parsed_boolean(c: Column) -> Column:
@@ -73,13 +73,27 @@ def parsed_instant(c: Column, pattern: str, zone: str) -> Column:
 
 
 def split_record(line: Column, delimiter: str, quote: str | None) -> Column:
-    """Fields of one physical line, null where a quote is left open. A doubled quote inside quotes is one."""
+    """Fields of one physical line, null where a quote is left open or stands inside a plain field. A doubled quote inside quotes is one.
+
+    Cut at quotes, every second piece lies inside them, and an empty piece between
+    two of these is a doubled quote. Delimiters outside become an escape that no
+    text holds, so the work is linear in the line, without patterns that repeat.
+    """
     d = "\\" + delimiter
     if not quote:
         return F.split(line, d, -1)
-    q = "\\" + quote
-    field = rf"{d}(?:{q}((?:[^{q}]|{q}{q})*){q}|([^{d}{q}]*))"
-    led = F.concat(F.lit(delimiter), line)
-    parts = F.regexp_extract_all(led, F.lit(field), F.lit(0))
-    unquoted = F.transform(parts, lambda p: F.when(F.substring(p, 2, 1) == quote, F.replace(F.substring(p, 3, F.length(p) - 3), F.lit(quote * 2), F.lit(quote))).otherwise(F.substring(p, 2, F.length(p))))
-    return F.when(~F.contains(line, F.lit(quote)), F.split(line, d, -1)).when(F.array_join(parts, "") == led, unquoted)
+    letters = [c for c in "abcd" if c not in (delimiter, quote)]
+    escape, nul, cut = "\x00", "\x00" + letters[0], "\x00" + letters[1]
+    pieces = F.split(F.replace(line, F.lit(escape), F.lit(nul)), "\\" + quote, -1)
+
+    def read(x: Column) -> Column:
+        p, n = x["p"], x["n"]
+        inner = lambda s, i: (s == "") & (i > 0) & (i < n - 1)
+        good = lambda s, i: (i % 2 == 1) | (s == "") | (((i == 0) | s.startswith(delimiter)) & ((i == n - 1) | s.endswith(delimiter)))
+        text = F.array_join(F.transform(p, lambda s, i: F.when(i % 2 == 1, s).when(inner(s, i), quote).otherwise(F.replace(s, F.lit(delimiter), F.lit(cut)))), "")
+        fields = F.transform(F.split(text, cut, -1), lambda f: F.replace(f, F.lit(nul), F.lit(escape)))
+        judged = F.transform(p, lambda s, i: good(s, i))
+        return F.when((n % 2 == 1) & ~F.exists(judged, lambda g: ~g), fields)
+
+    quoted = F.transform(F.array(F.struct(pieces.alias("p"), F.size(pieces).alias("n"))), read)[0]
+    return F.when(F.contains(line, F.lit(quote)), quoted).otherwise(F.split(line, d, -1))

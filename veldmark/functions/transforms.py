@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numeric import exact_sum, fixed_units, product, quotient
+from .text import plain_decimal
+
 
 def _ok():
     return F.lit(None).cast("string")
@@ -33,13 +36,13 @@ def concat(columns: list[Column], separator: str = ""):
 def split_part(c: Column, separator: str, place: int):
     """The place-th part (from 1) at a literal separator; empty parts count."""
     part = F.try_element_at(F.split(c, re.escape(separator), -1), F.lit(place))
-    return part, F.when(c.isNotNull() & part.isNull(), "SPLIT_PART_MISSING")
+    return part, F.when(c.isNotNull() & part.isNull(), "TRANSFORM_FAILED")
 
 
 def mapped(c: Column, table: dict[str, str], ignore_case: bool = False):
     """Exact first, then by lower case; what is unknown is an error."""
     if not table:
-        return F.lit(None).cast("string"), F.when(c.isNotNull(), "MAP_VALUE_UNKNOWN")
+        return F.lit(None).cast("string"), F.when(c.isNotNull(), "MAPPING_VALUE_UNKNOWN")
     pairs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
     value = F.try_element_at(pairs, c)
     if ignore_case:
@@ -47,19 +50,25 @@ def mapped(c: Column, table: dict[str, str], ignore_case: bool = False):
         for k, v in table.items():
             lower.setdefault(k.lower(), v)
         value = F.coalesce(value, F.try_element_at(F.create_map(*(F.lit(x) for kv in lower.items() for x in kv)), F.lower(c)))
-    return value, F.when(c.isNotNull() & value.isNull(), "MAP_VALUE_UNKNOWN")
-
-
-def arithmetic(c: Column, operation: str, operand: Column, places: int = 6):
-    """add, subtract, multiply, divide or percentage on decimals (38,12), half up to places."""
-    x, y = c.try_cast("decimal(26,12)"), operand.try_cast("decimal(26,12)")
-    zero = y == 0
-    value = {
-        "add": x + y, "subtract": x - y, "multiply": x * y,
-        "divide": F.when(~zero, x / F.nullif(y, F.lit(0))), "percentage": F.when(~zero, x * 100 / F.nullif(y, F.lit(0))),
-    }[operation]
-    divides = operation in ("divide", "percentage")
-    return F.round(value, places), F.when(F.lit(divides) & zero, "DIVISION_BY_ZERO").when(c.isNotNull() & value.isNull(), "NUMBER_UNREADABLE")
+    return value, F.when(c.isNotNull() & value.isNull(), "MAPPING_VALUE_UNKNOWN")
+
+
+def arithmetic(c: Column, operation: str, operand: Column, places: int = 6, decimal_sep: str | None = None, grouping_sep: str | None = None):
+    """add, subtract, multiply, divide or percentage on delivered numbers, as text. Sums keep the longer fraction; the others are rounded once, half up, to places (12 at most).
+
+    Numbers have up to 18 digits before and 12 after the point; others, and results beyond what a decimal holds, are TRANSFORM_FAILED.
+    """
+    plain = [plain_decimal(x, decimal_sep, grouping_sep) for x in (c, operand)]
+    x, y = map(fixed_units, plain)
+    if operation in ("add", "subtract"):
+        scale = F.greatest(*(F.length(F.split_part(p, F.lit("."), F.lit(2))) for p in plain))
+        value = exact_sum(x, y if operation == "add" else -y, scale)
+    elif operation == "multiply":
+        value = product(x, y, places)
+    else:
+        value = quotient(x, y, places, hundreds=operation == "percentage")
+    by_zero = F.lit(operation in ("divide", "percentage")) & (y == 0)
+    return value, F.when(c.isNull(), None).when(x.isNull() | y.isNull(), "TRANSFORM_FAILED").when(by_zero, "TRANSFORM_DIVIDE_BY_ZERO").when(value.isNull(), "TRANSFORM_FAILED")
 
 
 def defaulted(c: Column, default: str):

@@ -52,10 +52,10 @@ def component_share(amount: Column, base: Column) -> Column:
 
 
 def derivation_holds(amount: Column, base: Column, share: Column, tolerance: int = 10_000) -> Column:
-    """Whether base * share gives the amount again, both rounded to cents, within a tolerance in micro-units."""
-    worked = base.cast("decimal(19,0)") * share.cast("decimal(19,0)") / F.lit(100 * SHARE_UNIT).cast("decimal(15,0)")
-    cents = F.round(worked / F.lit(10_000), 0).cast("bigint")
-    return F.abs(cents - round_half_up(amount, 10_000)) * 10_000 <= tolerance
+    """Whether base * share gives the amount again, both rounded to cents, within a tolerance in micro-units. What is too large to work out doesn't hold."""
+    worked = F.try_multiply(base.cast("decimal(24,0)"), share.cast("decimal(19,0)")).try_cast("decimal(38,0)")
+    cents = round_half_up(worked, 1_000_000 * SHARE_UNIT)
+    return F.coalesce(F.abs(cents - round_half_up(amount, 10_000)) * 10_000 <= tolerance, F.lit(False))
 
 
 def base_price_error(amount: Column, allow_zero: bool = False, allow_negative: bool = False) -> Column:

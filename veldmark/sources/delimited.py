@@ -64,19 +64,20 @@ def header_places(header: list[str], s: Structure) -> dict[str, int]:
 
 
 def header_drift(header: list[str], expected: list[str], guarded: set[str]) -> list[tuple[str, str]]:
-    """(code, field) of drift against the expected header: shifted and unknown trailing columns warn, another name where a guarded field is expected blocks."""
+    """(code, field) of drift against the expected header: a field at another place warns, a guarded field that is nowhere blocks. Unknown columns behind the last known one warn only where nothing is shifted: there the source was extended."""
     fold = [h.strip().lower() for h in header]
-    out = []
+    out, last, shifted = [], -1, False
     for i, name in enumerate(expected):
-        here = fold[i] if i < len(fold) else None
-        if here == name.strip().lower():
+        if (key := name.strip().lower()) not in fold:
+            if name in guarded:
+                return [*out, ("HEADER_FIELD_SEMANTIC_CHANGE", name)]
             continue
-        if name.strip().lower() in fold:
+        last = max(last, fold.index(key))
+        if fold.index(key) != i:
+            shifted = True
             out.append(("HEADER_FIELD_SHIFTED", name))
-        elif name in guarded:
-            out.append(("HEADER_FIELD_SEMANTIC_CHANGE", name))
-    out += [("HEADER_UNKNOWN_COLUMN", h) for h in header[len(expected) :] if h.strip().lower() not in {e.strip().lower() for e in expected}]
-    return out
+    known = {e.strip().lower() for e in expected}
+    return out + ([] if shifted else [("HEADER_UNKNOWN_COLUMN", h) for h in header[last + 1 :] if h.strip().lower() not in known])
 
 
 def records(lines: DataFrame, s: Structure, places: dict[str, int], width: int) -> DataFrame:
@@ -88,8 +89,10 @@ def records(lines: DataFrame, s: Structure, places: dict[str, int], width: int)
     return rows.withColumn("error_code", error).select("file", "line", "error_code", *fields)
 
 
-def read_delivery(spark: SparkSession, path: str, s: Structure, expected_records: int | None = None) -> DataFrame:
-    """The records of one delivery file; blocks on what makes the file unreadable."""
+def read_delivery(spark: SparkSession, path: str, s: Structure, expected_records: int | None = None, expected_bytes: int | None = None, expected_header: tuple[str, ...] | None = None, guarded: tuple[str, ...] = ()) -> DataFrame:
+    """The records of one delivery file; blocks on what makes the file unreadable, on a manifest that tells other numbers, and on a header that no longer has a guarded field."""
+    if expected_bytes is not None and (n := byte_size(spark, path)) != expected_bytes:
+        raise DeliveryBlocked("BYTE_SIZE_MISMATCH", f"{n} instead of {expected_bytes}")
     lines = numbered_lines(spark, path, s.charset)
     first = lines.where(F.col("line") == max(1, s.header_line)).select(without_bom(F.col("value"), F.col("line")).alias("value")).head()
     if first is None:
@@ -97,12 +100,22 @@ def read_delivery(spark: SparkSession, path: str, s: Structure, expected_records
     header = spark.range(1).select(split_record(F.lit(first["value"]), s.delimiter, s.quote).alias("h")).head()["h"]
     if header is None:
         raise DeliveryBlocked("CSV_UNCLOSED_QUOTE", "header")
+    for code, field in header_drift(header, list(expected_header), set(guarded)) if expected_header else ():
+        if code == "HEADER_FIELD_SEMANTIC_CHANGE":
+            raise DeliveryBlocked(code, field)
     rows = records(lines, s, header_places(header, s), len(header))
     if expected_records is not None and (n := rows.count()) != expected_records:
         raise DeliveryBlocked("RECORD_COUNT_MISMATCH", f"{n} instead of {expected_records}")
+    if not rows.head(1):
+        raise DeliveryBlocked("SOURCE_NO_DATA_RECORDS")
     return rows
 
 
+def byte_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below path, from the listing alone."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def archive(spark: SparkSession, path: str) -> DataFrame:
     """file, byte_size and sha256 of delivered files, each read whole (deliveries are bounded files)."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
