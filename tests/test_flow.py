@@ -61,7 +61,7 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
 
 def test_initial_load_then_same_then_price_change(spark, tmp_path):
     first = [HEADER, *(f"S;G;{i};n{i};{i},50" for i in range(1, 11))]
-    known = spark.createDataFrame([], "identity_hash string, article_fingerprint string, price_fingerprint string, combined_fingerprint string, base_price long, currency string")
+    known = spark.createDataFrame([], "identity_hash string, article_fingerprint string, price_fingerprint string, combined_fingerprint string, base_price decimal(24,0), currency string")
     counts = []
     for lines in (first, first, [*first[:3], first[3].replace("3,50", "4,50"), *first[4:]]):
         rows = delta.change_mask(delta.classified(delta.beside_state(staged(d.read_delivery(spark, write(tmp_path, f"{len(counts)}.csv", lines), SHAPE)), known)))
