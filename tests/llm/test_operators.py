@@ -299,11 +299,48 @@ def test_preference_format(spark):
 
 
 def test_pairs_of_a_table(spark):
-    turns = spark.createDataFrame([(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "p"), (1, 1, "assistant", "b"), (1, 2, "user", "r"), (4, 0, None, None), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
-    got = {r.pair_id: r for r in preference_format.pairs_of(preference_format.conversations(turns)).collect()}
-    assert len(got) == 4
-    assert [t.text for t in got[0].chosen] == ["q", "a"] and [t.text for t in got[0].rejected] == ["q", "b"]
-    assert [t.text for t in got[1].rejected] == ["p", "a"]
+    said = {
+        0: ["u:q", "a:a", "u:r", "a:b", "u:thanks"], 1: ["u:p", "a:c", "u:r", "a:d"], 4: [":"], 5: ["u:x", "a:y"], 6: ["u:x", "a:y"], 7: ["u:x", "a:y"], 8: ["u:alone", "a:alone"], -1: ["a:m"], -2: ["u:l", "a:n"], 10: ["a:1", "a:2"], 11: ["a:3"], 1 << 60: ["a:big"], (1 << 60) + 1: ["a:other"],
+    }
+    role = {"u": "user", "a": "assistant", "": None}
+    turns = [(c, i, role[t[0] if t != ":" else ""], t.partition(":")[2] or None) for c, ts in said.items() for i, t in enumerate(ts)] + [(None, 0, "user", "x"), (None, 1, "assistant", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for c in ("turns", "places", "own", "other", "id", "k", "at"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = {r.pair_id: ([t.text for t in r.chosen], [t.text for t in r.rejected]) for r in preference_format.pairs_of(preference_format.conversations(df)).collect()}
+    big = 1 << 60
+    assert got == {
+        0: (["q", "a", "r", "b", "thanks"], ["q", "c", "r", "d"]), 1: (["p", "c", "r", "d"], ["p", "a", "r", "b", "thanks"]), -1: (["m"], ["n"]), -2: (["l", "n"], ["l", "m"]), 10: (["1", "2"], ["1", "3"]), 11: (["3"], ["1", "2"]),
+        big: (["big"], ["other"]), big + 1: (["other"], ["big"]),
+    }
+
+
+def test_formatted_pairs_against_brute_force(spark):
+    rng = random.Random(12)
+    side = lambda: [{"role": rng.choice(["user", "assistant"]), "text": rng.choice(["a", "é", "\U0001f600 b", ""])} for _ in range(rng.randint(0, 7))]
+    rows = []
+    for i in range(80):
+        a = side()
+        rows.append((i, a, a[: rng.randint(0, len(a))] + side()))
+    long = [{"role": "assistant", "text": "x" * 100_000}] + [{"role": "user", "text": "y"}] * 4000
+    rows.append((99, long, [*long, {"role": "assistant", "text": "z"}]))
+    pairs = spark.createDataFrame(rows, "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    got = {r.pair_id: r for r in preference_format.format_pairs(pairs).collect()}
+    show = lambda t: f"<|{t['role']}|>\n{t['text']}<|end|>\n"
+    for i, c, r in rows:
+        n = 0
+        while n < min(len(c), len(r)) and c[n] == r[n]:
+            n += 1
+        n -= bool(n and n == len(c) == len(r))
+        assert got[i].n_shared == n and got[i].prompt == "".join(map(show, c[:n]))
+        for turns, text, mask in ((c[n:], got[i].chosen_completion, got[i].chosen_mask), (r[n:], got[i].rejected_completion, got[i].rejected_mask)):
+            at, want = 0, []
+            for t in turns:
+                head = at + len(t["role"]) + 5
+                end = head + len(t["text"]) + 8
+                want += [(at, head, False), (head, end, t["role"] == "assistant")]
+                at = end
+            assert text == "".join(map(show, turns)) and [tuple(s) for s in mask] == want
 
 
 def test_quality_classifier(spark):

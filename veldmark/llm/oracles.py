@@ -29,26 +29,28 @@ least as (select a as r, min(doc_id) as component_id from reach join d on d.r =
 select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id from d left join n using (r) join least using (r)
 """
 
-# The query's pairs differ in their last turn alone: the turns before it are the prompt.
+# A pair parts at one of its assistant turns; what both sides share is told by comparing turn after turn.
 PREFERENCE_FORMAT = r"""
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
-o as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n,
-    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered
-  from t),
-p as (select conv_id, max(i) filter (where role = 'assistant') as place from o group by conv_id),
-l as (select p.conv_id, place, o.text as said from p left join o on o.conv_id = p.conv_id and o.i = place),
-u as (
-  select a.conv_id, case when b.said is not null then a.place end as cut, b.said as swap
-  from l a left join l b on floor(a.conv_id / 2) = floor(b.conv_id / 2) and a.conv_id <> b.conv_id),
-e as (select o.*, coalesce(cut, n) as stop, cut is not null as swapped, swap from o join u using (conv_id)),
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select conv_id, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from t),
+p as (select conv_id, i, row_number() over (partition by conv_id order by i) - 1 as j from o where role = 'assistant'),
+n as (select conv_id, count(*) as n from p group by 1),
+k as (select a.conv_id, b.conv_id as other, (a.conv_id >> 1) % a.n as j, least((a.conv_id >> 1) % a.n, b.n - 1) as oj from n a join n b on (a.conv_id >> 1) = (b.conv_id >> 1) and a.conv_id <> b.conv_id),
+cut as (select k.conv_id, other, p.i as cut_at, q.i as go_on from k join p on p.conv_id = k.conv_id and p.j = k.j join p q on q.conv_id = other and q.j = oj),
+side as (
+  select 'c' as side, cut.conv_id, i, role, text from cut join o using (conv_id)
+  union all select 'r', cut.conv_id, i, role, text from cut join o using (conv_id) where i < cut_at
+  union all select 'r', cut.conv_id, i - go_on + cut_at, role, text from cut join o on o.conv_id = other where i >= go_on),
+differ as (
+  select conv_id, min(i) as i from (select * from side where side = 'c') c full join (select * from side where side = 'r') r using (conv_id, i)
+  where c.role is distinct from r.role or c.text is distinct from r.text group by 1),
 x as (
-  select conv_id, max(stop) as stop, coalesce(string_agg(rendered, '' order by i) filter (where i < stop), '') as prompt,
-    max(role) filter (where i = stop) as role, max(text) filter (where i = stop) as own, max(case when swapped then swap else text end) filter (where i = stop) as other
-  from e group by conv_id),
-y as (select *, length(role) + 5 as head, case when role = 'assistant' then ':1' else ':0' end as train from x)
-select conv_id, cast(stop - 1 as integer) as n_shared, prompt,
-  '<|' || role || '|>' || chr(10) || own || '<|end|>' || chr(10) as chosen_completion, '0:' || head || ':0,' || head || ':' || head + length(own) + 8 || train as chosen_mask,
-  '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) as rejected_completion, '0:' || head || ':0,' || head || ':' || head + length(other) + 8 || train as rejected_mask
-from y
+  select s.*, d.i - 1 as shared, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered, length(role) + 5 as head, length(role) + length(text) + 13 as len,
+    case when role = 'assistant' then ':1' else ':0' end as train from side s join differ d using (conv_id)),
+y as (select *, sum(len) over (partition by conv_id, side, i > shared order by i) - len as start from x),
+z as (select *, start || ':' || start + head || ':0,' || start + head || ':' || start + len || train as mask from y)
+select conv_id, cast(max(shared) as integer) as n_shared, coalesce(string_agg(rendered, '' order by i) filter (where side = 'c' and i <= shared), '') as prompt,
+  coalesce(string_agg(rendered, '' order by i) filter (where side = 'c' and i > shared), '') as chosen_completion, coalesce(string_agg(mask, ',' order by i) filter (where side = 'c' and i > shared), '') as chosen_mask,
+  coalesce(string_agg(rendered, '' order by i) filter (where side = 'r' and i > shared), '') as rejected_completion, coalesce(string_agg(mask, ',' order by i) filter (where side = 'r' and i > shared), '') as rejected_mask
+from z group by conv_id
 """

@@ -10,11 +10,19 @@ Only DataFrame functions are used. A conversation is one row after one
 grouping by its id; pairs meet in one join or grouping on the pair's id, so a
 first turn that a third of all conversations share costs nothing more.
 
+A table of single conversations is turned into pairs by ``pairs_of``: chosen is a
+conversation as it is, all its turns; rejected is the same one up to one of its
+assistant turns, and goes on as its neighbour does. Which turn it is follows from
+the id, so pairs diverge at any turn, and completions have one turn or many.
+
 Defined cases: turns are ordered by number, null numbers first, then role and
-text; null roles and texts are empty; equal turns stay; a side without turns
-is an empty completion; two equal conversations have all turns but the last in
-the prompt, so no completion is empty for want of a difference; other
-columns are ignored; an empty table gives an empty result.
+text; null roles and texts are empty; equal turns (and whole rows that repeat) stay;
+a side without turns is an empty completion; of two equal sides given to
+``format_pairs`` all turns but the last are the prompt; very long turns and
+conversations cost their length; other columns are ignored, whatever their names; an
+empty table gives an empty result. ``pairs_of`` makes no pair where there is no
+preference: no neighbour, no assistant turn on one of the sides, or both sides equal;
+nor of null ids.
 """
 
 from __future__ import annotations
@@ -22,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import let, starts_of
+
 HEAD, BODY, END = "<|", "|>\n", "<|end|>\n"
 
 
@@ -40,16 +50,15 @@ def _render(turns: Column) -> Column:
 
 
 def _mask(turns: Column) -> Column:
-    """Spans start, end and train that cover the rendered turns."""
-    none = F.array().cast("array<struct<start:int,end:int,train:boolean>>")
+    """Spans start, end and train that cover the rendered turns, two for each turn."""
+    head = lambda t: F.length(t["role"]) + len(HEAD) + len(BODY)
+    body = lambda t: F.length(t["text"]) + len(END)
 
-    def add(state: Column, t: Column) -> Column:
-        head = state["at"] + F.length(t["role"]) + len(HEAD) + len(BODY)
-        end = head + F.length(t["text"]) + len(END)
-        spans = F.array(F.struct(state["at"].alias("start"), head.alias("end"), F.lit(False).alias("train")), F.struct(head.alias("start"), end.alias("end"), (t["role"] == "assistant").alias("train")))
-        return F.struct(end.alias("at"), F.concat(state["out"], spans).alias("out"))
+    def span(t: Column, at: Column) -> Column:
+        said = at + head(t)
+        return F.array(F.struct(at.alias("start"), said.alias("end"), F.lit(False).alias("train")), F.struct(said.alias("start"), (said + body(t)).alias("end"), (t["role"] == "assistant").alias("train")))
 
-    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    return let(turns, lambda ts: F.flatten(F.zip_with(ts, starts_of(F.transform(ts, lambda t: head(t) + body(t))), span)))
 
 
 def format_pairs(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_col: str = "rejected", keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
@@ -69,19 +78,18 @@ def format_pairs(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_col:
 
 
 def pairs_of(whole: DataFrame) -> DataFrame:
-    """Pairs from a table without preferences: conversations 2k and 2k + 1 each are chosen once; the rejected side is the same conversation, its last assistant turn replaced by the partner's. Conversations without an assistant turn, or whose partner has none, are paired with themselves."""
-    said = F.filter("turns", lambda t: t["role"] == "assistant")
-    one = whole.select("conv_id", "turns", F.when(F.size(said) > 0, said[F.size(said) - 1]).alias("last"))
-    both = one.groupBy(F.coalesce(F.floor(F.col("conv_id") / 2), F.lit(-1)).alias("k")).agg(F.array_sort(F.collect_list(F.struct("conv_id", "turns", "last"))).alias("sides"))
-    side = both.select("sides", F.explode("sides").alias("own"))
-    other = F.filter("sides", lambda s: ~s["conv_id"].eqNullSafe(F.col("own.conv_id")))
-    side = side.select(F.col("own.conv_id").alias("conv_id"), F.col("own.turns").alias("turns"), F.when(F.size(other) > 0, other[0]["last"]).alias("swap"))
-    # the place of the last assistant turn
-    place = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("turns"), F.lit(1))), F.lit(0), lambda s, i: F.when(F.try_element_at("turns", i)["role"] == "assistant", i).otherwise(s))
-    side = side.select("conv_id", "turns", "swap", place.alias("place"))
-    rejected = F.when((F.col("place") > 0) & F.col("swap").isNotNull(), F.concat(F.slice("turns", 1, F.greatest(F.col("place") - 1, F.lit(0))), F.array("swap"))).otherwise(F.col("turns"))
-    chosen = F.when((F.col("place") > 0) & F.col("swap").isNotNull(), F.slice("turns", 1, F.col("place"))).otherwise(F.col("turns"))
-    return side.select(F.col("conv_id").alias("pair_id"), chosen.alias("chosen"), rejected.alias("rejected"))
+    """pair_id, chosen, rejected of conversations 2k and 2k + 1 (ids are whole numbers): each is chosen once. It parts at one of its assistant turns, which its id tells; the rejected side goes on with the neighbour's turns from that assistant turn on (its last one, if it has fewer)."""
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    one = whole.where("conv_id is not null").select(F.col("conv_id").cast("bigint").alias("id"), "conv_id", "turns", places.alias("places"))
+    # two conversations at most
+    both = one.groupBy(F.shiftright("id", 1).alias("k")).agg(F.sort_array(F.collect_list(F.struct("id", "conv_id", "turns", "places"))).alias("sides")).where(F.size("sides") == 2)
+    turned = F.array(*(F.struct(F.col("sides")[i].alias("own"), F.col("sides")[1 - i].alias("other")) for i in (0, 1)))
+    side = both.select(F.inline(turned)).where((F.size("own.places") > 0) & (F.size("other.places") > 0))
+    nth = F.pmod(F.shiftright("own.id", 1), F.size("own.places")).cast("int")
+    side = side.withColumn("at", F.col("own.places")[nth]).withColumn("on", F.col("other.places")[F.least(nth, F.size("other.places") - 1)])
+    rejected = F.concat(F.slice("own.turns", 1, F.col("at") - 1), F.slice("other.turns", F.col("on"), F.size("other.turns")))
+    pairs = side.select(F.col("own.conv_id").alias("pair_id"), F.col("own.turns").alias("chosen"), rejected.alias("rejected"))
+    return pairs.where(F.col("chosen") != F.col("rejected"))
 
 
 def op6_preference_format(spark, sf_dir: str) -> DataFrame:
