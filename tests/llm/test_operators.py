@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldmark.llm import decontamination, jaccard_join, preference_format, quality_classifier, quality_rules, repeats, secret_scan, source_mixing, substring_dedup, token_counts, warc_archive
+from veldmark.llm import decontamination, jaccard_join, preference_format, quality_classifier, quality_rules, repeats, secret_scan, source_mixing, storage, substring_dedup, token_counts, warc_archive
 from veldmark.llm.storage import Workspace
 
 from .helpers import SCHEMA, odd_texts, passage, table, words
@@ -101,6 +101,30 @@ def test_jaccard_join(spark):
     assert kept == [i for i, (_, c) in enumerate(want) if c == i]
 
 
+@pytest.mark.parametrize("boundary", [1, 30, 10**6])
+def test_jaccard_join_with_any_boundary_and_lists_in_pieces(spark, boundary, monkeypatch):
+    monkeypatch.setattr(storage, "HOT_ROWS", 3)
+    rng = random.Random(boundary)
+    base = passage(17, 70).split()
+    texts = near_copies(9) + ["a b c d", "A B C D", "a b c", passage(31, 9), passage(31, 9) + " x"]
+    for _ in range(30):  # many near copies of one text, some of which link through others only
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(999)}"
+        texts.append(" ".join(w))
+    linked = jaccard_join.link_documents(table(spark, texts), boundary=boundary)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.salted_least(linked, F.col("doc_id"), "component_id").collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_boundary_by_cost(spark):
+    rows = [(8, 0)] * 50 + [(12, 1)] * 5 + [(900, 20)] * 3 + [(5000, 0)] * 1000
+    df = spark.createDataFrame(rows, "n long, spare int")
+    assert jaccard_join.boundary_by_cost(df) >= 5000  # large sets that can spare nothing are cheaper light
+    assert 12 <= jaccard_join.boundary_by_cost(df.where("n < 5000")) < 900
+    assert jaccard_join.boundary_by_cost(df.where("n = 900")) == 1 and jaccard_join.boundary_by_cost(df.limit(0)) == 1
+
+
 def test_quality_rules(spark):
     texts = odd_texts() + near_copies()
     got = {r.doc_id: r for r in quality_rules.score_quality(table(spark, texts)).collect()}

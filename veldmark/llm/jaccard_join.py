@@ -14,9 +14,9 @@ A document's set is its distinct word shingles; two documents link when
    are ordered anew, rarest first, by the exact number of sets. Light sets
    enumerate subsets of fixed size two of their first (shared - o + 2); a heavy
    set's first (shared - o + 1) go into inverted lists, which are scanned for
-   pairs with at least one heavy set. Both lose no link. The boundary is the
-   size that costs least: subsets emitted by the light, against list entries
-   scanned by the heavy.
+   pairs with at least one heavy set. Both lose no link. The boundary may be any
+   size and is that which costs least: subsets emitted by the light, against list
+   entries of the heavy, each of which is written and meets one node.
 3. *Scan.* In each list the first 1, then 16, 256, ... nodes (those with the
    commonest shingles first: a group's original before its copies) meet all
    others of the list that are not yet in their component and of which enough
@@ -24,11 +24,15 @@ A document's set is its distinct word shingles; two documents link when
    holds one component or all its pairs have met, so a list of near copies
    costs its length, not its square, and no link between components is lost.
 
-No table is broadcast or collected; only the histogram of sizes to 64 reaches
-the driver. Ties and repeated rows: equal sets are one node. Null, empty or
+A list with more than one in HOT_SHARE of all entries is dealt over pieces that its
+first nodes visit, and nodes and sets that a large share of rows have meet their label
+by broadcast; so at most HOT_SHARE keys reach the driver, and besides them a histogram of
+sizes with some hundred bins. No other table is broadcast or collected.
+
+Defined cases: ties and repeated rows: equal sets are one node. Null, empty or
 blank texts have no set, link with nothing and are their own component. Null
-ids are never a component's smallest id, unless it has no other. Other
-columns are ignored; an empty table gives an empty result.
+ids are never a component's smallest id, unless it has no other. Very long texts are
+one set each, in one row. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,9 +44,8 @@ from pyspark.sql import functions as F
 
 from .hashing import U64, mix, slices, spans_hash, windows
 from .repeats import answers, blocks_for, by_document, sent_by
-from .storage import Workspace, row_keys
+from .storage import HOT_SHARE, Workspace, hot_bound, left_join_hot, row_keys
 
-LARGEST_LIGHT = 64
 SALTS = 32
 
 
@@ -175,30 +178,44 @@ def _verify(percent):
 
 
 def connect(edges: DataFrame, work: Workspace) -> DataFrame:
-    """node, root: the least node of each component of the edges (a, b), by least labels and pointer jumping."""
+    """node, root: the least node of each component of the edges (a, b), by least labels and pointer jumping. A node that a large share of all edges meet (a group's original) has its label broadcast."""
     both = work.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = work.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
+        near = left_join_hot(both, labels.withColumnRenamed("node", "b"), "b", "inner").groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next"))
+        step = work.write(step, "steps")
         up = labels.select(F.col("node").alias("next"), F.col("root").alias("up"))
-        new = work.write(step.join(up, "next", "left").select("node", F.least("next", F.coalesce("up", "next")).alias("root"), (F.least("next", F.coalesce("up", "next")) < F.col("root")).alias("moved")), "labels")
+        new = left_join_hot(step, up, "next").select("node", F.least("next", F.coalesce("up", "next")).alias("root"), (F.least("next", F.coalesce("up", "next")) < F.col("root")).alias("moved"))
+        new = work.write(new, "labels")
         moved = new.where("moved").limit(1).count()
-        work.drop(labels)
+        work.drop(labels, step)
         labels = new
         if not moved:
             work.drop(both)
             return labels.select("node", "root")
 
 
-def _boundary(ordered: DataFrame) -> int:
-    """The largest light size, by the cost of subsets against the cost of scanning lists."""
-    m = F.col("spare")
-    subsets = F.when(m >= 0, (m + 2) * (m + 1) / 2).otherwise(0)
-    scanned = F.aggregate(F.slice("ordered", 1, F.greatest(m + 1, F.lit(0))), F.lit(0.0), lambda s, x: s + x["df"])
-    costs = ordered.groupBy(F.least("n", F.lit(LARGEST_LIGHT + 1)).alias("n")).agg(F.sum(subsets).alias("light"), F.sum(scanned).alias("heavy")).collect()
-    light, heavy = ({int(r["n"]): float(r[x] or 0) for r in costs} for x in ("light", "heavy"))
-    return min(range(2, LARGEST_LIGHT + 1), key=lambda t: sum(v for n, v in light.items() if n <= t) + sum(v for n, v in heavy.items() if n > t))
+def _bin(n: Column) -> Column:
+    """Sizes up to 64 by themselves, larger ones sixteen to each doubling: some hundred bins, whatever the sizes. The largest size of the bin of n."""
+    return F.when(n <= 64, n).otherwise(F.floor(F.pow(F.lit(2.0), F.ceil(F.log2(n) * 16) / 16))).cast("bigint")
+
+
+def boundary_by_cost(ordered: DataFrame) -> int:
+    """The largest light size, by the cost of subsets against the cost of scanning lists.
+
+    A light set costs the subsets it emits. A heavy one costs the entries of the
+    lists that it stands in: each is written, and meets the list's first node.
+    """
+    m = F.greatest(F.col("spare"), F.lit(0))
+    light, heavy = (m + 2) * (m + 1) / 2, 2 * (m + 1)
+    costs = ordered.groupBy(_bin(F.col("n")).alias("n")).agg(F.sum(light).alias("light"), F.sum(heavy).alias("heavy")).orderBy("n").collect()
+    best, at, now = 0.0, 1, 0.0
+    for r in costs:
+        now += r["light"] - r["heavy"]
+        if now < best:
+            best, at = now, int(r["n"])
+    return at
 
 
 def _lists(ordered: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -214,15 +231,28 @@ def _lists(ordered: DataFrame, boundary: int, percent: int) -> DataFrame:
     return heavy.select(*of(True)).unionByName(light.select(*of(False)))
 
 
-def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: k1, k2 (row keys), doc_id, n_shingles and component, a key of its component (null for empty sets)."""
+def _in_pieces(lists: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``piece``: hot lists are dealt over as many pieces as they hold the bound, others are one. live: heavy, key, rows."""
+    bound = hot_bound(lists.count())
+    hot = live.where(F.col("rows") > bound).select("heavy", "key", F.ceil(F.col("rows") / bound).cast("int").alias("pieces"))
+    names = hot.limit(HOT_SHARE).collect()
+    if not names:
+        return lists.withColumn("piece", F.lit(0)), live.withColumn("pieces", F.lit(1)).withColumn("piece", F.lit(0))
+    hot = F.broadcast(lists.sparkSession.createDataFrame(names, hot.schema))
+    lists = lists.join(hot, ["heavy", "key"], "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("node"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces")
+    live = live.join(hot, ["heavy", "key"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    return lists, live.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+
+
+def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, boundary: int | None = None) -> DataFrame:
+    """One row per document: k1, k2 (row keys), doc_id, n_shingles and component, a key of its component (null for empty sets). boundary: the largest light size, instead of that by cost."""
     spark = documents.sparkSession
     work = Workspace(spark, "jaccard-join")
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(F.col(id_col), F.col(text_col)))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     id_type = dict(docs.dtypes)["doc_id"]
-    profile = docs.mapInArrow(_profile(shingle), f"k1 long, k2 long, doc_id {id_type}, n long, node long")
+    profile = work.write(docs.mapInArrow(_profile(shingle), f"k1 long, k2 long, doc_id {id_type}, n long, node long"), "profile")
     texts = docs.select("k1", "k2", "text")
     able = work.write(by_document(answers(sent_by(texts, _send(shingle, percent), blocks_for(n_chars // 15, partitions), False), False)), "able")
     sets = texts.join(able, ["k1", "k2"]).mapInArrow(_sets(shingle, percent), "node long, n long, members array<long>")
@@ -237,24 +267,28 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     ordered = shingles.join(df, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ordered"))
     # spare: shared shingles beyond those that any link needs
     ordered = work.write(ordered.withColumn("spare", (F.size("ordered") - _need_sql(F.col("n"), percent)).cast("int")).where("spare >= 0"), "ordered")
-    boundary = _boundary(ordered)
+    boundary = boundary_by_cost(ordered) if boundary is None else boundary
     lists = work.write(_lists(ordered, boundary, percent), "lists")
     links, roots, width = None, None, 1
     while True:
         if roots is not None:
-            lists = lists.drop("root").join(roots, "node", "left")
+            lists = lists.drop("root").join(roots, "node", "left")  # a node stands in few lists
         else:
             lists = lists.withColumn("root", F.lit(None).cast("long"))
         lists = lists.withColumn("root", F.coalesce("root", "node"))
-        live = lists.groupBy("heavy", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("heavy", "key")
-        order = Window.partitionBy("heavy", "key").orderBy("hub")
-        lists = work.write(lists.join(live, ["heavy", "key"], "left_semi"), "lists")
-        pivots = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
+        live = lists.groupBy("heavy", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("heavy", "key", "rows")
+        whole = ["heavy", "key", "piece"]
+        lists, live = _in_pieces(lists, work.write(live, "live"))
+        lists = work.write(lists.join(live.select(*whole), whole, "left_semi"), "lists")
+        # first in each piece, and of those the first of the list
+        first = lambda rows, by: rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("hub"))).where(F.col("rank") <= width)
+        pivots = work.write(first(first(lists, whole).drop("rank"), ["heavy", "key"]), "pivots")
         p = pivots.select("heavy", "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"), F.col("root").alias("root_a"), F.col("hub").alias("hub_a"))
+        p = p.join(live.select(*whole), ["heavy", "key"])
         # at the first shingle that two sets share, neither has more in common than it has left; a later list of theirs may be passed over
         enough = F.least("left", "left_a") * (100 + percent) >= (F.col("n") + F.col("n_a")) * percent
         sized = enough & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (~F.col("heavy") | (F.greatest("n", "n_a") > boundary))
-        met = work.write(lists.join(p, ["heavy", "key"]).where((F.col("hub_a") < F.col("hub")) & (F.col("root_a") != F.col("root")) & sized).select("a", F.col("node").alias("b")).distinct(), "pairs")
+        met = work.write(lists.join(p, whole).where((F.col("hub_a") < F.col("hub")) & (F.col("root_a") != F.col("root")) & sized).select("a", F.col("node").alias("b")).distinct(), "pairs")
         if met.limit(1).count():
             members = nodes.select("node", "members")
             of_a = members.select(F.col("node").alias("a"), F.col("members").alias("set_a"))
@@ -262,13 +296,13 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
             found = work.write(met.join(of_a, "a").join(of_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long"), "links")
             links = found if links is None else links.unionByName(found)
             roots = connect(links, work)
-        rest = lists.join(pivots.select("heavy", "key", "node"), ["heavy", "key", "node"], "left_anti")
+        rest = lists.join(pivots.select("heavy", "key", "node"), ["heavy", "key", "node"], "left_anti").drop("piece")
         if not rest.limit(1).count():
             break
         lists = rest
         width *= 16
     if roots is not None:
-        profile = profile.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+        profile = left_join_hot(profile, roots, "node").withColumn("component", F.coalesce("root", "node")).drop("root")
     else:
         profile = profile.withColumn("component", F.col("node"))
     return profile.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), "component")

@@ -176,5 +176,5 @@ def answers(sent: DataFrame, exact: bool) -> DataFrame:
 
 
 def by_document(answered: DataFrame) -> DataFrame:
-    """All positions of a document: k1, k2 and parts, a list of arrays of uint32 as bytes (equal ones for equal rows)."""
-    return answered.groupBy("k1", "k2").agg(F.collect_list("pos").alias("parts"))
+    """All positions of a document: k1, k2 and parts, a list of different arrays of uint32 as bytes. Equal rows are answered alike, so however often a row repeats its list stays short."""
+    return answered.groupBy("k1", "k2").agg(F.collect_set("pos").alias("parts"))

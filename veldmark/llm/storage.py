@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (local tests), a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and the master is local (tests), a temporary one. On a cluster a machine's own folder would scatter the tables, so there it is an error."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="veldmark-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -49,3 +51,23 @@ def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
     """128 bits that name a row by its id and text. Equal rows have equal keys, and want equal answers."""
     text = F.coalesce(text, F.lit(""))
     return F.xxhash64(id_col, text).alias("k1"), F.xxhash64(text, F.lit("veldmark"), id_col).alias("k2")
+
+
+#: A key is hot with more rows than this, and more than one in HOT_SHARE of all: so there are at most HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 1024, 10_000
+
+
+def hot_bound(n_rows: int) -> int:
+    return max(HOT_ROWS, n_rows // HOT_SHARE)
+
+
+def left_join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """left joined with right, whose key is unique. Rows of hot keys of left meet their few rows of right by broadcast, so that none of them wait in one task; left is read more than once and should be a written table."""
+    counts = left.groupBy(key).count()
+    bound = hot_bound(left.count())
+    hot = counts.where((F.col("count") > bound) & F.col(key).isNotNull()).select(key)
+    if not (names := hot.limit(HOT_SHARE).collect()):
+        return left.join(right, key, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(names, hot.schema))
+    rest = left.join(hot, key, "left_anti").join(right, key, how)
+    return rest.unionByName(left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how))
