@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The separators of canonical texts and the mark of a missing part.
@@ -50,7 +53,30 @@ def price(version: int, amount: Column, currency: Column, components: Column | N
     return sha(text)
 
 
-def ordered_hash(lines: Column, order: Column) -> Column:
-    """SHA-256 over the lines of a group in order, each ended by U+001E; null for no lines. One group's lines meet in one row, as the hash is over their one sequence."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.concat(lines, F.lit(RECORD)).alias("line"))))
-    return F.when(F.count(F.lit(1)) > 0, F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), ""), 256))
+def ordered_hash(rows: DataFrame, group: str, line: Column, order: Column, name: str) -> DataFrame:
+    """group and SHA-256 over its lines in order, each ended by U+001E; groups without rows are absent.
+
+    The hash is over one sequence, so one task reads a group, but a line at a time: Spark
+    deals and sorts the lines (spilling where they are many), and the task keeps a hash state.
+    """
+    sorted_lines = rows.select(F.col(group).alias("g"), order.alias("o"), line.alias("line")).repartition("g").sortWithinPartitions("g", "o").select("g", "line")
+    types = dict(sorted_lines.dtypes)
+
+    def run(batches):
+        here, state, begun = None, None, False
+        for batch in batches:
+            keys, digests = [], []
+            for g, text in zip(batch.column("g").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if not begun or g != here:
+                    if begun:
+                        keys.append(here)
+                        digests.append(state.hexdigest())
+                    here, state, begun = g, hashlib.sha256(), True
+                state.update((text or "").encode() + RECORD.encode())
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("g").type), pa.array(digests, pa.string())], ["g", "h"])
+            kind = batch.schema.field("g").type
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([here], kind), pa.array([state.hexdigest()], pa.string())], ["g", "h"])
+
+    return sorted_lines.mapInArrow(run, f"g {types['g']}, h string").select(F.col("g").alias(group), F.col("h").alias(name))

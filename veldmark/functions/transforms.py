@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import exact_sum, fixed_units, product, quotient
-from .text import plain_decimal
+from .text import outer_trim, parsed_boolean, parsed_date, parsed_integer, plain_decimal, utf16_length
 
 
 def _ok():
@@ -118,3 +118,76 @@ class Settings:
     def check_used(self, known: set[str]) -> None:
         if unknown := sorted(set(self.values) - known):
             raise ValueError(f"unknown settings: {', '.join(unknown)}")
+
+
+@dataclass(frozen=True)
+class FieldMapping:
+    """How a target field comes from the columns of a record; settings say what the kind of transform needs."""
+
+    target: str
+    source: str | None = None
+    kind: str = "NONE"
+    settings: str | None = None
+    required: bool = False
+    default: str | None = None
+    longest: int | None = None
+    type: str = "TEXT"  # or DECIMAL, INTEGER, DATE, BOOLEAN
+    decimal_sep: str | None = None
+    grouping_sep: str | None = None
+    pattern: str = "yyyy-MM-dd"
+
+
+#: Kinds of transforms and the settings that they know.
+KINDS = {
+    "NONE": set(), "FIXED_VALUE": {"value"}, "PREFIX": {"prefix"}, "SUFFIX": {"suffix"}, "CONCAT": {"sources", "separator"}, "SPLIT": {"separator", "index"}, "MAP": {"values", "caseSensitive"},
+    "ADD": {"operand", "operandField", "scale"}, "SUBTRACT": {"operand", "operandField", "scale"}, "MULTIPLY": {"operand", "operandField", "scale"}, "DIVIDE": {"operand", "operandField", "scale"}, "PERCENTAGE": {"base", "baseField", "scale"},
+}
+
+
+def transformed(m: FieldMapping) -> tuple[Column, Column]:
+    """Value and error of a mapping's transform, from its settings. Settings that the kind doesn't know or lacks are errors of the plan."""
+    if m.kind not in KINDS:
+        raise ValueError(f"CONFIG_TRANSFORM_INVALID: {m.target}: {m.kind}")
+    s = Settings.parse(m.settings)
+    try:
+        s.check_used(KINDS[m.kind])
+        c = F.col(f"`{m.source}`") if m.source else F.lit(None).cast("string")
+        if m.kind == "NONE":
+            return c, _ok()
+        if m.kind == "FIXED_VALUE":
+            return fixed(s.values["value"])
+        if m.kind in ("PREFIX", "SUFFIX"):
+            return affix(c, s.values["prefix"], "") if m.kind == "PREFIX" else affix(c, "", s.values["suffix"])
+        if m.kind == "CONCAT":
+            return concat([F.col(f"`{x}`") for x in s.values["sources"].split("|")], s.values.get("separator", ""))
+        if m.kind == "SPLIT":
+            return split_part(c, s.values["separator"], int(s.values["index"]))
+        if m.kind == "MAP":
+            s.values["values"]
+            return mapped(c, s.table("values"), s.values.get("caseSensitive", "false") != "true")
+        key = "base" if m.kind == "PERCENTAGE" else "operand"
+        if (key in s.values) == (f"{key}Field" in s.values):
+            raise KeyError(key)
+        operand = F.lit(s.values[key]) if key in s.values else F.col(f"`{s.values[f'{key}Field']}`")
+        return arithmetic(c, m.kind.lower(), operand, int(s.values.get("scale", 6)), m.decimal_sep, m.grouping_sep)
+    except (KeyError, ValueError) as e:
+        raise ValueError(f"CONFIG_TRANSFORM_INVALID: {m.target}: {e}") from e
+
+
+def field_of(m: FieldMapping) -> tuple[Column, Column]:
+    """Canonical text and error code of a target field: transform, default, required, length and type, in this order; the first error counts."""
+    value, error = transformed(m)
+    if m.default is not None:
+        value = defaulted(value, m.default)[0]
+    checks = [error]
+    if m.required:
+        checks.append(F.when(error.isNull(), required_error(value)))
+    if m.longest is not None:
+        checks.append(length_error(utf16_length(value), m.longest))
+    given = value.isNotNull() & (outer_trim(value) != "")
+    typed = {
+        "TEXT": lambda: value, "DECIMAL": lambda: plain_decimal(value, m.decimal_sep, m.grouping_sep), "INTEGER": lambda: parsed_integer(value), "DATE": lambda: parsed_date(value, m.pattern), "BOOLEAN": lambda: parsed_boolean(value),
+    }[m.type]()
+    if m.type not in ("TEXT", "DECIMAL"):  # amounts have codes of their own
+        checks.append(F.when(given & typed.isNull(), "DATE_UNREADABLE" if m.type == "DATE" else "VALUE_TYPE_MISMATCH"))
+    return (value if m.type == "DECIMAL" else typed), F.coalesce(*checks)

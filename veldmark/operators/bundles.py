@@ -65,3 +65,8 @@ def purgeable(batches: DataFrame, members: DataFrame, unsnapshotted: DataFrame)
     """Finished batches without a live bundle and with all snapshots present."""
     done = batches.where(F.col("status").isin("SCREENED", "BLOCKED", "FAILED", "BASELINE_ACCEPTED"))
     return done.join(members.where("active"), "batch_id", "left_anti").join(unsnapshotted, "batch_id", "left_anti")
+
+
+def without_batches(rows: DataFrame, failed: DataFrame) -> DataFrame:
+    """A batch table without the rows of failed batches; to do it again changes nothing."""
+    return rows.join(failed.select("batch_id").distinct(), "batch_id", "left_anti")

@@ -26,6 +26,11 @@ def classified(beside: DataFrame) -> DataFrame:
     return beside.withColumn("classification", F.coalesce(held, verdict))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """classification and n; rows without one are not counted."""
+    return rows.where("classification is not null").groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+
+
 def duplicate_identities(stage: DataFrame) -> DataFrame:
     """identity_hash, n_rows and first_row of identities delivered more than once; they block the delivery."""
     return stage.groupBy("identity_hash").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_number").alias("first_row")).where("n_rows > 1")

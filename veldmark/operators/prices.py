@@ -59,8 +59,8 @@ def derivation_holds(amount: Column, base: Column, share: Column, tolerance: int
 
 
 def base_price_error(amount: Column, allow_zero: bool = False, allow_negative: bool = False) -> Column:
-    zero = F.when(amount == 0, F.lit(None if allow_zero else "PRICE_ZERO"))
-    return F.coalesce(zero, F.when(amount < 0, F.lit(None if allow_negative else "PRICE_NEGATIVE")))
+    zero = F.when(amount == 0, F.lit(None if allow_zero else "PRICE_ZERO_NOT_ALLOWED"))
+    return F.coalesce(zero, F.when(amount < 0, F.lit(None if allow_negative else "PRICE_NEGATIVE_NOT_ALLOWED")))
 
 
 def currency(source: Column, link_default: str | None = None) -> tuple[Column, Column, Column]:

@@ -10,9 +10,19 @@ from veldmark.operators import bundles
 
 
 def preflight(mutations: DataFrame, stale: DataFrame) -> DataFrame:
-    """One row for a bundle's mutations: undecided, stale and conflicting; all are 0 where it may be frozen."""
-    counts = mutations.agg(F.count_if(F.col("status") == "AWAITING_APPROVAL").alias("undecided"))
-    return counts.join(stale.agg(F.count(F.lit(1)).alias("stale")), F.lit(True)).join(bundles.conflicts_inside(mutations).agg(F.count(F.lit(1)).alias("conflicts")), F.lit(True))
+    """bundle_id, undecided, stale and conflicts of each bundle; all are 0 where it may be frozen."""
+    counts = mutations.groupBy("bundle_id").agg(F.count_if(F.col("status") == "AWAITING_APPROVAL").alias("undecided"))
+    of = lambda rows, name: rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias(name))
+    rows = counts.join(of(stale, "stale"), "bundle_id", "left").join(of(bundles.conflicts_inside(mutations), "conflicts"), "bundle_id", "left")
+    return rows.fillna(0, ["stale", "conflicts"])
+
+
+def frozen(mutations: DataFrame, stale: DataFrame, stage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A sealed freeze: bundles whose preflight is clear have their planned mutations approved and their content copied. Returns the mutations and the snapshot of frozen bundles, which no later decision changes."""
+    clear = preflight(mutations, stale).where("undecided = 0 and stale = 0 and conflicts = 0").select("bundle_id")
+    inside = approve_planned(mutations.join(clear, "bundle_id", "left_semi"))
+    rest = mutations.join(clear, "bundle_id", "left_anti").withColumn("decided_from", F.lit(None).cast("string"))
+    return inside.unionByName(rest), bundles.snapshot(inside, stage)
 
 
 def approve_planned(mutations: DataFrame) -> DataFrame:
@@ -33,13 +43,13 @@ def snapshot_hash(snapshot: DataFrame, components: DataFrame) -> DataFrame:
     """bundle_id and hash over mutations in order of id, each with its components in order of code."""
     child = components.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("component_code", F.coalesce(F.col("percentage").cast("string"), F.lit(MISSING)).alias("p")))), lambda c: F.concat_ws(PART, c["component_code"], c["p"])), PART).alias("children"))
     line = F.concat_ws(PART, F.col("id").cast("string"), plain_amount(F.col("amount")), F.coalesce("children", F.lit("null")))
-    return snapshot.join(child, "id", "left").groupBy("bundle_id").agg(ordered_hash(line, F.col("id")).alias("snapshot_hash"))
+    return ordered_hash(snapshot.join(child, "id", "left"), "bundle_id", line, F.col("id"), "snapshot_hash")
 
 
-def field_state(value: Column, *, mapped: Column | bool = True, in_mutation: Column | bool = True, contracted: Column | bool = True) -> Column:
+def field_state(value: Column, *, mapped: Column | bool = True, in_mutation: Column | bool = True, contracted: Column | bool = True, snapshotted: Column | bool = True) -> Column:
     """Why a preview field has a value or has none."""
     lit = lambda b: b if isinstance(b, Column) else F.lit(b)
-    return F.when(~lit(contracted), "NOT_CONTRACTED").when(~lit(mapped), "NOT_MAPPED").when(~lit(in_mutation), "NOT_AVAILABLE_IN_MUTATION").when(value.isNull(), "UNKNOWN").otherwise("VALUE")
+    return F.when(~lit(contracted), "NOT_CONTRACTED").when(~lit(mapped), "NOT_MAPPED").when(~lit(in_mutation), "NOT_AVAILABLE_IN_MUTATION").when(~lit(snapshotted), "NOT_SNAPSHOTTED").when(value.isNull(), "UNKNOWN").otherwise("VALUE")
 
 
 def next_attempt(runs: DataFrame) -> DataFrame:

@@ -174,17 +174,26 @@ def _(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "amount", half_up_percent(F.col("l_quantity").cast("bigint") * 1_000_000, F.col("amount")).cast("bigint").alias("share"))
 
 
-@query("x26_derivation_check", f"with {adapt.LINES_SQL} select count(*) as n from li where amount > 0")
+@query("x26_derivation_check", f"with {adapt.LINES_SQL} select l_linenumber % 3 <> 0 as holds, count(*) as n from li where amount > 0 group by 1")
 def _(spark, sf):
+    """Every third line's amount is five cents off what its share gives."""
     rows = adapt.lines(spark, sf).where("amount > 0")
     part = F.col("l_quantity").cast("bigint") * 1_000_000
-    return rows.where(prices.derivation_holds(part, F.col("amount"), prices.component_share(part, F.col("amount")))).agg(F.count(F.lit(1)).alias("n"))
+    told = part + F.when(F.col("l_linenumber") % 3 == 0, 50_000).otherwise(0)
+    holds = prices.derivation_holds(told, F.col("amount"), prices.component_share(part, F.col("amount")))
+    return rows.groupBy(holds.alias("holds")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x24_base_price_error", "select p_partkey, case when p_size % 5 = 0 then 'PRICE_ZERO' when p_size % 5 = 1 then 'PRICE_NEGATIVE' end as error from part")
+@query("x24_base_price_error", "select p_partkey, case when p_size % 6 = 0 then 'PRICE_ZERO_NOT_ALLOWED' when p_size % 6 = 1 then 'PRICE_NEGATIVE_NOT_ALLOWED' when p_size % 6 = 2 then 'PRICE_UNREADABLE' when p_size % 6 = 3 then 'PRICE_SCALE_EXCEEDED' when p_size % 6 = 4 then 'PRICE_OUT_OF_RANGE' end as error, case p_size % 6 when 0 then '0.000000' when 1 then '-1.500000' when 5 then '123456789012' || lpad(cast(p_partkey % 1000000 as varchar), 6, '0') || '.123456' end as amount from part")
 def _(spark, sf):
-    amount = F.when(F.col("p_size") % 5 == 0, 0).when(F.col("p_size") % 5 == 1, -1).otherwise(1)
-    return adapt.table(spark, sf, "part").select("p_partkey", prices.base_price_error(amount).alias("error"))
+    size = F.col("p_size") % 6
+    wide = F.concat(F.lit("123456789012"), F.lpad((F.col("p_partkey") % 1_000_000).cast("string"), 6, "0"))
+    delivered = F.when(size == 0, "0").when(size == 1, "-1,5").when(size == 2, "12,3x").when(size == 3, "1.2345678").when(size == 4, F.concat(wide, F.lit("0"))).otherwise(F.concat(wide, F.lit(",1234560")))
+    plain = text.plain_decimal(delivered)
+    micro = text.micro_units(plain)
+    error = text.price_error(delivered, plain)
+    good = F.when(error.isNull(), fingerprint.amount_text(micro))
+    return adapt.table(spark, sf, "part").select("p_partkey", F.coalesce(error, prices.base_price_error(micro)).alias("error"), good.alias("amount"))
 
 
 @query("x23_currency", "select c_custkey, coalesce(case when c_mktsegment = 'BUILDING' then 'USD' end, 'EUR') as currency, case when c_mktsegment = 'BUILDING' then 'SOURCE' else 'SYSTEM_DEFAULT' end as origin, case when c_mktsegment = 'BUILDING' then 'USD' end as printed from customer")
@@ -249,12 +258,18 @@ def _(spark, sf):
     return issues.tally(_issues(spark, sf))
 
 
-@query("a09_a10_issue_groups", ISSUES + "select code, signature, occurrences, cast((occurrences::hugeint * 200000000000000 + 1000) // 2000 as bigint) as share, occurrences * 100 > 5 * 1000 as bulk from tallied where occurrences >= 10")
-def _(spark, sf):
+GROUPED = ISSUES + """, sampled as (select code, signature, count(*) as recorded from (select * from issues qualify row_number() over (partition by code order by row_number, signature) <= 200) group by 1, 2),
+grouped as (select t.* from tallied t left join sampled s using (code, signature) where occurrences >= 10 or occurrences > coalesce(recorded, 0)) """
+
+
+def _grouped(spark, sf) -> tuple[DataFrame, DataFrame]:
     found = _issues(spark, sf)
-    rows = issues.groups(issues.tally(found), issues.samples(found.limit(0)))
-    rows = rows.where("occurrences >= 10")
-    return issues.judged_groups(rows, F.lit(1000), 5).select("code", "signature", "occurrences", F.col("share").cast("bigint").alias("share"), "bulk")
+    return issues.groups(issues.tally(found), issues.samples(found)), found
+
+
+@query("a09_a10_issue_groups", GROUPED + "select code, signature, occurrences, cast((occurrences::hugeint * 200000000000000 + 1000) // 2000 as bigint) as share, occurrences * 100 > 5 * 1000 as bulk from grouped")
+def _(spark, sf):
+    return issues.judged_groups(_grouped(spark, sf)[0], F.lit(1000), 5).select("code", "signature", "occurrences", F.col("share").cast("bigint").alias("share"), "bulk")
 
 
 @query("o04_first_samples", ISSUES + "select code, row_number, signature from issues qualify row_number() over (partition by code order by row_number, signature) <= 200")
@@ -268,10 +283,9 @@ def _(spark, sf):
     return issues.cap_notices(issues.tally(found), issues.samples(found)).select("code", "occurrences", F.col("recorded").cast("int").alias("recorded"))
 
 
-@query("a11_severity_totals", ISSUES + "select severity, cast(sum(occurrences) as bigint) as n from tallied group by 1")
+@query("a11_severity_totals", GROUPED + ", n as (select severity, occurrences as n from grouped union all select severity, 1 from issues anti join grouped using (code, signature)) select severity, cast(sum(n) as bigint) as n from n group by 1")
 def _(spark, sf):
-    found = _issues(spark, sf)
-    return issues.severity_totals(issues.tally(found).where("occurrences >= 10"), found)
+    return issues.severity_totals(*_grouped(spark, sf))
 
 
 @query("a12_code_totals", ISSUES + "select code, cast(sum(occurrences) as bigint) as occurrences from tallied group by 1")
@@ -299,10 +313,13 @@ def _(spark, sf):
     return issues.sync_cases(cases, found.where("batch_id >= '1998-01'").select("code", "signature", F.lit(1).alias("revision")).distinct())
 
 
-@query("x32_issue_catalogue", "select case when o_orderkey % 2 = 0 then 'ROW_TOO_LONG' else 'HEADER_FIELD_SHIFTED' end as code, case when o_orderkey % 2 = 0 then 'ERROR' else 'WARNING' end as severity, 'NONE' as effect, count(*) as n from orders group by 1, 2")
+@query("x32_issue_catalogue", """select case o_orderkey % 4 when 0 then 'ROW_TOO_LONG' when 1 then 'HEADER_FIELD_SHIFTED' when 2 then 'MAPPING_VALUE_UNKNOWN' else 'NEVER_SEEN' end as code, case o_orderkey % 4 when 1 then 'WARNING' else 'ERROR' end as severity,
+  case when o_orderkey % 4 <> 3 then 'NONE' end as effect, o_orderkey % 4 <> 3 as catalogued, count(*) as n from orders group by 1, 2, 3, 4""")
 def _(spark, sf):
-    found = adapt.table(spark, sf, "orders").select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "ROW_TOO_LONG:").otherwise("HEADER_FIELD_SHIFTED:"), "o_orderstatus").alias("full_code"))
-    return found.withColumn("code", issue_names.base_code(F.col("full_code"))).join(F.broadcast(issue_names.catalogue(spark)), "code").groupBy("code", "severity", "effect").agg(F.count(F.lit(1)).alias("n"))
+    key = F.col("o_orderkey") % 4
+    full = F.concat(F.when(key == 0, "ROW_TOO_LONG:").when(key == 1, "HEADER_FIELD_SHIFTED:").when(key == 2, "MAPPING_VALUE_UNKNOWN:").otherwise("NEVER_SEEN:"), "o_orderstatus")
+    found = issue_names.catalogued(adapt.table(spark, sf, "orders").select(full.alias("code")))
+    return found.groupBy("code", "severity", "effect", "catalogued").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- judgement ---------------------------------------------------------------------------------
@@ -351,12 +368,12 @@ def _(spark, sf):
     return state.accept(adapt.state(spark, sf), _beside(spark, sf), ["base_price", "combined_fingerprint"])
 
 
-@query("c17_idempotent", "select 0 as changed")
+@query("c17_idempotent", SHAPES + "select count(*) as unchanged, 0 as changed from stage")
 def _(spark, sf):
     staged = adapt.stage(spark, sf)
     accepted = state.accept(adapt.state(spark, sf), _beside(spark, sf), delta.STATE_COLUMNS)
     again = delta.classified(delta.beside_state(staged, accepted))
-    return again.agg(F.count_if(F.col("classification") != "UNCHANGED").cast("int").alias("changed"))
+    return again.agg(F.count_if(F.col("classification") == "UNCHANGED").alias("unchanged"), F.count_if(F.col("classification") != "UNCHANGED").cast("int").alias("changed"))
 
 
 @query("j12_stale_rows", SHAPES + "select b.row_number from beside b left join (select * from state where row_number % 19 <> 0) s on b.identity_hash = s.identity_hash where s.combined_fingerprint is distinct from b.old_combined_fingerprint")
@@ -368,11 +385,11 @@ def _(spark, sf):
 
 
 def _bundled(spark, sf) -> DataFrame:
-    rows = adapt.lines(spark, sf).where("day >= '1998-01-01'")
+    rows = adapt.lines(spark, sf)
     return rows.select(F.concat(F.year("day"), F.lit("Q"), F.quarter("day")).alias("bundle_id"), F.date_format("day", "yyyy-MM").alias("batch_id"), F.col("l_partkey").alias("identity_hash"), F.col("l_orderkey").alias("id"), "l_linenumber", "amount", F.when(F.col("l_returnflag") == "N", "PLANNED").when(F.col("l_returnflag") == "A", "AWAITING_APPROVAL").otherwise("RECORDED").alias("status"))
 
 
-BUNDLES = f"with {adapt.LINES_SQL}, b as (select cast(year(day) as varchar) || 'Q' || cast(quarter(day) as varchar) as bundle_id, strftime(day, '%Y-%m') as batch_id, l_partkey as identity_hash, l_orderkey as id, l_linenumber, amount, case l_returnflag when 'N' then 'PLANNED' when 'A' then 'AWAITING_APPROVAL' else 'RECORDED' end as status from li where day >= date '1998-01-01') "
+BUNDLES = f"with {adapt.LINES_SQL}, b as (select cast(year(day) as varchar) || 'Q' || cast(quarter(day) as varchar) as bundle_id, strftime(day, '%Y-%m') as batch_id, l_partkey as identity_hash, l_orderkey as id, l_linenumber, amount, case l_returnflag when 'N' then 'PLANNED' when 'A' then 'AWAITING_APPROVAL' else 'RECORDED' end as status from li) "
 
 
 @query("a17_conflicts_inside", BUNDLES + "select bundle_id, identity_hash, count(distinct batch_id) as n_batches, min(batch_id) as first_batch, max(batch_id) as last_batch from b group by 1, 2 having count(distinct batch_id) > 1")
@@ -410,7 +427,7 @@ def _(spark, sf):
 @query("a18_ordered_hash", "select s_nationkey as bundle_id, sha256(string_agg(cast(s_suppkey as varchar) || chr(31) || s_name || chr(30), '' order by s_suppkey)) as content_hash from supplier group by 1")
 def _(spark, sf):
     line = F.concat_ws(fingerprint.PART, F.col("s_suppkey").cast("string"), "s_name")
-    return adapt.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("bundle_id")).agg(fingerprint.ordered_hash(line, F.col("s_suppkey")).alias("content_hash"))
+    return fingerprint.ordered_hash(adapt.table(spark, sf, "supplier").withColumn("bundle_id", F.col("s_nationkey")), "bundle_id", line, F.col("s_suppkey"), "content_hash")
 
 
 @query("c24_snapshot", SHAPES + "select row_number, base_price from beside where classification <> 'UNCHANGED'")
@@ -474,12 +491,35 @@ def _(spark, sf):
     return adapt.table(spark, sf, "events").where(keep).select("event_id")
 
 
-@query("x03_x07_transforms", "select p_partkey, 'P-' || p_name || '/x' as affixed, p_name || '|' || p_brand as joined, split_part(p_type, ' ', 1) as part, case when p_brand = 'Brand#1' then 'one' when lower(p_brand) = 'brand#2' then 'two' end as mapped, p_size * 2 as doubled from part")
+@query("x03_x07_transforms", """select p_partkey, 'P-' || p_name || '/x' as affixed, p_name || '|' || p_brand as joined, split_part(p_type, ' ', 1) as part, case when p_brand = 'Brand#1' then 'one' when lower(p_brand) = 'brand#2' then 'two' end as mapped,
+  case when not (p_brand = 'Brand#1' or lower(p_brand) = 'brand#2') then 'MAPPING_VALUE_UNKNOWN' end as mapped_error, case when len(string_split(p_type, ' ')) < 3 then 'TRANSFORM_FAILED' end as third_error, 'F' as fixed from part""")
 def _(spark, sf):
     t = transforms
+    mapped, mapped_error = t.mapped(F.col("p_brand"), {"Brand#1": "one", "BRAND#2": "two"}, True)
     return adapt.table(spark, sf, "part").select(
         "p_partkey", t.affix(F.col("p_name"), "P-", "/x")[0].alias("affixed"), t.concat([F.col("p_name"), F.col("p_brand")], "|")[0].alias("joined"), t.split_part(F.col("p_type"), " ", 1)[0].alias("part"),
-        t.mapped(F.col("p_brand"), {"Brand#1": "one", "BRAND#2": "two"}, True)[0].alias("mapped"), t.arithmetic(F.col("p_size").cast("string"), "multiply", F.lit("2"))[0].cast("int").alias("doubled"),
+        mapped.alias("mapped"), mapped_error.alias("mapped_error"), t.split_part(F.col("p_type"), " ", 3)[1].alias("third_error"), t.fixed("F")[0].alias("fixed"),
+    )
+
+
+@query("x08_x12_arithmetic", """with p as (select p_partkey, cast(round(p_retailprice * 100) as bigint) as cents, p_size, p_size % 7 as k, case when p_partkey % 4 = 0 then -1 else 1 end as sg from part),
+q as (select *, (2 * cents::hugeint * 10000 + p_size) // (2 * p_size) as d, (2 * cents::hugeint * 1000000 + p_size) // (2 * p_size) as pc, (cents::hugeint * p_size * 5 + 5) // 10 as m from p)
+select p_partkey, cast(cast(sg * cents / 100 as decimal(18, 2)) + cast(p_size || '.125' as decimal(18, 3)) as varchar) as added, cast(cast(sg * cents / 100 as decimal(18, 2)) - cast(p_size || '.125' as decimal(18, 3)) as varchar) as subtracted,
+  case when sg < 0 and m > 0 then '-' else '' end || m // 100 || '.' || lpad(cast(m % 100 as varchar), 2, '0') as halved, case when k <> 0 then case when sg < 0 and d > 0 then '-' else '' end || d // 1000000 || '.' || lpad(cast(d % 1000000 as varchar), 6, '0') end as divided,
+  case when k <> 0 then case when sg < 0 and pc > 0 then '-' else '' end || pc // 1000000 || '.' || lpad(cast(pc % 1000000 as varchar), 6, '0') end as percent, case when k = 0 then 'TRANSFORM_DIVIDE_BY_ZERO' end as error,
+  '123456789012' || lpad(cast(p_partkey % 1000000 as varchar), 6, '0') || '.75' as wide from q""")
+def _(spark, sf):
+    """Retail prices of both signs and the size: sums keep all places, half the size times the price is rounded at two, quotients at six; every seventh size divides by zero."""
+    cents, size = F.round(F.col("p_retailprice") * 100).cast("bigint"), F.col("p_size").cast("string")
+    price = F.concat(F.when(F.col("p_partkey") % 4 == 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    half = F.concat(F.floor(F.col("p_size") / 2).cast("string"), F.when(F.col("p_size") % 2 == 1, ".5").otherwise(".0"))
+    divisor = F.when(F.col("p_size") % 7 == 0, "0").otherwise(size)
+    wide = F.concat(F.lit("123456789012"), F.lpad((F.col("p_partkey") % 1_000_000).cast("string"), 6, "0"), F.lit(".5"))
+    a = transforms.arithmetic
+    divided, error = a(price, "divide", divisor)
+    return adapt.table(spark, sf, "part").select(
+        "p_partkey", a(price, "add", F.concat(size, F.lit(".125")))[0].alias("added"), a(price, "subtract", F.concat(size, F.lit(".125")))[0].alias("subtracted"), a(price, "multiply", half, 2)[0].alias("halved"),
+        divided.alias("divided"), a(price, "percentage", divisor)[0].alias("percent"), error.alias("error"), a(wide, "add", F.lit("0.25"))[0].alias("wide"),
     )
 
 
@@ -505,17 +545,35 @@ def _(spark, sf):
     return adapt.table(spark, sf, "orders").select("o_orderkey", text.parsed_date(F.date_format("o_orderdate", "dd/MM/yyyy"), "dd/MM/yyyy").alias("day"))
 
 
-@query("s01_delimited_scan", "select p_partkey + 1 as line, p_name, p_brand from part")
+@query("s01_delimited_scan", "select row_number() over (partition by p_brand order by p_partkey) + 1 as line, p_partkey, p_name, p_brand from part")
 def _(spark, sf):
+    """One delivery file for each brand, with a header; lines are numbered by file."""
     path = folder(spark, "delivery")
     part = adapt.table(spark, sf, "part")
-    rows = part.select(F.concat_ws(";", F.format_string("%09d", "p_partkey"), F.concat(F.lit('"'), "p_name", F.lit('"')), "p_brand").alias("value"))
-    header = spark.createDataFrame([("        KEY;NAME;BRAND",)], "value string")
-    header.unionByName(rows).coalesce(1).sortWithinPartitions("value").write.text(path)  # one delivery is one file
-    s = delimited.Structure(("NAME", "brand"))
-    got = delimited.read_delivery(spark, path, s).where("error_code is null")
-    first = part.agg(F.min("p_partkey").alias("least"))
-    return got.join(F.broadcast(first), F.lit(True)).select((F.col("line") + F.col("least") - 1).alias("line"), F.col("NAME").alias("p_name"), F.col("brand").alias("p_brand"))
+    rows = part.select("p_brand", F.concat_ws(";", F.format_string("%012d", "p_partkey"), F.concat(F.lit('"'), "p_name", F.lit('"')), "p_brand").alias("value"))
+    header = part.select("p_brand").distinct().withColumn("value", F.lit("         KEY;NAME;BRAND"))
+    header.unionByName(rows).repartition("p_brand").sortWithinPartitions("p_brand", "value").write.partitionBy("p_brand").text(path)
+    got = delimited.read_delivery(spark, path, delimited.Structure(("key", "NAME", "brand"))).where("error_code is null")
+    return got.select("line", F.col("key").cast("bigint").alias("p_partkey"), F.col("NAME").alias("p_name"), F.col("brand").alias("p_brand"))
+
+
+@query("s06_s07_malformed_records", """select p_brand, count(*) as records, count(*) filter (p_partkey % 10 = 3) as unclosed, count(*) filter (p_partkey % 10 = 5) as wrong_count, count(*) filter (p_partkey % 10 = 7) as too_long,
+  sum(case when p_partkey % 10 in (0, 1, 2, 4, 6, 8, 9) then length(p_name) + 2 + case when p_partkey % 10 = 9 then 5000 else 0 end else 0 end) as good_length from part group by 1""")
+def _(spark, sf):
+    """Bad lines among good ones: quotes left open, a field too many, lines beyond the limit, very long quoted fields with doubled quotes; and blank lines, which are no records."""
+    path = folder(spark, "malformed")
+    key = F.col("p_partkey") % 10
+    name = F.concat(F.lit('"""'), "p_name", F.when(key == 9, F.lit('""' * 5000)).otherwise(""), F.lit(';"'))
+    value = F.when(key == 3, F.concat(F.lit('"open'), "p_name", F.lit(";x"))).when(key == 5, F.concat(name, F.lit(";"), "p_brand", F.lit(";more"))).when(key == 7, F.concat(name, F.lit(";"), F.lit("x" * 100_001))).otherwise(F.concat_ws(";", name, "p_brand"))
+    part = adapt.table(spark, sf, "part").select("p_brand", value.alias("value"))
+    head = part.select("p_brand").distinct().withColumn("value", F.lit("NAME;BRAND"))
+    blank = head.withColumn("value", F.lit(""))
+    lines = head.withColumn("o", F.lit(0)).unionByName(part.withColumn("o", F.lit(1))).unionByName(blank.withColumn("o", F.lit(1)))
+    lines.repartition("p_brand").sortWithinPartitions("p_brand", "o").select("p_brand", "value").write.partitionBy("p_brand").text(path)
+    got = delimited.read_delivery(spark, path, delimited.Structure(("name", "brand")))
+    brand = F.regexp_replace(F.regexp_extract("file", "p_brand=([^/]*)/", 1), "%(25)*23", "#")
+    n = lambda code: F.count_if(F.col("error_code").eqNullSafe(code))
+    return got.groupBy(brand.alias("p_brand")).agg(F.count(F.lit(1)).alias("records"), n("CSV_UNCLOSED_QUOTE").alias("unclosed"), n("ROW_COLUMN_COUNT_MISMATCH").alias("wrong_count"), n("ROW_TOO_LONG").alias("too_long"), F.sum(F.coalesce(F.length("name"), F.lit(0))).cast("bigint").alias("good_length"))
 
 
 @query("s11_idempotent_intake", "select event_id, case when event_id % 3 = 0 then 'NEW' when event_id % 2 = 0 then 'EXISTING' else 'CONFLICT' end as outcome from events")
@@ -545,12 +603,17 @@ def _(spark, sf):
 
 @query("t06_streamed_state", "select cast(user_id as varchar) as identity_hash, arg_max(value, event_id) as value from events group by 1")
 def _(spark, sf):
+    """Four files in order of events, one a micro-batch."""
     from veldmark.streaming.deliveries import StateVersions, follow
 
     root = folder(spark, "stream")
     columns = ["value", "combined_fingerprint"]
-    adapt.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("identity_hash"), F.col("event_id").alias("seq"), "value", F.col("value").cast("string").alias("combined_fingerprint")).write.parquet(f"{root}/in")
+    rows = adapt.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("identity_hash"), F.col("event_id").alias("seq"), "value", F.col("value").cast("string").alias("combined_fingerprint"))
+    bounds = rows.selectExpr("percentile_approx(seq, array(0.25, 0.5, 0.75), 1000) as b").head()["b"]
+    for i in range(4):  # written one after another: a stream takes older files first
+        part = rows.where(F.lit(True) if i == 0 else F.col("seq") > bounds[i - 1]).where(F.lit(True) if i == 3 else F.col("seq") <= bounds[i])
+        part.write.mode("append").parquet(f"{root}/in")
     versions = StateVersions(spark, root, "identity_hash string, value double, combined_fingerprint string")
-    lines = spark.readStream.schema("identity_hash string, seq long, value double, combined_fingerprint string").parquet(f"{root}/in")
+    lines = spark.readStream.schema("identity_hash string, seq long, value double, combined_fingerprint string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
     follow(lines, versions, columns, f"{root}/checkpoint").awaitTermination()
-    return versions.read(1).select("identity_hash", "value")
+    return versions.latest().select("identity_hash", "value")

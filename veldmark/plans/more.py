@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from veldmark.functions import text, values
 from veldmark.functions.issues import signature
 from veldmark.operators import bundles, delta, issues, publication, references
-from veldmark.plans import adapt
+from veldmark.operators.ordering import positions
+from veldmark.plans import adapt, runs  # noqa: F401 (registers its queries)
+from veldmark.plans.places import folder
 from veldmark.plans.catalog import BUNDLES, ISSUES, ORACLES, QUERIES, SHAPES, _beside, _bundled, _components, _components_sql, _issues, _lineitem_offers, OFFERS, query
 
 __all__ = ["ORACLES", "QUERIES"]
 t = adapt.table
 
 
-@query("a01_count_by_classification", SHAPES + "select classification, count(*) as n from beside where row_number % 2 = 0 group by 1")
+@query("a01_count_by_classification", SHAPES + "select classification, count(*) as n from (select case when row_number % 5 <> 0 then classification end as classification from beside) where classification is not null group by 1")
 def _(spark, sf):
-    return _beside(spark, sf).where("row_number % 2 = 0").groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    """Rows that have no classification yet are not counted."""
+    return delta.counted(_beside(spark, sf).withColumn("classification", F.when(F.col("row_number") % 5 != 0, F.col("classification"))))
 
 
 @query("a04_a05_component_counts", f"select component_code, count(distinct identity_hash) as n_rows from ({_components_sql(0)}) group by 1")
@@ -26,10 +29,10 @@ def _(spark, sf):
 
 @query("a19_snapshot_hash", f"""with c as ({_components_sql(0)}), k as (select cast(identity_hash as bigint) as id, string_agg(component_code || chr(31) || cast(percentage as varchar), chr(31) order by component_code) as children from c group by 1)
 select p_brand as bundle_id, sha256(string_agg(cast(p_partkey as varchar) || chr(31) || regexp_replace(cast(cast(round(p_retailprice * 100) as bigint) // 100 as varchar) || '.' || lpad(cast(cast(round(p_retailprice * 100) as bigint) % 100 as varchar), 2, '0'), '\\.?0+$', '') || chr(31) || coalesce(children, 'null') || chr(30), '' order by p_partkey)) as snapshot_hash
-from part left join k on id = p_partkey where round(p_retailprice * 100)::bigint % 1000 <> 0 group by 1""")
+from part left join k on id = p_partkey group by 1""")
 def _(spark, sf):
     cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
-    rows = t(spark, sf, "part").where(cents % 1000 != 0).select(F.col("p_brand").alias("bundle_id"), F.col("p_partkey").alias("id"), (cents * 10_000).alias("amount"))
+    rows = t(spark, sf, "part").select(F.col("p_brand").alias("bundle_id"), F.col("p_partkey").alias("id"), (cents * 10_000).alias("amount"))
     return publication.snapshot_hash(rows, _components(spark, sf, 0).withColumn("id", F.col("identity_hash").cast("bigint")))
 
 
@@ -37,7 +40,7 @@ def _(spark, sf):
 def _(spark, sf):
     from veldmark.functions.fingerprint import PART, ordered_hash
 
-    return t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("batch_id")).agg(ordered_hash(F.concat_ws(PART, "c_name", "c_mktsegment"), F.col("c_name")).alias("value_hash"))
+    return t(spark, sf, "customer").withColumn("batch_id", F.col("c_nationkey")).transform(ordered_hash, "batch_id", F.concat_ws(PART, "c_name", "c_mktsegment"), F.col("c_name"), "value_hash")
 
 
 @query("a22_next_attempt", "select o_custkey as bundle_id, max(o_orderkey) + 1 as next_attempt from orders group by 1")
@@ -102,9 +105,10 @@ def _(spark, sf):
     return t(spark, sf, "orders").where("o_orderkey > 1000").orderBy("o_orderkey").limit(500).agg(F.max("o_orderkey").alias("boundary"))
 
 
-@query("o03_nulls_last", "select c_custkey, case when c_custkey % 3 <> 0 then c_custkey % 10 end as issue_row from customer order by 2 asc nulls last, 1 limit 100")
+@query("o03_nulls_last", "select c_custkey, case when c_custkey % 3 <> 0 then c_custkey % 10 end as issue_row, row_number() over (order by case when c_custkey % 3 <> 0 then c_custkey % 10 end asc nulls last, c_custkey) as position from customer")
 def _(spark, sf):
-    return t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 10).alias("issue_row")).orderBy(F.col("issue_row").asc_nulls_last(), "c_custkey").limit(100)
+    rows = t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 10).alias("issue_row"))
+    return positions(rows, [F.col("issue_row").asc_nulls_last(), F.col("c_custkey").asc()], folder(spark, "positions"))
 
 
 @query("o05_conflict_samples", BUNDLES + "select distinct identity_hash from b where identity_hash in (select identity_hash from b group by 1 having count(distinct bundle_id) > 1) order by 1 limit 10")
@@ -152,15 +156,27 @@ def _(spark, sf):
     return t(spark, sf, "documents").select("doc_id", values.description_state(F.col("text")).alias("state"))
 
 
-@query("x35_preview_states", "select p_partkey, case when p_size % 4 = 0 then 'NOT_MAPPED' when p_size % 5 = 0 then 'NOT_AVAILABLE_IN_MUTATION' when p_size % 3 = 0 then 'UNKNOWN' else 'VALUE' end as state from part")
+@query("x35_preview_states", "select p_partkey, case when p_size % 7 = 0 then 'NOT_CONTRACTED' when p_size % 4 = 0 then 'NOT_MAPPED' when p_size % 5 = 0 then 'NOT_AVAILABLE_IN_MUTATION' when p_size % 11 = 0 then 'NOT_SNAPSHOTTED' when p_size % 3 = 0 then 'UNKNOWN' else 'VALUE' end as state from part")
 def _(spark, sf):
     size = F.col("p_size")
-    return t(spark, sf, "part").select("p_partkey", publication.field_state(F.when(size % 3 != 0, size), mapped=size % 4 != 0, in_mutation=size % 5 != 0).alias("state"))
+    return t(spark, sf, "part").select("p_partkey", publication.field_state(F.when(size % 3 != 0, size), snapshotted=size % 11 != 0, contracted=size % 7 != 0, mapped=size % 4 != 0, in_mutation=size % 5 != 0).alias("state"))
 
 
-@query("x36_bookmark_values", "select p_partkey, case when p_size > 25 then 'INTEGER_INVALID' end as error from part")
+KINDS = ("INTEGER", "DECIMAL", "DATE", "BOOLEAN", "ENUM", "TEXT")
+
+
+@query("x36_bookmark_values", "select p_partkey, kind, case when p_size % 10 = 0 then 'VALUE_MISSING' when kind <> 'TEXT' and p_size % 2 = 1 then kind || '_INVALID' when kind = 'TEXT' and p_size % 2 = 1 then 'PATTERN_MISMATCH' end as error from part, (values ('INTEGER'), ('DECIMAL'), ('DATE'), ('BOOLEAN'), ('ENUM'), ('TEXT')) k(kind)")
 def _(spark, sf):
-    return t(spark, sf, "part").select("p_partkey", values.bookmark_error(F.when(F.col("p_size") > 25, "x").otherwise(F.col("p_size").cast("string")), "INTEGER", most=9).alias("error"))
+    """Each kind of bookmark with a value that fits, one that doesn't, and none."""
+    good = {"INTEGER": "-12", "DECIMAL": "1,5", "DATE": "2024-02-29", "BOOLEAN": "true", "ENUM": "red", "TEXT": "abc"}
+    bad = {"INTEGER": "1.5", "DECIMAL": "1,5x", "DATE": "2024-02-30", "BOOLEAN": "yes", "ENUM": "green", "TEXT": "abc1"}
+    size, out = F.col("p_size"), None
+    for kind in KINDS:
+        value = F.when(size % 10 == 0, "").when(size % 2 == 1, bad[kind]).otherwise(good[kind])
+        error = values.bookmark_error(value, kind, choices=("red", "blue"), pattern="[a-z]+" if kind == "TEXT" else None, most=20)
+        rows = t(spark, sf, "part").select("p_partkey", F.lit(kind).alias("kind"), error.alias("error"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("c05_link_proposals", ORACLES["c04_reference_match"].partition("select row_number, value, match_result")[0] + "select row_number from v where not known and n = 1 and value is not null and not coalesce(match_result in ('AMBIGUOUS', 'REMOVED', 'REUSED', 'CHANGED'), false)")
@@ -175,13 +191,17 @@ def _(spark, sf):
     return publication.bulk_roll_up(judged)
 
 
-@query("c20_case_steps", "select distinct o_orderpriority as step, o_orderpriority in ('1-URGENT', '2-HIGH') as allowed from orders")
+STATUSES = ("AWAITING_REVIEW", "CORRECTED", "REJECTED", "AUTO_RESOLVED")
+
+
+@query("c20_case_steps", """with s as (select * from (values ('AWAITING_REVIEW', 0), ('CORRECTED', 1), ('REJECTED', 2), ('AUTO_RESOLVED', 3)) v(status, k)),
+o as (select a.status as old, b.status as new from orders join s a on a.k = o_orderkey % 4 join s b on b.k = (o_orderkey // 4) % 4)
+select old, new, (old, new) in (('AWAITING_REVIEW', 'CORRECTED'), ('AWAITING_REVIEW', 'REJECTED'), ('CORRECTED', 'AWAITING_REVIEW'), ('REJECTED', 'AWAITING_REVIEW'), ('AUTO_RESOLVED', 'AWAITING_REVIEW')) as allowed, count(*) as n from o group by 1, 2""")
 def _(spark, sf):
-    pair = {"1-URGENT": ("AWAITING_REVIEW", "CORRECTED"), "2-HIGH": ("REJECTED", "AWAITING_REVIEW")}
-    old, new = F.lit("CORRECTED"), F.lit("REJECTED")
-    for k, (a, b) in pair.items():
-        old, new = F.when(F.col("o_orderpriority") == k, a).otherwise(old), F.when(F.col("o_orderpriority") == k, b).otherwise(new)
-    return t(spark, sf, "orders").select(F.col("o_orderpriority").alias("step"), issues.allowed_step(old, new).alias("allowed")).distinct()
+    """All pairs of statuses."""
+    named = lambda k: F.get(F.array(*map(F.lit, STATUSES)), (k % 4).cast("int"))
+    rows = t(spark, sf, "orders").select(named(F.col("o_orderkey")).alias("old"), named(F.floor(F.col("o_orderkey") / 4)).alias("new"))
+    return rows.groupBy("old", "new", issues.allowed_step(F.col("old"), F.col("new")).alias("allowed")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("c21_single_decision", BUNDLES + "select count(*) as n from b where status = 'AWAITING_APPROVAL' and id % 100 = 1")
@@ -190,12 +210,24 @@ def _(spark, sf):
     return rows.where("decided_from is not null").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c23_freeze_preflight", BUNDLES + "select (select count(*) from b where bundle_id = '1998Q2' and status = 'AWAITING_APPROVAL') as undecided, (select count(*) from b where bundle_id = '1998Q2' and amount > 100000000000) as stale, (select count(*) from (select identity_hash from b where bundle_id = '1998Q2' group by 1 having count(distinct batch_id) > 1)) as conflicts")
+@query("c23_freeze_preflight", BUNDLES + """, c as (select bundle_id, count(*) as conflicts from (select bundle_id, identity_hash from b group by 1, 2 having count(distinct batch_id) > 1) group by 1)
+select bundle_id, count(*) filter (status = 'AWAITING_APPROVAL') as undecided, count(*) filter (amount > 100000000000) as stale, coalesce(any_value(conflicts), 0) as conflicts from b left join c using (bundle_id) group by 1""")
 def _(spark, sf):
-    rows = _bundled(spark, sf).where("bundle_id = '1998Q2'")
+    rows = _bundled(spark, sf)
     return publication.preflight(rows, rows.where("amount > 100000000000"))
 
 
+@query("c23_sealed_freeze", BUNDLES + """, r as (select * exclude (batch_id, status), bundle_id as batch_id, case when bundle_id like '%Q1' then 'PLANNED' else status end as status from b qualify row_number() over (partition by bundle_id, identity_hash order by id, l_linenumber) = 1),
+ok as (select bundle_id from r group by 1 having count(*) filter (status = 'AWAITING_APPROVAL') = 0)
+select bundle_id, count(*) filter (status = 'PLANNED') as frozen, sum(amount) filter (status = 'PLANNED') as amount from r where bundle_id in (select * from ok) group by 1""")
+def _(spark, sf):
+    """Bundles of first quarters have all their mutations planned and freeze; the others hold undecided ones and stay open."""
+    first = bundles.latest(_bundled(spark, sf), ["bundle_id", "identity_hash"], F.col("id"), F.col("l_linenumber"))
+    rows = first.withColumn("batch_id", F.col("bundle_id")).withColumn("status", F.when(F.col("bundle_id").endswith("Q1"), "PLANNED").otherwise(F.col("status"))).withColumn("row_number", F.col("identity_hash")).withColumn("action", F.lit("UPDATE"))
+    _, snapshot = publication.frozen(rows.drop("amount"), rows.limit(0), rows.select("batch_id", "row_number", "amount"))
+    return snapshot.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("frozen"), F.sum("amount").cast("decimal(38,0)").alias("amount"))
+
+
 @query("c23_approve_planned", BUNDLES + "select case when status = 'PLANNED' then 'READY_FOR_PUBLICATION' else status end as status, count(*) as n from b group by 1")
 def _(spark, sf):
     return publication.approve_planned(_bundled(spark, sf)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -206,13 +238,17 @@ def _(spark, sf):
     return publication.incomplete_rows(t(spark, sf, "supplier").withColumn("balance", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal"))), ["s_name", "balance"])
 
 
-@query("s19_drop_batch", "select count(*) as n from orders where o_orderstatus <> 'P'")
+@query("s19_drop_batch", "select o_orderkey as batch_id, o_totalprice from orders where o_orderstatus <> 'P'")
 def _(spark, sf):
-    failed = t(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
-    return t(spark, sf, "orders").join(failed, "o_orderkey", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    """Dropped twice, as a cleanup that is repeated after a crash."""
+    batches = t(spark, sf, "orders").select(F.col("o_orderkey").alias("batch_id"), "o_orderstatus", "o_totalprice")
+    failed = batches.where("o_orderstatus = 'P'")
+    return bundles.without_batches(bundles.without_batches(batches, failed), failed).select("batch_id", "o_totalprice")
 
 
-@query("t03_idempotent_replay", SHAPES + "select count(*) as n from beside where classification <> 'UNCHANGED'")
+@query("t03_idempotent_replay", SHAPES + "select '7:3:' || identity_hash || ':OFFER' as idempotency_key, 1 as times from beside where classification <> 'UNCHANGED'")
 def _(spark, sf):
+    """A pass that ended half-way has written some mutations; the whole delivery comes again."""
     rows = delta.mutations(delta.change_mask(_beside(spark, sf)), "AUTOMATIC", "7:3")
-    return rows.unionByName(delta.only_new(rows, rows, ["idempotency_key"])).agg(F.count(F.lit(1)).alias("n"))
+    written = rows.where("row_number % 2 = 0 or row_number % 3 = 0")
+    return written.unionByName(delta.only_new(rows, written, ["idempotency_key"])).groupBy("idempotency_key").agg(F.count(F.lit(1)).cast("int").alias("times"))

@@ -53,7 +53,7 @@ def header_places(header: list[str], s: Structure) -> dict[str, int]:
     for f in s.fields:
         if s.by_index:
             if not 1 <= int(f) <= len(names):
-                raise DeliveryBlocked("COLUMN_INDEX_OUT_OF_RANGE", f)
+                raise DeliveryBlocked("CONFIG_COLUMN_INDEX_OUT_OF_RANGE", f)
             places[f] = int(f) - 1
             continue
         found = [i for i, n in enumerate(names) if n == f.strip().lower()]
