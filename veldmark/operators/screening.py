@@ -97,7 +97,7 @@ def _issue(rows: DataFrame, code: Column, of: Column, number: str = "row_number"
 
 
 def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, observations: DataFrame, folder: str, active_references: DataFrame | None = None, prefix: str = "1:1") -> Screened:
-    """Screen the delivery at path. Two tables are written below folder: routed records and staged rows, which all later steps read. DeliveryBlocked tells a file that can't be read."""
+    """Screen the delivery at path. Routed records, staged rows and issues are written below folder, which belongs to this delivery and this state of configuration; called again after a crash, it goes on from what is there whole. DeliveryBlocked tells a file that can't be read."""
     records = read_delivery(spark, path, profile.structure)
     written = _write(routed(records, profile), f"{folder}/routed")
     counters = judge.counters(written)
@@ -157,5 +157,9 @@ def _judged(counters: DataFrame, staged: DataFrame, found: DataFrame, grouped: D
 
 
 def _write(rows: DataFrame, path: str) -> DataFrame:
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """The table at path, which is written only if it isn't there whole: a pass that ended half-way goes on behind its last table."""
+    spark = rows.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        rows.write.mode("overwrite").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
