@@ -178,18 +178,16 @@ def _verify(percent):
 
 
 def connect(edges: DataFrame, work: Workspace) -> DataFrame:
-    """node, root: the least node of each component of the edges (a, b), by least labels and pointer jumping. A node that a large share of all edges meet (a group's original) has its label broadcast."""
+    """node, root: the least node of each component of the edges (a, b), by least labels and pointer jumping. Rows of a node that many edges meet (a group's original) are split by adaptive skew joins: no grouping follows them in their stage."""
     both = work.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = work.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "labels")
     while True:
-        near = left_join_hot(both, labels.withColumnRenamed("node", "b"), "b", "inner").groupBy("a").agg(F.min("root").alias("near"))
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next"))
-        step = work.write(step, "steps")
         up = labels.select(F.col("node").alias("next"), F.col("root").alias("up"))
-        new = left_join_hot(step, up, "next").select("node", F.least("next", F.coalesce("up", "next")).alias("root"), (F.least("next", F.coalesce("up", "next")) < F.col("root")).alias("moved"))
-        new = work.write(new, "labels")
+        new = work.write(step.join(up, "next", "left").select("node", F.least("next", F.coalesce("up", "next")).alias("root"), (F.least("next", F.coalesce("up", "next")) < F.col("root")).alias("moved")), "labels")
         moved = new.where("moved").limit(1).count()
-        work.drop(labels, step)
+        work.drop(labels)
         labels = new
         if not moved:
             work.drop(both)
@@ -257,11 +255,13 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     able = work.write(by_document(answers(sent_by(texts, _send(shingle, percent), blocks_for(n_chars // 15, partitions), False), False)), "able")
     sets = texts.join(able, ["k1", "k2"]).mapInArrow(_sets(shingle, percent), "node long, n long, members array<long>")
     some = work.write(sets.dropDuplicates(["node"]), "sets")
+    work.drop(able)
     n_members = some.agg(F.sum("n")).first()[0] or 0
     seen = by_document(answers(sent_by(some.select("node", "members"), _send_whole, blocks_for(n_members, partitions), False), False))
     n_seen = F.aggregate("parts", F.lit(0), lambda s, x: s + F.octet_length(x)) / 4
     enough = seen.select(F.col("k1").alias("node"), n_seen.alias("seen"))
     nodes = work.write(some.join(enough, "node").where(F.col("seen") >= _need_sql(F.col("n"), percent)), "nodes")
+    work.drop(some)
     shingles = nodes.select("node", "n", F.explode("members").alias("h"))
     df = shingles.groupBy("h").agg(F.count("*").alias("df")).where("df >= 2")
     ordered = shingles.join(df, "h").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("ordered"))
@@ -269,6 +269,7 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     ordered = work.write(ordered.withColumn("spare", (F.size("ordered") - _need_sql(F.col("n"), percent)).cast("int")).where("spare >= 0"), "ordered")
     boundary = boundary_by_cost(ordered) if boundary is None else boundary
     lists = work.write(_lists(ordered, boundary, percent), "lists")
+    work.drop(ordered)
     links, roots, width = None, None, 1
     while True:
         if roots is not None:

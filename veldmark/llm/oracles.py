@@ -54,3 +54,46 @@ select conv_id, cast(max(shared) as integer) as n_shared, coalesce(string_agg(re
   coalesce(string_agg(rendered, '' order by i) filter (where side = 'r' and i > shared), '') as rejected_completion, coalesce(string_agg(mask, ',' order by i) filter (where side = 'r' and i > shared), '') as rejected_mask
 from z group by conv_id
 """
+
+# The base patterns of secrets: pieces between matches and the matches tell where each lies.
+SECRET_SPANS = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+f as (
+  select r, t, 'assign' as kind, 0 as k, string_split_regex(t, '(?i)(password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)') as p,
+    regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)') as v from d
+  union all select r, t, 'access', 1, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') from d
+  union all select r, t, 'hex', 2, string_split_regex(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') from d),
+m as (select r, kind, k, p, v, unnest(range(1, len(v) + 1)) as i from f where len(v) > 0),
+s as (
+  select r, kind, k, v[i] as x, list_sum(list_transform(list_slice(p, 1, i), lambda y: length(y))) + coalesce(list_sum(list_transform(list_slice(v, 1, i - 1), lambda y: length(y))), 0) as start from m),
+g as (
+  select *, start + length(x) as stop from s
+  where case kind when 'assign' then length(regexp_extract(x, '(?i)(password|passwd|secret|token|api_?key)["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 2)) >= 6 when 'access' then length(x) >= 20 else true end),
+a as (
+  select r, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex,
+    string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, k) as spans from g group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256 from d left join a using (r)
+"""
+
+# The counts of the quality rules and what the base rules make of them.
+QUALITY_COUNTS = r"""
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+starts as (select r, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3),
+again as (select r, i from (select r, i, array_to_string(list_slice(w, i, i + 2), ' ') as x from starts) qualify count(*) over (partition by r, x) > 1),
+covered as (select r, count(distinct i + k) as n from again, range(0, 3) as t(k) group by r),
+c as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words from d left join covered using (r))
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c
+"""
+
+# Targets of sources: none above three times its size, the rest by weight.
+MIXING_TARGETS = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size from documents),
+s as (select source, sum(size) as source_size from d group by 1),
+w as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight, sum(source_size) over () as total from s),
+f as (select *, row_number() over (order by 3.0 * source_size / weight, source nulls last) as rank from w),
+l as (select *, (total - coalesce(sum(3 * source_size) over (order by rank rows between unbounded preceding and 1 preceding), 0)) / cast(sum(weight) over (order by rank rows between current row and unbounded following) as double) as level from f),
+t as (select *, (select level from l where level <= 3.0 * source_size / weight order by rank limit 1) as last from l)
+select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, round(least(3.0 * source_size, last * weight), 3) as target from d join t on d.source is not distinct from t.source
+"""

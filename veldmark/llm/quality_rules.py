@@ -9,9 +9,9 @@ only thing that reaches the driver, and the table of posteriors the only thing
 that is broadcast.
 
 Defined cases: a null or empty text has no words and fails the base rules;
-equal rows get equal verdicts; an empty table gives an empty result. With
-``keep_columns`` all columns of the input stay, and those of the verdict
-replace any of the same name.
+equal rows, and documents of one vote pattern, get equal verdicts; very long texts are
+counted whole, in one row; an empty table gives an empty result; other columns are
+ignored, whatever their names (``keep_good`` keeps them all).
 """
 
 from __future__ import annotations
@@ -192,13 +192,12 @@ def score_quality(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The documents that the verdict keeps, with their own columns."""
-    found = posteriors(features(documents, text_col, []))
+    """The documents that the verdict keeps, with their own columns. They are written beside their votes, so texts are read and counted once."""
     own = documents.columns
     renamed = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
-    carry = renamed.columns
-    table = judged(features(renamed, f"c{own.index(text_col)}", carry), found)
-    return table.where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
+    work = Workspace(documents.sparkSession, "quality-rules")
+    table = work.write(features(renamed, f"c{own.index(text_col)}", renamed.columns), "features")
+    return judged(table, posteriors(table)).where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import decontamination, jaccard_join, oracles, preference_format, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, token_counts, warc_archive
 
+
+
+def secret_base_spans(spark, sf_dir: str):
+    """What op5 says of the base patterns."""
+    return secret_scan.op5_secret_scan(spark, sf_dir).drop("spans")
+
+
+def quality_base_counts(spark, sf_dir: str):
+    """What op9 counts."""
+    return quality_rules.op9_quality_rules(spark, sf_dir).drop("kept", "quality_posterior")
+
+
+def mixing_targets(spark, sf_dir: str):
+    """The targets of op7."""
+    return source_mixing.op7_source_mixing(spark, sf_dir).drop("taken").withColumn("target", F.round("target", 3))
+
+
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality_classifier": quality_classifier.op2_quality_classifier,
@@ -15,10 +34,17 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_warc": warc_archive.op10_warc,
+    # parts of results that SQL can tell
+    "secret_base_spans": secret_base_spans,
+    "quality_base_counts": quality_base_counts,
+    "mixing_targets": mixing_targets,
 }
 ORACLES = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op3_ngram_jaccard_join": oracles.JACCARD_JOIN,
     "op6_preference_format": oracles.PREFERENCE_FORMAT,
     "op10_warc": warc_archive.ORACLE,
+    "secret_base_spans": oracles.SECRET_SPANS,
+    "quality_base_counts": oracles.QUALITY_COUNTS,
+    "mixing_targets": oracles.MIXING_TARGETS,
 }

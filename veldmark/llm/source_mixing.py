@@ -4,21 +4,24 @@ Targets fill like water: sources share all words by weight, none above three
 times its own. A document of a source is then wanted target/size times, and
 the fractional part of that is rounded by the pivotal method: two documents
 with fractions p and q trade mass at random until one is 0 or 1, the other
-carries p + q (or p + q - 1) on. Every document keeps its expectation, and
-the total of a group never moves by more than one fraction.
+carries p + q (or p + q - 1) on. Below the root every document keeps its expectation,
+and the total of a group never moves by more than one fraction.
 
 The rounding runs as a reduction tree. Leaves are groups of similar size
 inside a source, so that mass trades between documents of like length and the
 words of a source stay near their target; each leaf leaves one residual
 fraction, residuals meet in groups of up to FAN, and the last ones of a
 source, one of each band of sizes, are rounded together, the longest first,
-each to where the source's words come nearest to their target. Only DataFrame functions are used. A leaf holds about LEAF
-documents at most, whatever share of the rows a source has, and randomness is
-a hash of the row, so reruns agree.
+each to where the source's words come nearest to their target. These few (one of each
+quarter octave of sizes) are not rounded at random, so their expectation is not kept.
+Only DataFrame functions are used. A leaf holds about LEAF documents, whatever share of
+the rows a source or one repeated row has, and randomness is a hash of the row (of
+repeated rows, also of their place in the input), so reruns agree.
 
 Defined cases: a null text or one without words has size 0 and is never
 taken; a null source is a source, after all others; equal rows count each,
-and it is left open which of them is taken; an empty table gives an empty
+and it is left open which of them is taken; ties between sizes are broken by the hash;
+very long texts count whole, and one that is longer than its source's target may miss it; an empty table gives an empty
 result; other columns are ignored (``mix`` keeps the input's own columns).
 """
 
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace, row_keys
+from .storage import Workspace, left_join_hot, row_keys
 
 LEAF = 2048
 FAN = 256
@@ -97,12 +100,20 @@ def _round_root(items: Column, words: Column) -> Column:
     return F.aggregate(items, F.struct((words + open_words - wanted).alias("off"), nothing.alias("done")), nearest, lambda s: s["done"])
 
 
+def _salted(sizes: DataFrame) -> DataFrame:
+    """With ``salt``: 0, but for rows that repeat the number that they were written with, so that equal rows fall in many leaves."""
+    again = sizes.groupBy("k1", "k2").count().where("count > 1").select("k1").distinct().withColumn("again", F.lit(True))
+    if not again.limit(1).count():
+        return sizes.drop("nth").withColumn("salt", F.lit(0).cast("bigint"))
+    return left_join_hot(sizes, again, "k1").withColumn("salt", F.when(F.col("again"), F.col("nth")).otherwise(0)).drop("nth", "again")
+
+
 def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, k1, k2, source, size, source_size, target and copies."""
     spark = documents.sparkSession
     work = Workspace(spark, "source-mixing")
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row_keys(F.col(id_col), F.col(text_col)))
-    rows = work.write(rows, "sizes")
+    rows = _salted(work.write(rows.withColumn("nth", F.monotonically_increasing_id()), "sizes"))
     table = work.write(targets(rows, weights, most).withColumnRenamed("source", "named"), "targets")
     n_sources, n_rows = table.count(), rows.count()
     known = F.broadcast(table) if n_sources <= FEW_SOURCES else table
@@ -113,9 +124,9 @@ def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     own = ["doc_id", "k1", "k2", "source", "size", "source_size", "target"]
     parts = [rows.where(whole).select(*own, F.when(F.col("size") > 0, F.col("base")).otherwise(0).cast("bigint").alias("copies"))]
     leaves = max(1, -(-n_rows // LEAF))
-    item = F.struct("size", _uniform(F.col("k1"), F.col("k2"), F.lit(seed)).alias("u"), "k1", "k2", "doc_id", "p", "source_size", "target", "base")
+    item = F.struct("size", _uniform(F.col("k1"), F.col("k2"), F.lit(seed), F.col("salt")).alias("u"), "k1", "k2", "doc_id", "p", "source_size", "target", "base")
     band = F.floor(F.log2("size") * BANDS_PER_OCTAVE).cast("int")
-    left = rows.where(~whole).select("source", band.alias("band"), F.pmod(F.xxhash64("k1", F.lit(seed)), F.lit(leaves)).cast("int").alias("leaf"), item.alias("item"))
+    left = rows.where(~whole).select("source", band.alias("band"), F.pmod(F.xxhash64("k1", F.lit(seed), "salt"), F.lit(leaves)).cast("int").alias("leaf"), item.alias("item"))
     level, decided = 0, []
     while True:
         level += 1

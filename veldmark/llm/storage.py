@@ -54,7 +54,7 @@ def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
 
 
 #: A key is hot with more rows than this, and more than one in HOT_SHARE of all: so there are at most HOT_SHARE hot keys.
-HOT_ROWS, HOT_SHARE = 1024, 10_000
+HOT_ROWS, HOT_SHARE = 256, 10_000
 
 
 def hot_bound(n_rows: int) -> int:

@@ -5,10 +5,14 @@ leftmost least-hashed ``ANCHOR``-word gram inside it, so a window that starts
 at two places has two anchor occurrences with the same key, and the number of
 a key's anchor occurrences is never less than the number of such windows.
 
-1. Count-min prefilter. Tasks send sparse sketches of anchor keys (about one
-   in fourteen words), a block of the key space merges them, and documents
-   learn which of their anchors are estimated at two or more. The estimate
-   is never below the number of windows, so no repeated window is lost.
+1. Count-min prefilter. Tasks send the anchors that they have (about one word
+   in fourteen is one) as 32-bit codes with the document and place to answer to,
+   those that repeat inside a task once; a block of the key space adds the codes of
+   all tasks up in its sketch, and answers which anchors are estimated at two or
+   more. The estimate is never below the number of windows, so no repeated
+   window is lost. (A sketch that tasks fill and others read as a whole would have
+   to be broadcast, and it grows with the corpus; so what travels is the addressed
+   codes, and what the sketch saves is the memory of blocks, not their traffic.)
 2. Exact pass. Only windows whose anchor passed are grouped, by 96 bits of
    their word sequence.
 3. Words covered by a window that starts elsewhere too are removed.
@@ -18,7 +22,8 @@ and blocks follow the input. Keys repeated within one task travel once.
 
 Defined cases: a null or empty text has no words; null ids are kept; equal
 rows count as several documents; other columns of the input are ignored
-(``k1`` and ``k2`` may be among them); an empty table gives an empty result.
+(``k1`` and ``k2`` may be among them); very long texts are cut into overlapping
+stretches only for the search of anchors; an empty table gives an empty result.
 """
 
 from __future__ import annotations
