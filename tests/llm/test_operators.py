@@ -310,6 +310,28 @@ def test_token_counts(spark, rule):
         assert {r.section: r.n_tokens for r in parts if r.n_tokens} == dict(want)
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_field_token_counts(spark, rule):
+    fields = [("title é", "", "a body of words"), (None, None, None), ("", "x", None), ("un", "believ", "able"), ("\U0001f600", "\U0001f600\U0001f600", " tail")]
+    docs = spark.createDataFrame([(i, *f) for i, f in enumerate(fields)], "doc_id long, title string, lead string, body string").withColumn("text0", F.lit("clash"))
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoder, lengths = token_counts._encoder(f.read())
+    for joiner in ("", "\n"):
+        got = {(r.doc_id, r.field): (r.n_tokens, r.start, r.end, r.doc_tokens) for r in token_counts.count_field_tokens(docs, ["title", "lead", "body"], rule=rule, joiner=joiner).collect()}
+        assert len(got) == 3 * len(fields)
+        for d, f in enumerate(fields):
+            parts = [(x or "") + (joiner if i < 2 else "") for i, x in enumerate(f)]
+            of = [i for i, p in enumerate(parts) for _ in p.encode()]
+            ids, at, want = encoder.encode_ordinary("".join(parts)), 0, collections.Counter()
+            for i in ids:
+                own = of[at : at + int(lengths[i])]
+                want[{"start": own[0], "end": own[-1], "most": max(sorted(set(own)), key=own.count)}[rule]] += 1
+                at += int(lengths[i])
+            for i, name in enumerate(["title", "lead", "body"]):
+                start = sum(map(len, parts[:i]))
+                assert got[d, name] == (want[i], start, start + len(parts[i]), len(ids))
+
+
 def test_preference_format(spark):
     T = lambda *x: [{"role": r, "text": t} for r, t in x]
     u, a, b = ("user", "hi"), ("assistant", "hello"), ("assistant", "go away")

@@ -8,7 +8,8 @@ earlier), "start" or "end" (the section of its first or last byte). Counts of
 a document's sections add up to its tokens under any rule.
 
 Sections are what ``splitter`` matches end: by default lines, each with its
-line feed. Positions are given in code points. Rows of one task are
+line feed. ``count_field_tokens`` takes columns of a document for sections. Positions are
+given in code points. Rows of one task are
 independent; a lost task is computed anew.
 
 Defined cases: a null or empty text has one empty section without tokens;
@@ -63,20 +64,41 @@ def allot(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -
     return out, crosses
 
 
-def _count(vocabulary: bytes, rule: str, splitter: bytes):
+def _by_line(splitter: bytes):
+    """The text of a row and the ends of its sections in bytes, without the last: behind each of the splitter's characters."""
+
+    def cut(row: tuple) -> tuple[str, np.ndarray]:
+        text = row[0] or ""
+        return text, np.flatnonzero(np.isin(np.frombuffer(text.encode(), np.uint8), list(splitter))) + 1
+
+    return cut
+
+
+def _by_field(joiner: str):
+    """The fields of a row as one text; what joins two of them belongs to the first."""
+
+    def cut(row: tuple) -> tuple[str, np.ndarray]:
+        parts = [(x or "") + joiner for x in row[:-1]] + [row[-1] or ""]
+        return "".join(parts), np.cumsum([len(p.encode()) for p in parts])[:-1]
+
+    return cut
+
+
+def _count(vocabulary: bytes, rule: str, cut, columns: int, keep_empty: bool):
+    names = [f"text{i}" for i in range(columns)]
+
     def run(batches):
         encoder, lengths = _encoder(vocabulary)
         for batch in batches:
             rows, docs = [], []
-            for d, text in enumerate(batch.column("text").to_pylist()):
-                text = text or ""
+            for d, row in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                text, cuts = cut(row)
                 data = np.frombuffer(text.encode(), np.uint8)
                 ends = np.cumsum(lengths[np.asarray(encoder.encode_ordinary(text), np.int64)])
                 starts = ends - np.diff(ends, prepend=0)
-                cuts = np.flatnonzero(np.isin(data, list(splitter))) + 1
-                bounds = np.unique(np.concatenate([[0], cuts, [len(data)]]))
-                if len(bounds) == 1:
-                    bounds = np.zeros(2, np.int64)
+                bounds = np.concatenate([[0], cuts, [len(data)]])
+                if not keep_empty:
+                    bounds = np.unique(bounds) if len(data) else np.zeros(2, np.int64)
                 n = len(bounds) - 1
                 at, crosses = allot(starts, ends, bounds, rule)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
@@ -88,14 +110,24 @@ def _count(vocabulary: bytes, rule: str, splitter: bytes):
     return run
 
 
-def count_tokens(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rule: str = "most", splitter: str = "\n") -> DataFrame:
-    """One row per section: doc_id, section, start, end (code points), n_tokens, n_crossing (of these, tokens that cross a boundary) and doc_tokens (of the whole document). splitter: ASCII characters of which each ends a section."""
+def _counted(documents: DataFrame, id_col: str, texts: list[str], vocabulary: str, rule: str, cut, keep_empty: bool) -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     with open(vocabulary, "rb") as f:  # under 1 MB, read where the query is planned
         ranks = f.read()
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_count(ranks, rule, splitter.encode("ascii")), f"doc_id {dict(rows.dtypes)['doc_id']}, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
+    rows = documents.select(F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"text{i}") for i, c in enumerate(texts)))
+    return rows.mapInArrow(_count(ranks, rule, cut, len(texts), keep_empty), f"doc_id {dict(rows.dtypes)['doc_id']}, section long, start long, end long, n_tokens long, n_crossing long, doc_tokens long")
+
+
+def count_tokens(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rule: str = "most", splitter: str = "\n") -> DataFrame:
+    """One row per section: doc_id, section, start, end (code points), n_tokens, n_crossing (of these, tokens that cross a boundary) and doc_tokens (of the whole document). splitter: ASCII characters of which each ends a section."""
+    return _counted(documents, id_col, [text_col], vocabulary, rule, _by_line(splitter.encode("ascii")), False)
+
+
+def count_field_tokens(documents: DataFrame, fields: list[str], *, id_col: str = "doc_id", vocabulary: str = VOCABULARY, rule: str = "most", joiner: str = "\n") -> DataFrame:
+    """One row per document and field (``field``; also for null and empty ones) with the columns of count_tokens. Fields are encoded as one text, as a model will see them; the joiner between two counts for the first."""
+    rows = _counted(documents, id_col, fields, vocabulary, rule, _by_field(joiner), True)
+    return rows.withColumn("field", F.get(F.array(*map(F.lit, fields)), F.col("section").cast("int")))
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
