@@ -1,6 +1,11 @@
 """A corpus from raw documents to a weighted mix, in five stages that each use one operator.
 
 Stages get all that their predecessor kept, written as Parquet and read again.
+
+Odd rows are defined by the operators and hold in every stage: null and empty texts have no words, so the
+first stage drops them; null ids, langs and sources are kept as they are; equal rows are one document for the
+second stage; ties go to the least id, then to a hash of the row; very long texts are judged whole; columns
+beyond those of documents stay, whatever their names; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the least id."""
+    """One document of each group of near duplicates stays: that with the least id; documents without words stay all."""
     return keep_one_of_each(docs)
 
 
@@ -32,12 +37,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by a mark, and n_chars follows; documents stay."""
-    return redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+    """Secrets in texts are replaced by a mark, and n_chars follows, where there is one (that of null texts stays); documents stay."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their target weights: documents that are taken, and how often."""
+    """Sources come to their target weights: documents that are taken, and how often (copies); those without words never are."""
     return mix(docs)
 
 

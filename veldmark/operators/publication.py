@@ -74,3 +74,13 @@ def trial_duplicates(identities: DataFrame) -> DataFrame:
     """One row: rows of a trial read whose identity occurs more than once. No bound on tracked identities is needed."""
     n = identities.groupBy("identity_hash").agg(F.count(F.lit(1)).alias("n"))
     return n.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
+
+
+def simulation(snapshot: DataFrame, components: DataFrame, runs: DataFrame, needed: list[str]) -> DataFrame:
+    """A simulated publication of frozen bundles: bundle_id, the number of the attempt, n_rows, n_incomplete (rows that lack a needed field) and the hash of what would be sent. Nothing outside is touched."""
+    lacks = F.lit(False)
+    for c in needed:
+        lacks = lacks | F.col(c).isNull()
+    counts = snapshot.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(lacks).alias("n_incomplete"))
+    rows = counts.join(snapshot_hash(snapshot, components), "bundle_id").join(next_attempt(runs), "bundle_id", "left")
+    return rows.select("bundle_id", F.coalesce("next_attempt", F.lit(1)).cast("bigint").alias("attempt"), "n_rows", "n_incomplete", "snapshot_hash")

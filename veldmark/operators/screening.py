@@ -134,6 +134,18 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     return Screened(staged, found, grouped, counters, judgement, plan)
 
 
+#: What a trial read doesn't tell, as it knows no state.
+NOT_EVALUATED = ("CLASSIFICATION", "PRICE_DEVIATION", "REFERENCES", "THRESHOLDS", "CREATION_POLICY")
+
+
+def trial(spark: SparkSession, path: str, profile: Profile, folder: str, most: int = issues.SAMPLE_MOST) -> tuple[DataFrame, DataFrame]:
+    """A trial read of a delivery: one row of counters with duplicate_rows, and the first issues of each code. It changes nothing and leaves NOT_EVALUATED open."""
+    written = _write(routed(read_delivery(spark, path, profile.structure), profile), f"{folder}/trial")
+    duplicates = publication.trial_duplicates(normalised(written.where("route = 'VALID'"), profile))
+    found = catalogued(_issue(written.where("code is not null"), F.col("code"), F.col("field"), "line"))
+    return judge.counters(written).join(duplicates, F.lit(True)), issues.samples(found, most)
+
+
 def _judged(counters: DataFrame, staged: DataFrame, found: DataFrame, grouped: DataFrame, state: DataFrame, profile: Profile) -> DataFrame:
     """One row: counters, thresholds, creation outcome, bulk incidents, blocked and verdict."""
     # rows of one each, so these joins are of one row with one row

@@ -36,6 +36,19 @@ def _(spark, sf):
     return publication.snapshot_hash(rows, _components(spark, sf, 0).withColumn("id", F.col("identity_hash").cast("bigint")))
 
 
+@query("c26_simulation_run", f"""with c as ({_components_sql(0)}), k as (select cast(identity_hash as bigint) as id, string_agg(component_code || chr(31) || cast(percentage as varchar), chr(31) order by component_code) as children from c group by 1),
+r as (select p_brand as bundle_id, max(p_size) + 1 as attempt from part where p_brand <> 'Brand#1' group by 1),
+q as (select *, cast(round(p_retailprice * 100) as bigint) as cents from part)
+select p_brand as bundle_id, cast(coalesce(any_value(attempt), 1) as bigint) as attempt, count(*) as n_rows, count(*) filter (p_partkey % 9 = 0) as n_incomplete, sha256(string_agg(cast(p_partkey as varchar) || chr(31) || case when p_partkey % 9 = 0 then 'null' else regexp_replace(cast(cents // 100 as varchar) || '.' || lpad(cast(cents % 100 as varchar), 2, '0'), '\\.?0+$', '') end || chr(31) || coalesce(children, 'null') || chr(30), '' order by p_partkey)) as snapshot_hash
+from q left join k on id = p_partkey left join r on bundle_id = p_brand group by 1""")
+def _(spark, sf):
+    part = t(spark, sf, "part")
+    cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
+    rows = part.select(F.col("p_brand").alias("bundle_id"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 9 != 0, cents * 10_000).alias("amount"))
+    runs_of = part.where("p_brand <> 'Brand#1'").select(F.col("p_brand").alias("bundle_id"), F.col("p_size").alias("attempt"))
+    return publication.simulation(rows, _components(spark, sf, 0).withColumn("id", F.col("identity_hash").cast("bigint")), runs_of, ["amount"])
+
+
 @query("a20_bookmark_hash", "select c_nationkey as batch_id, sha256(string_agg(c_name || chr(31) || c_mktsegment || chr(30), '' order by c_name)) as value_hash from customer group by 1")
 def _(spark, sf):
     from veldmark.functions.fingerprint import PART, ordered_hash
