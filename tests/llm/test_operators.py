@@ -415,3 +415,19 @@ def test_dual_coordinate_descent_meets_the_optimality_conditions():
     objective = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
     best = objective(w)
     assert all(objective(w + 0.05 * rng.normal(size=5)) >= best - 1e-6 for _ in range(200))
+
+
+def test_repeated_rows_are_mixed_in_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(source_mixing, "LEAF", 8)
+    monkeypatch.setattr(storage, "HOT_ROWS", 16)
+    rows = [(1, "same five words are here", "en", "a", 0)] * 300 + [(i, passage(i, 7), "en", "ab"[i % 2], 0) for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = source_mixing.copies_of(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
+    assert all(abs(taken[s] - t) <= 0.02 * t + 10 for s, t in target.items())
+    salted = source_mixing._salted(source_mixing.Workspace(spark, "test").write(docs.select(F.lit(1).cast("long").alias("k1"), F.lit(2).cast("long").alias("k2")).withColumn("nth", F.monotonically_increasing_id()), "sizes"))
+    assert salted.select("salt").distinct().count() == len(rows)

@@ -204,7 +204,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     items = work.write(benchmark_items(benchmark, item_col, item_text_col, units), "items")
     widths = widths_of(items)
     known = _owned(benchmark_keys(items, widths)).select("key", "own.item", "own.item_pos")
-    known = work.write(known.join(items.select("item", F.size("vals").alias("size")), "item"), "known")
+    known = known_table = work.write(known.join(items.select("item", F.size("vals").alias("size")), "item"), "known")
     few = known.count() <= FEW_WINDOWS
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_keys(F.col(id_col), F.col(text_col)))
     # windows of one kind and width after another, then the whole: places repeat with the number of tokens
@@ -214,6 +214,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     hits = every.join(F.broadcast(known) if few else known, "key").withColumn("pos", F.col("at") % F.col("n"))
     # how an item lies on a document; equal rows hit alike
     laid = work.write(hits.select("k1", "k2", "item", "size", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct(), "laid")
+    work.drop(known_table)
     found = laid.groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "size", "shift")).alias("laid"))
     # dealt by key whatever the number of hits: their documents can be most of the corpus
     texts = docs.join(found.hint("merge"), ["k1", "k2"]).select("k1", "k2", "doc_id", "laid", marked(F.col("text"), units).alias("m"))

@@ -1,5 +1,9 @@
 """SQL for the results of queries that SQL can express, to be run on small tables."""
 
+from __future__ import annotations
+
+from .decontamination import UNITS
+
 # Every window of 35 words that occurs twice, and the words under it.
 SUBSTRING_DEDUP = r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
@@ -97,3 +101,39 @@ l as (select *, (total - coalesce(sum(3 * source_size) over (order by rank rows
 t as (select *, (select level from l where level <= 3.0 * source_size / weight order by rank limit 1) as last from l)
 select doc_id, cast(size as bigint) as size, cast(source_size as bigint) as source_size, round(least(3.0 * source_size, last * weight), 3) as target from d join t on d.source is not distinct from t.source
 """
+
+# Windows of 8 tokens of items that have so many (in the driver's tables all have): joined, laid on their documents, and judged run by run.
+DECONTAMINATION = r"""
+with docs as (select row_number() over () as r, doc_id, text from (select distinct doc_id, text from documents)),
+texts as (select 'd' as side, r, text from docs union all select 'i', item_id, text from benchmark),
+words as (select side, r, regexp_extract_all(regexp_replace(coalesce(text, ''), '[\x01.,;:!?"\x27()\[\]{}…«»“”‘’`]', '', 'g'), '[^\x20\x09-\x0D]+') as w from texts),
+word as (select side, r, unnest(w) as w, generate_subscripts(w, 1) as i from words),
+kind as (select *, case when regexp_matches(w, '^\p{Lu}\p{Ll}') then '@' when regexp_matches(w, '^[^\p{L}\p{N}]{0,3}[0-9]') then '#' end as k from word),
+tok as (
+  select side, r, i, lower(w) as v, case when k is not null then chr(1) || k when lag(k) over (partition by side, r order by i) = '#' and regexp_matches(w, '^(?i:UNITS)$') then chr(1) || '%' else lower(w) end as t from kind),
+lists as (select side, r, list(t order by i) as ts, list(v order by i) as vs from tok group by 1, 2),
+starts as (select side, r, ts, vs, unnest(range(1, len(ts) - 6)) as q from lists where len(ts) >= 8),
+win as (select side, r, q, list_slice(ts, q, q + 7) as wt, list_slice(vs, q, q + 7) as wv from starts),
+iw as (
+  select r as item, q, wt, wv, len(list_distinct(list_filter(wt, lambda x: not contains(x, chr(1))))) >= 4 as said, len(list_distinct(wv)) >= 4 as told,
+    list_filter(list_transform(range(1, 9), lambda j: case when contains(wt[j], chr(1)) then wv[j] end), lambda x: x is not null) as slots from win where side = 'i'),
+keys as (
+  select item, q, 't' as kind, array_to_string(wt, ' ') as key, array_to_string(list_transform(slots, lambda x: cast(list_position(slots, x) as varchar)), ',') as pattern from iw where said
+  union all select item, q, 'v', array_to_string(wv, ' '), '' from iw where told),
+own as (select * from keys qualify row_number() over (partition by kind, key, pattern order by item, q) = 1),
+dw as (select r, q, 't' as kind, array_to_string(wt, ' ') as key from win where side = 'd' union all select r, q, 'v', array_to_string(wv, ' ') from win where side = 'd'),
+laid as (select distinct dw.r, item, dw.q - own.q as shift from dw join own using (kind, key)),
+al as (
+  select l.r, l.item, l.shift, a.i as x, a.t, a.v, b.v as dv, a.t = b.t as st, a.v = b.v as sv from laid l join tok a on a.side = 'i' and a.r = l.item join tok b on b.side = 'd' and b.r = l.r and b.i = a.i + l.shift where a.t = b.t or a.v = b.v),
+run as (select *, x - row_number() over (partition by r, item, shift order by x) as g from al),
+pure as (
+  select *, sum(cast(st as int)) over f as nt, sum(cast(sv as int)) over f as nv from run window f as (partition by r, item, shift, g order by x rows between current row and 7 following)),
+seen as (select p.*, coalesce(said and nt = 8, false) as is_t, coalesce(told and nv = 8, false) as is_v from pure p left join iw on iw.item = p.item and iw.q = p.x),
+judged as (
+  select r, item, shift, g, count(*) as matched, count(*) filter (is_t or is_v) as n_windows, count(distinct (v, dv)) filter (contains(t, chr(1))) as n_slots, count(distinct v) filter (contains(t, chr(1))) as n_values, bool_and(sv) as equal, bool_or(is_v) as verbatim
+  from seen group by 1, 2, 3, 4 having count(*) filter (is_t or is_v) > 0),
+j as (select *, n_slots = n_values as consistent, equal or (n_slots <> n_values and verbatim) as exact from judged),
+p as (select r, item, shift, sum(n_windows) as n_windows, max(matched) as matched, sum(n_slots) as n_slots, bool_or(exact) as exact, bool_or(consistent) as consistent from j group by 1, 2, 3)
+select doc_id, item as item_id, cast(sum(n_windows) as bigint) as n_windows, cast(max(matched) as bigint) as n_matched, round(max(matched / len(ts)), 6) as coverage, cast(max(n_slots) as bigint) as n_slots, bool_or(exact) as exact, bool_or(consistent) as consistent
+from p join docs using (r) join lists on side = 'i' and lists.r = item group by docs.r, doc_id, item
+""".replace("UNITS", UNITS)

@@ -43,6 +43,7 @@ ORACLES = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op3_ngram_jaccard_join": oracles.JACCARD_JOIN,
     "op6_preference_format": oracles.PREFERENCE_FORMAT,
+    "op8_decontamination": oracles.DECONTAMINATION,
     "op10_warc": warc_archive.ORACLE,
     "secret_base_spans": oracles.SECRET_SPANS,
     "quality_base_counts": oracles.QUALITY_COUNTS,

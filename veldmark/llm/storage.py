@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,16 @@ class Workspace:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession, unused_seconds: int = 7 * 24 * 3600) -> int:
+    """Delete the tables of operator calls that were last written so long ago, and tell how many calls that were. Results are read lazily, so what a call wrote last can't go with the call."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veldmark")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in files.listStatus(folder) if f.getModificationTime() < (time.time() - unused_seconds) * 1000] if files.exists(folder) else []
+    for p in old:
+        files.delete(p, True)
+    return len(old)
+
+
 def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
     """128 bits that name a row by its id and text. Equal rows have equal keys, and want equal answers."""
     text = F.coalesce(text, F.lit(""))

@@ -156,6 +156,7 @@ def remove_repeated_windows(documents: DataFrame, *, id_col: str = "doc_id", tex
     anchors = answers(sent_by(docs.select("k1", "k2", "text"), _send_anchors(size), blocks_for(n_chars // 60, partitions), False), False)
     estimated = work.write(by_document(anchors), "estimated")
     some = work.write(docs.select("k1", "k2", "text").join(estimated, ["k1", "k2"]), "candidates")
+    work.drop(estimated)
     repeated = answers(sent_by(some, _send_windows(size), blocks_for(n_chars // 6, partitions), True), True)
     repeated = work.write(by_document(repeated), "repeated")
     cut = some.drop("parts").join(repeated, ["k1", "k2"]).mapInArrow(_cut(size, keep_text), "k1 long, k2 long, n_removed long, cut_sha256 string, kept_text string").dropDuplicates(["k1", "k2"])

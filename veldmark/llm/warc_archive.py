@@ -19,7 +19,8 @@ pieces between two records; only then are they read a second time.
 
 Defined cases: null html is an empty payload; a null id is written as "null",
 ranks last and comes back as null; payloads under ``least_bytes`` are all
-responses; equal rows with one id: one response, the others revisit it;
+responses; equal rows with one id: one response, the others revisit it; a very long
+payload is one row where it is written and read;
 the header block of a record is at most what one row can hold; other columns
 are ignored; no pages give an empty archive and an empty result. Bytes
 outside the chain (a truncated last record, for example) are dropped.
@@ -148,7 +149,9 @@ def candidates(spark: SparkSession, path: str, work: Workspace) -> DataFrame:
     start = pieces.groupBy("file", "split").agg(F.sum("len").alias("total")).withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
     at = lambda c: (F.col(c) + F.col("start")).alias({"mag": "off"}.get(c, c))
     rest = [c for c in pieces.columns if c not in ("len", "succ", "leave")]
-    return work.write(pieces.join(start.drop("total"), ["file", "split"]).select(*rest, at("mag"), at("succ"), at("leave")).where("off >= 0"), "candidates")
+    found = work.write(pieces.join(start.drop("total"), ["file", "split"]).select(*rest, at("mag"), at("succ"), at("leave")).where("off >= 0"), "candidates")
+    work.drop(pieces)
+    return found
 
 
 def entries(found: DataFrame, work: Workspace) -> DataFrame:
@@ -160,6 +163,7 @@ def entries(found: DataFrame, work: Workspace) -> DataFrame:
         step = reached.join(jumps, ["file", "off"]).where("to is not null").select("file", F.col("to").alias("off"))
         new = work.write(reached.union(step.join(jumps, ["file", "off"], "left_semi")).distinct(), "reached")
         m = new.count()
+        work.drop(reached)
         if m == n:
             return new
         reached, n = new, m
@@ -217,9 +221,13 @@ def read_archive(spark: SparkSession, path: str, *, bodies: bool = True) -> Data
     own = ["kind", "record", "refers", "digest", "full_len", "body_len", "body_sha256"]
     whole = marked.where("real and whole")
     # records that a magic in their payload has cut: the pieces up to the next record belong to them
-    up_to = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owner = F.max(F.when(F.col("real"), F.struct("off", "succ", "whole"))).over(up_to)
-    parts = marked.select("file", "split", "mag", "off", "succ", "whole", "real", "first", "size").withColumn("owner", owner)
+    last = F.max(F.when(F.col("real"), F.struct("off", "succ", "whole")))
+    inside = last.over(Window.partitionBy("file", "split").orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a record that is still open where its split begins is the last of the splits before: of a file only one row for each split meets in a task
+    ends = marked.groupBy("file", "split").agg(last.alias("end"))
+    before = ends.select("file", "split", F.max("end").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    parts = marked.select("file", "split", "mag", "off", "succ", "whole", "real", "first", "size").withColumn("inside", inside).join(before, ["file", "split"], "left")
+    parts = parts.withColumn("owner", F.coalesce("inside", "open"))
     parts = work.write(parts.where("not owner.whole and off < owner.succ").select("file", "split", "mag", "off", "first", "size", F.col("owner.off").alias("owner")), "parts")
     raw = _lines(spark, path).mapInArrow(_raw_pieces, RAW)
     cut = None
