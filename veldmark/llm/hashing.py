@@ -73,9 +73,9 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts data[offsets[d]:offsets[d+1]]; none crosses a document's end."""
-    inside = ~SEPARATOR[data]
+def words_of(data: np.ndarray, offsets: np.ndarray, of_word: np.ndarray | None = None) -> Words:
+    """Words of the texts data[offsets[d]:offsets[d+1]]; none crosses a document's end. of_word: which of the 256 bytes belong to words."""
+    inside = ~SEPARATOR[data] if of_word is None else of_word[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -104,7 +104,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
-def slices(batches, text: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def slices(batches, text: str = "text", limit: int = 2 << 20, of_word: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Batches cut so that each has about ``limit`` bytes of text, or one document."""
     for batch in batches:
         if not batch.num_rows:
@@ -113,7 +113,7 @@ def slices(batches, text: str = "text", limit: int = 2 << 20) -> Iterator[tuple[
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-            yield batch.slice(at, to - at), words_of(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            yield batch.slice(at, to - at), words_of(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], of_word)
             at = to
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, oracles, preference_format, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, token_counts, warc_archive
+from . import decontamination, importance_resampling, jaccard_join, nearest_neighbours, oracles, preference_format, quality_classifier, quality_rules, secret_scan, source_mixing, substring_dedup, token_counts, vector_codes, warc_archive
 
 
 
@@ -34,6 +34,9 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_warc": warc_archive.op10_warc,
+    "op11_importance_resampling": importance_resampling.op11_importance_resampling,
+    "op12_nearest_neighbours": nearest_neighbours.op12_nearest_neighbours,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
     # parts of results that SQL can tell
     "secret_base_spans": secret_base_spans,
     "quality_base_counts": quality_base_counts,
@@ -45,6 +48,9 @@ ORACLES = {
     "op6_preference_format": oracles.PREFERENCE_FORMAT,
     "op8_decontamination": oracles.DECONTAMINATION,
     "op10_warc": warc_archive.ORACLE,
+    "op11_importance_resampling": importance_resampling.ORACLE,
+    "op12_nearest_neighbours": nearest_neighbours.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
     "secret_base_spans": oracles.SECRET_SPANS,
     "quality_base_counts": oracles.QUALITY_COUNTS,
     "mixing_targets": oracles.MIXING_TARGETS,
