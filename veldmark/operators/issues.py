@@ -16,6 +16,19 @@ def tally(issues: DataFrame) -> DataFrame:
     return issues.groupBy("code", "signature", "severity").agg(F.count(F.lit(1)).alias("occurrences"), F.min("row_number").alias("first_row"))
 
 
+def timed_tally(issues: DataFrame, at: Column) -> DataFrame:
+    """A tally with the time of its delivery, as first_at and last_at: the state that ``merged_tallies`` adds up."""
+    return tally(issues).withColumn("first_at", at).withColumn("last_at", at)
+
+
+def merged_tallies(*tallies: DataFrame) -> DataFrame:
+    """Tallies of several deliveries as one, whatever their order: counts add up, times widen, and the first row is that of the earliest delivery (of deliveries at one time, the least)."""
+    rows = tallies[0]
+    for t in tallies[1:]:
+        rows = rows.unionByName(t)
+    return rows.groupBy("code", "signature").agg(F.max("severity").alias("severity"), F.sum("occurrences").alias("occurrences"), F.min(F.struct("first_at", "first_row"))["first_row"].alias("first_row"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
 def samples(issues: DataFrame, most: int = SAMPLE_MOST) -> DataFrame:
     """The first issues of each code in order of rows; totals are kept elsewhere."""
     order = Window.partitionBy("code").orderBy("row_number", "signature")

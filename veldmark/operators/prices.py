@@ -20,6 +20,37 @@ def averages(observations: DataFrame, wanted: DataFrame | None = None, short: in
     return ranked.groupBy(*KEY).agg(half_up_mean(total(short), count(short)).alias("avg_short"), half_up_mean(total(long), count(long)).alias("avg_long"))
 
 
+VALUES = "array<struct<observation_date: date, amount: decimal(24,0)>>"
+
+
+def latest_values(observations: DataFrame, most: int = 200) -> DataFrame:
+    """The latest observations of each key as one bounded list, the newest first: KEY and ``values``."""
+    latest = Window.partitionBy(*KEY).orderBy(F.desc("observation_date"))
+    rows = observations.withColumn("rn", F.row_number().over(latest)).where(F.col("rn") <= most)
+    value = F.struct("observation_date", F.col("amount").cast("decimal(24,0)").alias("amount"))
+    return rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(value), asc=False).cast(VALUES).alias("values"))
+
+
+def with_observations(latest: DataFrame, new: DataFrame, most: int = 200) -> DataFrame:
+    """The lists of the keys that new observations (one a key and day) bear on, with these. A day that has a value keeps it; lists stay bounded, so no history is read."""
+    lists = latest_values(new, most).withColumnRenamed("values", "incoming")
+    rows = lists.join(latest.select(*KEY, "values"), KEY, "left").withColumn("values", F.coalesce("values", F.array().cast(VALUES)))
+    days = F.transform("values", lambda v: v["observation_date"])
+    fresh = F.filter("incoming", lambda v: ~F.array_contains(days, v["observation_date"]))
+    return rows.select(*KEY, F.slice(F.sort_array(F.concat("values", fresh), asc=False), 1, most).alias("values"))
+
+
+def averages_of(latest: DataFrame, short: int = 50, long: int = 200) -> DataFrame:
+    """avg_short and avg_long from lists of latest values: what ``averages`` says of the whole history."""
+
+    def mean(k: int) -> Column:
+        part = F.slice("values", 1, k)
+        total = F.aggregate(part, F.lit(0).cast("decimal(38,0)"), lambda s, v: (s + v["amount"]).cast("decimal(38,0)"))
+        return half_up_mean(total, F.size(part))
+
+    return latest.where(F.size("values") > 0).select(*KEY, mean(short).alias("avg_short"), mean(long).alias("avg_long"))
+
+
 def deviation(new: Column, reference: Column) -> Column:
     """(new - reference) * 100 / reference in 10^-12 percent; null without a usable reference."""
     return half_up_percent(new - reference, reference)

@@ -104,7 +104,7 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     staged = delta.change_mask(delta.classified(delta.beside_state(normalised(written.where("route = 'VALID'"), profile), state)))
     staged = _write(staged, f"{folder}/staged")
     wanted = staged.where("classification <> 'UNCHANGED'").select("row_number", "identity_hash", F.lit("BASE").alias("component_code"), F.col("base_price").alias("amount"), F.col("old_base_price").alias("previous"))
-    controlled = prices.control(wanted.join(prices.averages(observations, wanted, profile.short, profile.long), prices.KEY, "left"), profile.deviation_percent)
+    controlled = prices.control(wanted.join(_averages(observations, wanted, profile), prices.KEY, "left"), profile.deviation_percent)
     found = _issue(written.where("code is not null"), F.col("code"), F.col("field"), "line")
     found = found.unionByName(_issue(controlled.where("exceeded"), F.lit("PRICE_DEVIATION_EXCEEDED"), F.lit("base_price"), kind=F.col("direction")))
     duplicates = delta.duplicate_rows(staged)
@@ -134,6 +134,13 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     return Screened(staged, found, grouped, counters, judgement, plan)
 
 
+def _averages(observations: DataFrame, wanted: DataFrame, profile: Profile) -> DataFrame:
+    """From all observations, or from lists of the latest (``prices.latest_values``)."""
+    if "values" not in observations.columns:
+        return prices.averages(observations, wanted, profile.short, profile.long)
+    return prices.averages_of(observations.join(wanted.select(*prices.KEY).distinct(), prices.KEY, "left_semi"), profile.short, profile.long)
+
+
 #: What a trial read doesn't tell, as it knows no state.
 NOT_EVALUATED = ("CLASSIFICATION", "PRICE_DEVIATION", "REFERENCES", "THRESHOLDS", "CREATION_POLICY")
 
