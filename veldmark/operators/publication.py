@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldmark.functions.fingerprint import MISSING, PART, ordered_hash
 from veldmark.operators import bundles
+from veldmark.sources.artifact import write_artifact
 
 
 def preflight(mutations: DataFrame, stale: DataFrame) -> DataFrame:
@@ -76,6 +77,23 @@ def trial_duplicates(identities: DataFrame) -> DataFrame:
     return n.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
 
 
+class ContentChanged(ValueError):
+    """A frozen bundle whose content is no longer what was sealed."""
+
+    def __init__(self, bundle: str):
+        super().__init__(f"SNAPSHOT_CHANGED: {bundle}")
+        self.bundle = bundle
+
+
+def publish(bundle: str, snapshot: DataFrame, components: DataFrame, sealed: str, lines: DataFrame, path: str, *, sealed_bytes: str | None = None, seconds: float | None = None) -> dict:
+    """Publishes the artifact of one frozen bundle: its content must still hash to what was sealed when it was frozen, and the bytes written to sealed_bytes, if given. Tells the artifact's manifest."""
+    own = snapshot.where(F.col("bundle_id") == bundle)
+    now = snapshot_hash(own, components).head()
+    if now is None or now["snapshot_hash"] != sealed:
+        raise ContentChanged(bundle)
+    return write_artifact(lines, path, sealed_bytes, seconds)
+
+
 def simulation(snapshot: DataFrame, components: DataFrame, runs: DataFrame, needed: list[str]) -> DataFrame:
     """A simulated publication of frozen bundles: bundle_id, the number of the attempt, n_rows, n_incomplete (rows that lack a needed field) and the hash of what would be sent. Nothing outside is touched."""
     lacks = F.lit(False)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldmark.functions.text import split_record
+from veldmark.sources.archive import digests, listed
 
 
 @dataclass(frozen=True)
@@ -117,8 +118,9 @@ def byte_size(spark: SparkSession, path: str) -> int:
 
 
 def archive(spark: SparkSession, path: str) -> DataFrame:
-    """file, byte_size and sha256 of delivered files, each read whole (deliveries are bounded files)."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("modified_at"))
+    """file, byte_size and sha256 of delivered files, each read in ranges by one task (``sources.archive`` keeps them)."""
+    files = listed(spark, path)
+    return files.join(digests(files), "file").select("file", "byte_size", "sha256", "modified_at")
 
 
 def intake(arrivals: DataFrame, known: DataFrame) -> DataFrame:
