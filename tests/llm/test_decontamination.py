@@ -149,3 +149,14 @@ def test_very_long_item_in_a_very_long_text(spark):
     item = passage(7, 3000)
     got = found(spark, [f"{passage(8, 20_000)} {item} {passage(9, 500)}", f"{item} {item}"], [item])
     assert got == {(0, 0): (2993, True, True), (1, 0): (5986, True, True)}
+
+
+def test_every_item_is_found_inside_text_where_one_word_is_enough(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"t{rng.randrange(99_999)}x" for _ in range(i))) for i in range(1, 31)] + [(31, "Who wrote Hamlet?"), (32, "Explain photosynthesis briefly."), (33, "2 + 2")]
+    docs = [(i, f"some words before {t} and some after it") for i, t in items] + [(99, "nothing of all that here")]
+    given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.leaks(*given, least_words=1).where("exact").collect()}
+    assert got == {(i, i) for i, _ in items}
+    usual = {(r.doc_id, r.item_id) for r in d.leaks(*given).where("exact").collect()}
+    assert usual == {(i, i) for i in range(4, 31)}

@@ -56,11 +56,34 @@ def test_stages_keep_columns(spark, name):
     for c in CLASH:
         docs = docs.withColumn(c, F.lit("clash"))
     out = STAGES[name](spark, docs)
-    assert set(out.columns) == set(docs.columns)
+    assert set(out.columns) == set(docs.columns) | ({"mix_copies"} if name == "mix" else set())
+    assert all(r[c] == "clash" for r in out.collect() for c in CLASH)  # their values too
     assert out.count() <= docs.count()
     assert STAGES[name](spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_rows_equal_in_id_and_text_stay_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", s, 5) for s in "ab"] + [(2, text + " x", "en", "a", None)], SCHEMA)
+    got = [source_mixing.mix(docs.repartition(n)).select("doc_id", "source", "copies") for n in (1, 3)]
+    want = source_mixing.copies_of(docs).select("source", "target").distinct().collect()
+    assert {r.source for r in got[0].collect()} == {"a", "b"} == {r.source for r in want}
+    assert sorted(got[0].collect()) == sorted(got[1].collect())
+    assert got[0].where("source = 'b'").head().copies in (1, 2)
+    kept = [sorted(map(tuple, jaccard_join.keep_one_of_each(docs.repartition(n)).collect())) for n in (1, 2, 3)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 1
+
+
+def test_text_ids_and_long_turns(spark):
+    said = lambda c, texts: [(c, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]
+    rows = said("2", ["q", "a1"]) + said("3", ["q", "b1 " * 20_000]) + said("abc", ["q", "a2"]) + said("03", ["q", "zz"]) + said("4.0", ["q", "y"]) + said(None, ["q", "n"])
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("id", F.lit("x"))
+    got = preference_format.format_pairs(preference_format.pairs_of(preference_format.conversations(turns))).collect()
+    assert sorted(r.pair_id for r in got) == ["2", "3"]
+    long = next(r for r in got if r.pair_id == "3")
+    assert long.chosen_mask[-1].end == len(long.chosen_completion) and len(long.chosen_completion) > 60_000
+
+
 def test_pages_and_conversations(spark):
     pages = spark.createDataFrame([(None, "u", "x" * 200), (1, "u", "x" * 200), (1, "u", "x" * 200), (2, None, None)], "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("salt", F.lit(1))
     path = Workspace(spark, "test").path("archive")

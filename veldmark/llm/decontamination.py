@@ -108,15 +108,15 @@ def _different(tokens: Column) -> Column:
     return F.size(F.array_distinct(tokens))
 
 
-def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, units: str) -> DataFrame:
+def benchmark_items(benchmark: DataFrame, item_col: str, text_col: str, units: str, least_words: int = LEAST_WORDS) -> DataFrame:
     """item_id, item (a key), vals, tokens, width, and said and told: places of the template and of the value windows that say enough."""
     items = benchmark.select(F.col(item_col).alias("item_id"), marked(F.col(text_col), units).alias("m")).where("m[0] <> ''")
     items = items.select("item_id", F.xxhash64("item_id", "m").alias("item"), values(F.col("m")).alias("vals"), template(F.col("m")).alias("tokens")).dropDuplicates(["item"])
     items = items.withColumn("width", F.least(F.lit(WINDOW), F.size("vals")))
     window = lambda c, i: F.slice(c, i + 1, F.col("width"))
     places = F.sequence(F.lit(0), F.size("vals") - F.col("width"))
-    said = F.filter(places, lambda i: _different(F.filter(window("tokens", i), lambda t: ~is_slot(t))) >= LEAST_WORDS)
-    told = F.filter(places, lambda i: _different(window("vals", i)) >= LEAST_WORDS)
+    said = F.filter(places, lambda i: _different(F.filter(window("tokens", i), lambda t: ~is_slot(t))) >= least_words)
+    told = F.filter(places, lambda i: _different(window("vals", i)) >= least_words)
     return items.withColumn("said", said).withColumn("told", told)
 
 
@@ -145,9 +145,9 @@ def _owned(keys: DataFrame) -> DataFrame:
     return keys.groupBy("key", "pattern").agg(F.min(F.struct(F.col("item_id").isNull().alias("none"), "item_id", "item", "item_pos")).alias("own"))
 
 
-def representatives(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", units: str = UNITS) -> DataFrame:
+def representatives(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", units: str = UNITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """item_id, representative: the items that stand for an item's windows (often itself)."""
-    items = Workspace(benchmark.sparkSession, "decontamination").write(benchmark_items(benchmark, item_col, item_text_col, units), "items")
+    items = Workspace(benchmark.sparkSession, "decontamination").write(benchmark_items(benchmark, item_col, item_text_col, units, least_words), "items")
     keys = benchmark_keys(items, widths_of(items))
     return keys.join(_owned(keys), ["key", "pattern"]).select("item_id", F.col("own.item_id").alias("representative")).distinct()
 
@@ -197,11 +197,11 @@ def _summed(runs: Column) -> Column:
     return F.filter(F.array(one), lambda x: x["n_windows"] > 0)
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", inconsistent: bool = False, units: str = UNITS) -> DataFrame:
-    """k1, k2, doc_id, item_id (of the representative), n_windows, n_matched (longest run), coverage, n_slots, exact and consistent of each leak; inconsistent: with the runs whose slots are not consistent."""
+def leaks(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", inconsistent: bool = False, units: str = UNITS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """least_words: how many different words a window must say to be found inside longer text; 1 finds every item of the benchmark wherever it stands. Tells k1, k2, doc_id, item_id (of the representative), n_windows, n_matched (longest run), coverage, n_slots, exact and consistent of each leak; inconsistent: with the runs whose slots are not consistent."""
     spark = documents.sparkSession
     work = Workspace(spark, "decontamination")
-    items = work.write(benchmark_items(benchmark, item_col, item_text_col, units), "items")
+    items = work.write(benchmark_items(benchmark, item_col, item_text_col, units, least_words), "items")
     widths = widths_of(items)
     known = _owned(benchmark_keys(items, widths)).select("key", "own.item", "own.item_pos")
     known = known_table = work.write(known.join(items.select("item", F.size("vals").alias("size")), "item"), "known")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .hashing import U64, mix, slices, spans_hash, windows
 from .repeats import answers, blocks_for, by_document, sent_by
-from .storage import HOT_SHARE, Workspace, hot_bound, left_join_hot, row_keys
+from .storage import HOT_SHARE, Workspace, hot_bound, left_join_hot, row_keys, whole_row_key
 
 SALTS = 32
 
@@ -323,16 +323,17 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents, with their own columns, but of each component only that with the least id (then key); documents without a set stay."""
+    """The documents, with their own columns, but of each component only that with the least id (then key; of rows equal in id and text that with the least hash of all columns); documents without a set stay."""
     linked = link_documents(documents, id_col=id_col, text_col=text_col, **how)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     # rows without a set are told apart by their keys alone
     alone = linked.where("component is null").select("k1", "k2")
     kept = linked.where("component is not null").groupBy("component").agg(F.min(order).alias("least")).select("least.k1", "least.k2").unionByName(alone).distinct()
     own = documents.columns
-    keyed = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)), *row_keys(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    keyed = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)), *row_keys(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), whole_row_key(documents).alias("k3"))
     empty = F.size(F.split(F.coalesce(F.col(f"c{own.index(text_col)}"), F.lit("")), r"[^\x20\x09-\x0D]")) == 1
     joined = keyed.join(kept, ["k1", "k2"], "left_semi")
-    # equal rows have equal keys: one of them stays, unless they have no set
-    once = joined.where(~empty).dropDuplicates(["k1", "k2"]).unionByName(joined.where(empty))
-    return once.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
+    # rows equal in id and text have equal keys: one of them stays, which all their columns tell, unless they have no set
+    fields = F.struct(*(F.col(f"c{i}") for i in range(len(own)))).alias("own")
+    once = joined.where(~empty).groupBy("k1", "k2").agg(F.min_by(fields, "k3").alias("own")).select("own").unionByName(joined.where(empty).select(fields))
+    return once.select(*(F.col(f"own.c{i}").alias(c) for i, c in enumerate(own)))

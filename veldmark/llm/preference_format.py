@@ -78,9 +78,11 @@ def format_pairs(pairs: DataFrame, *, chosen_col: str = "chosen", rejected_col:
 
 
 def pairs_of(whole: DataFrame) -> DataFrame:
-    """pair_id, chosen, rejected of conversations 2k and 2k + 1 (ids are whole numbers): each is chosen once. It parts at one of its assistant turns, which its id tells; the rejected side goes on with the neighbour's turns from that assistant turn on (its last one, if it has fewer)."""
+    """pair_id, chosen, rejected of conversations 2k and 2k + 1 (an id that isn't a plain whole number, as a number or as text, has no neighbour and makes no pair): each is chosen once. It parts at one of its assistant turns, which its id tells; the rejected side goes on with the neighbour's turns from that assistant turn on (its last one, if it has fewer)."""
     places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
-    one = whole.where("conv_id is not null").select(F.col("conv_id").cast("bigint").alias("id"), "conv_id", "turns", places.alias("places"))
+    number = F.col("conv_id").cast("string").try_cast("bigint")
+    plain = F.when(number.cast("string") == F.col("conv_id").cast("string"), number)
+    one = whole.select(plain.alias("id"), "conv_id", "turns", places.alias("places")).where("id is not null")
     # two conversations at most
     both = one.groupBy(F.shiftright("id", 1).alias("k")).agg(F.sort_array(F.collect_list(F.struct("id", "conv_id", "turns", "places"))).alias("sides")).where(F.size("sides") == 2)
     turned = F.array(*(F.struct(F.col("sides")[i].alias("own"), F.col("sides")[1 - i].alias("other")) for i in (0, 1)))

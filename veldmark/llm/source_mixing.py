@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace, left_join_hot, row_keys
+from .storage import Workspace, left_join_hot, row_keys, whole_row_key
 
 LEAF = 2048
 FAN = 256
@@ -108,11 +108,15 @@ def _salted(sizes: DataFrame) -> DataFrame:
     return left_join_hot(sizes, again, "k1").withColumn("salt", F.when(F.col("again"), F.col("nth")).otherwise(0)).drop("nth", "again")
 
 
-def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
-    """One row per document: doc_id, k1, k2, source, size, source_size, target and copies."""
+def _named_row(documents: DataFrame) -> Column:
+    return whole_row_key(documents.drop("__row"))
+
+
+def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7, row: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, k1, k2, source, size, source_size, target and copies. row: a name of each row (a whole number), which comes back as ``row``; then chance is a hash of all columns."""
     spark = documents.sparkSession
     work = Workspace(spark, "source-mixing")
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row_keys(F.col(id_col), F.col(text_col)))
+    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row_keys(F.col(id_col) if row is None else _named_row(documents), F.col(text_col)), (F.lit(0) if row is None else row).cast("bigint").alias("row"))
     rows = _salted(work.write(rows.withColumn("nth", F.monotonically_increasing_id()), "sizes"))
     table = work.write(targets(rows, weights, most).withColumnRenamed("source", "named"), "targets")
     n_sources, n_rows = table.count(), rows.count()
@@ -121,10 +125,10 @@ def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = rows.join(known, F.col("source").eqNullSafe(F.col("named"))).drop("named").withColumn("rate", rate)
     rows = rows.withColumn("base", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
     whole = (F.col("size") == 0) | (F.col("p") < 1e-12)
-    own = ["doc_id", "k1", "k2", "source", "size", "source_size", "target"]
+    own = ["doc_id", "k1", "k2", "source", "size", "source_size", "target", "row"]
     parts = [rows.where(whole).select(*own, F.when(F.col("size") > 0, F.col("base")).otherwise(0).cast("bigint").alias("copies"))]
     leaves = max(1, -(-n_rows // LEAF))
-    item = F.struct("size", _uniform(F.col("k1"), F.col("k2"), F.lit(seed), F.col("salt")).alias("u"), "k1", "k2", "doc_id", "p", "source_size", "target", "base")
+    item = F.struct("size", _uniform(F.col("k1"), F.col("k2"), F.lit(seed), F.col("salt")).alias("u"), "k1", "k2", "doc_id", "p", "source_size", "target", "base", "row")
     band = F.floor(F.log2("size") * BANDS_PER_OCTAVE).cast("int")
     left = rows.where(~whole).select("source", band.alias("band"), F.pmod(F.xxhash64("k1", F.lit(seed), "salt"), F.lit(leaves)).cast("int").alias("leaf"), item.alias("item"))
     level, decided = 0, []
@@ -149,7 +153,7 @@ def copies_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    return out.drop("row") if row is None else out
 
 
 def _rows(table: DataFrame, item: Column, take: Column, own: list[str]) -> DataFrame:
@@ -157,13 +161,15 @@ def _rows(table: DataFrame, item: Column, take: Column, own: list[str]) -> DataF
 
 
 def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents that are taken, with their own columns and ``copies``, how often."""
-    found = copies_of(documents, id_col=id_col, text_col=text_col, source_col=source_col, **how).where("copies > 0").groupBy("k1", "k2").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("rows"))
-    k1, k2 = row_keys(F.col(id_col), F.col(text_col))
+    """The documents that are taken, with their own columns and ``copies``, how often (``mix_copies`` where they have a column of that name). Each row counts for itself, whatever else equals it."""
     own = documents.columns
-    keyed = documents.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("own"), k1, k2)
-    once = keyed.dropDuplicates(["k1", "k2"]).join(found, ["k1", "k2"])
-    return once.select(*(F.col("own")[c].alias(c) for c in own if c != "copies"), F.col("all_copies").alias("copies"))
+    work = Workspace(documents.sparkSession, "source-mixing")
+    fields = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
+    # named once and written, so that names stay; the texts are read again where their rows are taken
+    rows = work.write(documents.select(fields.alias("own"), F.monotonically_increasing_id().alias("row")), "rows")
+    named = rows.select(*(F.col(f"own.c{i}").alias(c) for i, c in enumerate(own)), F.col("row").alias("__row"))
+    found = copies_of(named, id_col=id_col, text_col=text_col, source_col=source_col, row=F.col("__row"), **how).where("copies > 0").select("row", F.col("copies").alias("taken"))
+    return rows.join(found, "row").select(*(F.col(f"own.c{i}").alias(c) for i, c in enumerate(own)), F.col("taken").alias("mix_copies" if "copies" in own else "copies"))
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,11 @@ def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(id_col, text).alias("k1"), F.xxhash64(text, F.lit("veldmark"), id_col).alias("k2")
 
 
+def whole_row_key(rows: DataFrame) -> Column:
+    """64 bits of all columns of a row (maps, which have no order, left out): an order between rows that are equal elsewhere."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if not f.dataType.simpleString().startswith("map")))
+
+
 #: A key is hot with more rows than this, and more than one in HOT_SHARE of all: so there are at most HOT_SHARE hot keys.
 HOT_ROWS, HOT_SHARE = 256, 10_000
 
