@@ -4,8 +4,8 @@ Stages get all that their predecessor kept, written as Parquet and read again.
 
 Odd rows are defined by the operators and hold in every stage: null and empty texts have no words, so the
 first stage drops them; null ids, langs and sources are kept as they are; equal rows are one document for the
-second stage; ties go to the least id, then to a hash of the row; very long texts are judged whole; columns
-beyond those of documents stay, whatever their names; empty tables give empty tables.
+second stage, which keeps that with the least hash of all columns; ties go to the least id, then to such a hash; very long texts are judged whole; columns
+beyond those of documents stay with their values, whatever their names (the last stage's ``copies`` is named ``mix_copies`` where there is such a column); empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -62,6 +62,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     work = Workspace(spark, "pipeline")
+    before = None
     for name, stage in STAGES:
         docs = work.write(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            work.drop(before)  # no later stage reads it
+        before = docs
     return docs
