@@ -1,8 +1,11 @@
 """A screening run: routes, references, guards, and going on after a crash."""
 
+import dataclasses
+
 import pytest
 from pyspark.sql import functions as F
 
+from veldmark.functions import fingerprint as fp
 from veldmark.functions.filters import RecordFilter
 from veldmark.functions.issues import CATALOGUE
 from veldmark.functions.transforms import FieldMapping, field_of, transformed
@@ -14,7 +17,7 @@ OBSERVED = "identity_hash string, component_code string, observation_date date,
 PROFILE = screening.Profile(
     Structure(("S", "G", "R", "N", "P", "E", "K")),
     (FieldMapping("supplier", "S"), FieldMapping("grp", "G", "MAP", "values=a>A|b>B"), FieldMapping("reference", "R"), FieldMapping("description", "N", longest=10), FieldMapping("base_price", "P", type="DECIMAL"), FieldMapping("EAN", "E")),
-    (RecordFilter("EXCLUDE", "K", "EQUALS", "x"), RecordFilter("REJECT", "K", "EQUALS", "r")), reference_types=("EAN",), creation_percent=100, rejected_percent=90,
+    (RecordFilter("EXCLUDE", "K", "EQUALS", "x"), RecordFilter("REJECT", "K", "EQUALS", "r")), reference_types=("EAN",), creation_percent=100, rejected_percent=90, critical_percent=None, deviation_percent=20, bulk_percent=5,
 )
 
 
@@ -108,3 +111,48 @@ def test_settings_drive_transforms(spark):
 
 def test_catalogue_has_each_code_once():
     assert len(CATALOGUE) == len({c for c, *_ in CATALOGUE}) == 84
+
+
+PLAIN = screening.Profile(PROFILE.structure, PROFILE.mappings, reference_types=("EAN",), creation_percent=100)
+
+
+def test_identity_incidents_reach_the_critical_threshold(spark, tmp_path):
+    lines = [f"s;a;{i};n;{i};e{i};" for i in range(1, 11)]
+    first = run(spark, tmp_path, "a.csv", lines, profile=PLAIN)
+    known = first.staged.select("identity_hash", "article_fingerprint", "price_fingerprint", "combined_fingerprint", "base_price", "currency")
+    refs = first.staged.select("identity_hash", F.lit("EAN").alias("reference_type"), F.col("EAN").alias("value"))
+    lost = run(spark, tmp_path, "b.csv", [f"s;a;{i};n;{i},1;;" for i in range(1, 11)], known, refs, PLAIN)
+    judged = lost.judgement.head()
+    assert (judged.critical_records, judged.critical_threshold, judged.verdict, lost.mutations.count()) == (10, "EXCEEDED", "BLOCKING", 0)
+    assert {r.code for r in lost.notices.collect()} >= {"CRITICAL_RECORD_THRESHOLD_EXCEEDED", "BULK_IDENTITY_INCIDENT", "PRICE_REFERENCE_NOT_AVAILABLE"}
+    assert {r.code for r in first.notices.collect()} == {"INITIAL_LOAD_REQUIRES_APPROVAL", "PRICE_REFERENCE_NOT_AVAILABLE"}
+    assert lost.notices.where("not catalogued").count() == 0
+
+
+def test_another_profile_or_state_has_its_own_stages(spark, tmp_path):
+    lines = ["s;a;1;n;0;;", "s;a;2;n;2;;"]
+    strict = run(spark, tmp_path, "a.csv", lines)
+    assert strict.counters.head().valid == 1
+    lax = run(spark, tmp_path, "a.csv", lines, profile=dataclasses.replace(PROFILE, allow_zero=True))
+    assert lax.counters.head().valid == 2 and strict.counters.head().valid == 1
+
+
+def test_version_2_tells_references_and_mapped_fields(spark, tmp_path):
+    two = dataclasses.replace(PLAIN, version=2, article_fields=("K",), mappings=(*PLAIN.mappings, FieldMapping("K", "K")), critical_percent=None)
+    first = run(spark, tmp_path, "a.csv", ["s;a;1;n;1;e1;x", "s;a;2;n;2;e2;x", "s;a;3;n;3;e3;x"], profile=two)
+    known = first.staged.select("identity_hash", "article_fingerprint", "price_fingerprint", "combined_fingerprint", "base_price", "currency")
+    again = run(spark, tmp_path, "b.csv", ["s;a;1;n;1;e9;x", "s;a;2;n;2;e2;y", "s;a;3;n;3;e3;x"], known, profile=two)
+    assert {(r.reference, r.classification, r["mask"]) for r in again.staged.collect()} == {("1", "CHANGED", None), ("2", "CHANGED", "ARTICLE"), ("3", "UNCHANGED", None)}
+    one = spark.range(1)
+    pins = {None: "9bf26089077e52d71ce5bd4195eed1210c6f16486ff09b84617d0d614811b809", "5449000000996": "ad73e7363591799fc34fd31dd832d7225f1d2d3c3894feab1a8c706a403ecb83"}
+    for value, want in pins.items():
+        assert one.select(fp.references(2, {"EAN": F.lit(value).cast("string")}).alias("h")).head().h == want
+    assert one.select(fp.references(2, {}).alias("h")).head().h == "d4735e3a265e16eee03f59718b9b5d03019c07d8b6c51f90da3a666eec13ab35"
+
+
+def test_what_is_odd_about_the_file_is_told(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("\ufeffG;S;R;N;P;E;K;NEW\na;s;1;n;1;;;q\n")
+    profile = dataclasses.replace(PROFILE, expected_header=("S", "G", "R", "N", "P", "E", "K"), guarded=("P",))
+    empty = spark.createDataFrame([], STATE)
+    out = screening.screen(spark, f"{tmp_path}/x.csv", profile, empty, spark.createDataFrame([], OBSERVED), f"file://{tmp_path}/out", spark.createDataFrame([], "identity_hash string, reference_type string, value string"))
+    assert {(r.code, r.field) for r in out.notices.where("scope = 'DELIVERY' and severity = 'WARNING'").collect()} == {("SOURCE_BOM_REMOVED", None), ("HEADER_FIELD_SHIFTED", "S"), ("HEADER_FIELD_SHIFTED", "G")}

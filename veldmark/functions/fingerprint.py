@@ -44,6 +44,19 @@ def identity(version: int, supplier: Column, group: Column, reference: Column, d
     return sha(canonical(version, *parts))
 
 
+def article(version: int, description: Column, fields: dict[str, Column] | None = None) -> Column:
+    """From version 2 on, names stand before values, the description's first and then those of mapped fields in order, so that no two fields can change places."""
+    if version < 2:
+        return sha(canonical(version, description))
+    named = [part for code, value in sorted((fields or {}).items()) for part in (F.lit(code), value)]
+    return sha(canonical(version, F.lit("DESCRIPTION"), description, *named))
+
+
+def references(version: int, values: dict[str, Column]) -> Column:
+    """Of normalised references by type, in order of type; one that is mapped but empty is null."""
+    return sha(canonical(version, *(part for kind, value in sorted(values.items()) for part in (F.lit(kind), value))))
+
+
 def price(version: int, amount: Column, currency: Column, components: Column | None = None) -> Column:
     """components: array of code and percentage text, in order of code."""
     text = canonical(version, amount, currency)

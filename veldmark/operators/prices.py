@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +58,13 @@ def deviation(new: Column, reference: Column) -> Column:
     return half_up_percent(new - reference, reference)
 
 
-def control(rows: DataFrame, limit_percent: int) -> DataFrame:
+def control(rows: DataFrame, limit_percent: int | Decimal) -> DataFrame:
     """Deviations from previous, avg_short and avg_long; strictly beyond the limit is exceeded, the first exceeded tells the direction."""
     names = ("previous", "avg_short", "avg_long")
     out = rows
     for n in names:
         out = out.withColumn(f"dev_{n}", deviation(F.col("amount"), F.col(n)))
-    limit = F.lit(limit_percent).cast("decimal(38,0)") * F.lit(SHARE_UNIT)
+    limit = F.lit(int(Decimal(str(limit_percent)) * SHARE_UNIT)).cast("decimal(38,0)")
     hits = [F.coalesce(F.abs(F.col(f"dev_{n}")) > limit, F.lit(False)) for n in names]
     direction = None
     for n, hit in zip(names, hits, strict=True):

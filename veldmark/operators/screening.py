@@ -8,7 +8,9 @@ counters reaches the driver, as the policy on creations needs it.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from veldmark.functions.filters import RecordFilter, decision
 from veldmark.functions.issues import catalogued, signature
 from veldmark.functions.transforms import FieldMapping, field_of
 from veldmark.operators import delta, issues, judge, prices, publication, references
+from veldmark.sources.archive import files_at
 from veldmark.sources.delimited import Structure, read_delivery
 
 IDENTITY = ("supplier", "grp", "reference")
@@ -26,7 +29,10 @@ IDENTITY = ("supplier", "grp", "reference")
 
 @dataclass(frozen=True)
 class Profile:
-    """What is configured for deliveries of one link: mappings have the targets supplier, grp, reference, description, base_price, and perhaps currency and references by type."""
+    """What is configured for deliveries of one link: mappings have the targets supplier, grp, reference, description, base_price, and perhaps currency and references by type. Percentages are whole numbers or decimals; None for a critical or rejected one is no threshold.
+
+    Version 2 of fingerprints: the article also has article_fields (targets of mappings), and references have a fingerprint of their own.
+    """
 
     structure: Structure
     mappings: tuple[FieldMapping, ...]
@@ -36,19 +42,22 @@ class Profile:
     link_currency: str | None = None
     allow_zero: bool = False
     allow_negative: bool = False
-    deviation_percent: int = 20
+    deviation_percent: int | Decimal = 15
     short: int = 50
     long: int = 200
-    bulk_percent: int = 5
-    critical_percent: int | None = None
-    rejected_percent: int | None = None
-    creation_percent: int = 10
+    bulk_percent: int | Decimal = 1
+    critical_percent: int | Decimal | None = 1
+    rejected_percent: int | Decimal | None = None
+    creation_percent: int | Decimal = 1
     critical_fields: tuple[str, ...] = field(default=("base_price",))
+    article_fields: tuple[str, ...] = ()
+    expected_header: tuple[str, ...] | None = None
+    guarded: tuple[str, ...] = ()
 
 
 @dataclass
 class Screened:
-    """staged: valid rows with classification and mask; issues; groups; counters and judgement: one row each; mutations."""
+    """staged: valid rows with classification and mask; issues; groups; counters and judgement: one row each; mutations; notices: issues of the delivery as a whole (code, field, signature, occurrences, and what the catalogue says)."""
 
     staged: DataFrame
     issues: DataFrame
@@ -56,6 +65,7 @@ class Screened:
     counters: DataFrame
     judgement: DataFrame
     mutations: DataFrame
+    notices: DataFrame
 
 
 def routed(records: DataFrame, profile: Profile) -> DataFrame:
@@ -86,9 +96,13 @@ def normalised(valid: DataFrame, profile: Profile) -> DataFrame:
     delivered = text.normalise_reference(F.col("currency")) if "currency" in valid.columns else F.lit(None).cast("string")
     currency, origin, printed = prices.currency(delivered, profile.link_currency)
     rows = valid.withColumnRenamed("line", "row_number").withColumn("printed", printed).withColumn("currency_origin", origin).withColumn("currency", currency)
-    rows = rows.withColumn("identity_hash", fp.identity(profile.version, *(F.col(c) for c in IDENTITY))).withColumn("article_fingerprint", fp.sha(fp.canonical(profile.version, F.col("description"))))
+    rows = rows.withColumn("identity_hash", fp.identity(profile.version, *(F.col(c) for c in IDENTITY))).withColumn("article_fingerprint", fp.article(profile.version, F.col("description"), {c: F.col(c) for c in profile.article_fields}))
     rows = rows.withColumn("price_fingerprint", fp.price(profile.version, fp.amount_text(F.col("base_price")), F.col("printed")))
-    return rows.withColumn("combined_fingerprint", fp.combined(F.col("identity_hash"), F.col("article_fingerprint"), F.col("price_fingerprint"))).drop("route", "code", "field", "printed")
+    prints = ["identity_hash", "article_fingerprint", "price_fingerprint"]
+    if profile.version >= 2:
+        rows = rows.withColumn("reference_fingerprint", fp.references(profile.version, {t: text.normalise_reference(F.col(t)) for t in profile.reference_types}))
+        prints.append("reference_fingerprint")
+    return rows.withColumn("combined_fingerprint", fp.combined(*map(F.col, prints))).drop("route", "code", "field", "printed")
 
 
 def _issue(rows: DataFrame, code: Column, of: Column, number: str = "row_number", kind: Column | None = None) -> DataFrame:
@@ -97,18 +111,25 @@ def _issue(rows: DataFrame, code: Column, of: Column, number: str = "row_number"
 
 
 def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, observations: DataFrame, folder: str, active_references: DataFrame | None = None, prefix: str = "1:1") -> Screened:
-    """Screen the delivery at path. Routed records, staged rows and issues are written below folder, which belongs to this delivery and this state of configuration; called again after a crash, it goes on from what is there whole. DeliveryBlocked tells a file that can't be read."""
-    records = read_delivery(spark, path, profile.structure)
-    written = _write(routed(records, profile), f"{folder}/routed")
+    """Screen the delivery at path. Routed records, staged rows and issues are written below folder, under names that tell what they were made of: the delivery's content, the profile, and for later stages the files of state, observations and references. So a call that is repeated after a crash goes on from what is there whole, an equal call writes nothing, and another profile or state has its own tables. DeliveryBlocked tells a file that can't be read."""
+    warnings: list[tuple[str, str | None]] = []
+    records = read_delivery(spark, path, profile.structure, expected_header=profile.expected_header, guarded=profile.guarded, warnings=warnings)
+    of_file = (repr(profile), *_content(spark, path))
+    of_state = (*of_file, *(sorted(t.inputFiles()) if t is not None else None for t in (state, observations, active_references)))
+    written = _write(routed(records, profile), _stage(folder, "routed", of_file))
     counters = judge.counters(written)
     staged = delta.change_mask(delta.classified(delta.beside_state(normalised(written.where("route = 'VALID'"), profile), state)))
-    staged = _write(staged, f"{folder}/staged")
+    staged = _write(staged, _stage(folder, "staged", of_state))
     wanted = staged.where("classification <> 'UNCHANGED'").select("row_number", "identity_hash", F.lit("BASE").alias("component_code"), F.col("base_price").alias("amount"), F.col("old_base_price").alias("previous"))
     controlled = prices.control(wanted.join(_averages(observations, wanted, profile), prices.KEY, "left"), profile.deviation_percent)
     found = _issue(written.where("code is not null"), F.col("code"), F.col("field"), "line")
     found = found.unionByName(_issue(controlled.where("exceeded"), F.lit("PRICE_DEVIATION_EXCEEDED"), F.lit("base_price"), kind=F.col("direction")))
     duplicates = delta.duplicate_rows(staged)
     found = found.unionByName(_issue(duplicates, F.lit("DUPLICATE_IDENTITY_IN_DELIVERY"), F.lit("reference")))
+    collisions = delta.hash_collisions(staged, list(IDENTITY)).select(F.col("first_row").alias("row_number"))
+    if set(IDENTITY) <= set(state.columns):
+        collisions = collisions.unionByName(delta.collisions_with_state(staged, state, list(IDENTITY)).select("row_number"))
+    found = found.unionByName(_issue(collisions, F.lit("IDENTITY_HASH_COLLISION"), F.lit("reference")))
     held = None
     if profile.reference_types and active_references is not None:
         refs = None
@@ -120,9 +141,11 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
         found = found.unionByName(_issue(matched.where("incident"), F.lit("IDENTITY_REFERENCE_INCIDENT"), F.col("reference_type"), kind=F.col("match_result")))
         found = found.unionByName(_issue(references.duplicate_references(refs), F.lit("DUPLICATE_REFERENCE_IN_DELIVERY"), F.col("reference_type")))
         found = found.unionByName(_issue(matched.where("link_proposal"), F.lit("REFERENCE_LINK_PROPOSED"), F.col("reference_type")))
-    found = _write(catalogued(found), f"{folder}/issues")
-    grouped = issues.groups(issues.tally(found), issues.samples(found))
-    judgement = _judged(counters, staged, found, grouped, state, profile)
+    found = _write(catalogued(found), _stage(folder, "issues", of_state))
+    tallied, sampled = issues.tally(found), issues.samples(found)
+    grouped = issues.groups(tallied, sampled)
+    incidents = spark.range(1).select(F.lit(None if profile.reference_types else 0).cast("bigint").alias("incidents")) if held is None else held.agg(F.count(F.lit(1)).alias("incidents"))
+    judgement, bulk = _judged(counters, staged, found, grouped, state, profile, incidents)
     outcome = judgement.head()
     bulk_price = outcome["bulk_price"]
     plan = delta.mutations(staged, outcome["creation_outcome"], prefix, held)
@@ -131,7 +154,26 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
         plan = plan.limit(0)  # a blocked delivery changes nothing
     elif held is not None:
         plan = plan.unionByName(references.incident_mutations(matched, prefix), allowMissingColumns=True)
-    return Screened(staged, found, grouped, counters, judgement, plan)
+    return Screened(staged, found, grouped, counters, judgement, plan, _notices(judgement, bulk, issues.cap_notices(tallied, sampled), prices.missing_references(controlled), warnings))
+
+
+def _notices(judgement: DataFrame, bulk: DataFrame, capped: DataFrame, missing: DataFrame, warnings: list[tuple[str, str | None]]) -> DataFrame:
+    """Issues of the delivery as a whole, one row each."""
+    said = lambda on, code, n: F.when(on, F.struct(F.lit(code).alias("code"), F.col(n).cast("bigint").alias("occurrences")))
+    of_delivery = F.array(
+        said(F.col("creation_outcome") == "INITIAL_LOAD", "INITIAL_LOAD_REQUIRES_APPROVAL", "candidates"), said(F.col("creation_outcome") == "THRESHOLD_EXCEEDED", "BULK_CREATION_INCIDENT", "candidates"),
+        said(F.col("critical_threshold") == "EXCEEDED", "CRITICAL_RECORD_THRESHOLD_EXCEEDED", "critical_records"), said((F.col("rejected_threshold") == "EXCEEDED") & (F.col("critical_threshold") != "EXCEEDED"), "REJECTED_RECORD_THRESHOLD_EXCEEDED", "rejected_records"),
+    )
+    none = F.lit(None).cast("string").alias("field")
+    rows = judgement.select(F.inline(F.filter(of_delivery, lambda x: x.isNotNull()))).select("code", none, F.lit("").alias("signature"), "occurrences")
+    rows = rows.unionByName(bulk.select("code", none, "signature", "occurrences"))
+    rows = rows.unionByName(capped.select(F.lit("ROW_ISSUE_RECORDING_CAPPED").alias("code"), none, signature(("CODE", F.col("code"))).alias("signature"), "occurrences"))
+    total = F.col("no_previous") + F.col("no_avg_short") + F.col("no_avg_long")
+    rows = rows.unionByName(missing.where(total > 0).select(F.lit("PRICE_REFERENCE_NOT_AVAILABLE").alias("code"), none, F.lit("").alias("signature"), total.alias("occurrences")))
+    if warnings:
+        told = rows.sparkSession.createDataFrame(warnings, "code string, field string")
+        rows = rows.unionByName(told.select("code", "field", signature(("FIELD", F.col("field"))).alias("signature"), F.lit(1).cast("bigint").alias("occurrences")))
+    return catalogued(rows)
 
 
 def _averages(observations: DataFrame, wanted: DataFrame, profile: Profile) -> DataFrame:
@@ -153,8 +195,8 @@ def trial(spark: SparkSession, path: str, profile: Profile, folder: str, most: i
     return judge.counters(written).join(duplicates, F.lit(True)), issues.samples(found, most)
 
 
-def _judged(counters: DataFrame, staged: DataFrame, found: DataFrame, grouped: DataFrame, state: DataFrame, profile: Profile) -> DataFrame:
-    """One row: counters, thresholds, creation outcome, bulk incidents, blocked and verdict."""
+def _judged(counters: DataFrame, staged: DataFrame, found: DataFrame, grouped: DataFrame, state: DataFrame, profile: Profile, incidents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bulk incidents, and one row: counters, thresholds, creation outcome, bulk incidents, blocked and verdict."""
     # rows of one each, so these joins are of one row with one row
     new = staged.agg(F.count_if(F.col("classification") == "NEW").alias("candidates"))
     size = state.agg(F.count(F.lit(1)).alias("state_size"))
@@ -162,17 +204,31 @@ def _judged(counters: DataFrame, staged: DataFrame, found: DataFrame, grouped: D
     weight = found.agg(
         F.count_if(F.col("effect") == "BLOCK").alias("blocking"), F.count_if(F.col("effect") == "REVIEW").alias("review"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity").isin("WARNING", "ERROR")).alias("warnings"),
     )
-    one = counters.join(new, F.lit(True)).join(size, F.lit(True)).join(critical, F.lit(True)).join(weight, F.lit(True)).withColumn("scope", F.col("raw") - F.col("filtered"))
+    one = counters.join(new, F.lit(True)).join(size, F.lit(True)).join(critical, F.lit(True)).join(weight, F.lit(True)).join(incidents, F.lit(True)).withColumn("scope", F.col("raw") - F.col("filtered"))
     kind = F.when(F.col("code") == "PRICE_DEVIATION_EXCEEDED", "PRICE").when(F.col("code") == "IDENTITY_REFERENCE_INCIDENT", "IDENTITY").otherwise("GENERIC")
     bulk = publication.bulk_roll_up(issues.judged_groups(grouped.join(one.select("scope"), F.lit(True)), F.col("scope"), profile.bulk_percent).withColumn("incident_kind", kind))
     one = one.join(bulk.agg(F.count_if(F.col("code") == "BULK_PRICE_INCIDENT").alias("bulk_prices"), F.count(F.lit(1)).alias("bulk")), F.lit(True))
-    percent = lambda p: F.lit(p).cast("int")
-    one = one.withColumn("critical_threshold", judge.threshold(F.col("critical_lines"), F.col("scope"), percent(profile.critical_percent))).withColumn("rejected_threshold", judge.threshold(F.col("rejected") + F.col("error_before_filter"), F.col("scope"), percent(profile.rejected_percent)))
-    one = one.withColumn("creation_outcome", judge.creation_outcome(F.col("candidates"), F.col("state_size"), F.lit(profile.creation_percent)))
+    percent = lambda p: F.lit(p).cast("decimal(24,12)")
+    # critical lines were never staged and held rows were, so none counts twice; if either is unknown, so is the sum
+    one = one.withColumn("critical_records", F.col("critical_lines") + F.col("incidents")).withColumn("rejected_records", F.col("rejected") + F.col("error_before_filter"))
+    one = one.withColumn("critical_threshold", judge.threshold(F.col("critical_records"), F.col("scope"), percent(profile.critical_percent))).withColumn("rejected_threshold", judge.threshold(F.col("rejected_records"), F.col("scope"), percent(profile.rejected_percent)))
+    one = one.withColumn("creation_outcome", judge.creation_outcome(F.col("candidates"), F.col("state_size"), percent(profile.creation_percent)))
     blocked = (F.col("blocking") > 0) | judge.blocking_threshold(F.col("critical_threshold"), F.col("rejected_threshold")).isNotNull()
     awaiting = F.when(F.col("creation_outcome") != "AUTOMATIC", F.col("candidates")).otherwise(0)
     one = one.withColumn("blocked", blocked).withColumn("bulk_price", F.col("bulk_prices") > 0)
-    return one.withColumn("verdict", judge.verdict(F.col("blocked"), F.col("critical"), (F.col("review") > 0) | (F.col("bulk") > 0), awaiting, F.col("warnings")))
+    return one.withColumn("verdict", judge.verdict(F.col("blocked"), F.col("critical"), (F.col("review") > 0) | (F.col("bulk") > 0), awaiting, F.col("warnings"))), bulk
+
+
+def _content(spark: SparkSession, path: str) -> tuple:
+    """What tells a delivery's content, whatever its time: names and sizes of its files, and sums of hashes of its lines at their places, from one scan."""
+    hashed = F.xxhash64("value", F.monotonically_increasing_id())
+    sums = spark.read.text(path).select(hashed.alias("h")).agg(F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).head()
+    return (*((name, size) for name, size, _ in files_at(spark, path)), *map(str, sums))
+
+
+def _stage(folder: str, name: str, made_of: tuple) -> str:
+    """The place of a stage's table: its name and a hash of all that it was made of."""
+    return f"{folder}/{name}-{hashlib.sha256(repr(made_of).encode()).hexdigest()[:24]}"
 
 
 def _write(rows: DataFrame, path: str) -> DataFrame:

@@ -19,6 +19,7 @@ PROFILE = screening.Profile(
         FieldMapping("description", "NAME", longest=1000), FieldMapping("base_price", "PRICE", type="DECIMAL", decimal_sep=",", grouping_sep="."), FieldMapping("currency", kind="FIXED_VALUE", settings="value=EUR"),
     ),
     filters=(RecordFilter("EXCLUDE", "STATUS", "EQUALS", "x", ignore_case=True), RecordFilter("REJECT", "STATUS", "EQUALS", "R")),
+    deviation_percent=20, bulk_percent=5, critical_percent=None, creation_percent=10,
 )
 
 #: Rows by the last two digits of their number: 3 has an open quote, 5 is filtered, 7 rejected by a filter, 11 has an unreadable price.

@@ -21,6 +21,9 @@ RANGE = 8 << 20
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a name and its path there. Names of local files are taken as they are, with # and % and blanks."""
+    if uri.startswith("file:") or uri.startswith("/"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
@@ -31,8 +34,8 @@ def ranges(files: fs.FileSystem, path: str, size: int = RANGE) -> Iterator[bytes
             yield part
 
 
-def listed(spark: SparkSession, path: str) -> DataFrame:
-    """file, byte_size and modified_at of the files at a path (a file, a folder or a pattern), empty ones too (Spark's own file sources leave those out), but not hidden ones."""
+def files_at(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, bytes and time (ms) of the files at a path (a file, a folder or a pattern), empty ones too (Spark's own file sources leave those out), but not hidden ones."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     files = at.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -41,7 +44,12 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
         for f in files.listStatus(s.getPath()) if s.isDirectory() else [s]:
             if not f.isDirectory() and not f.getPath().getName().startswith((".", "_")):
                 found.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
-    return spark.createDataFrame(found, "file string, byte_size bigint, ms bigint").select("file", "byte_size", F.timestamp_millis("ms").alias("modified_at"))
+    return sorted(found)
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """file, byte_size and modified_at of the files at a path."""
+    return spark.createDataFrame(files_at(spark, path), "file string, byte_size bigint, ms bigint").select("file", "byte_size", F.timestamp_millis("ms").alias("modified_at"))
 
 
 def _each_file(files: DataFrame, run, schema: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldmark.functions.text import split_record
-from veldmark.sources.archive import digests, listed
+from veldmark.sources.archive import digests, files_at, listed
 
 
 @dataclass(frozen=True)
@@ -90,20 +90,24 @@ def records(lines: DataFrame, s: Structure, places: dict[str, int], width: int)
     return rows.withColumn("error_code", error).select("file", "line", "error_code", *fields)
 
 
-def read_delivery(spark: SparkSession, path: str, s: Structure, expected_records: int | None = None, expected_bytes: int | None = None, expected_header: tuple[str, ...] | None = None, guarded: tuple[str, ...] = ()) -> DataFrame:
-    """The records of one delivery file; blocks on what makes the file unreadable, on a manifest that tells other numbers, and on a header that no longer has a guarded field."""
+def read_delivery(spark: SparkSession, path: str, s: Structure, expected_records: int | None = None, expected_bytes: int | None = None, expected_header: tuple[str, ...] | None = None, guarded: tuple[str, ...] = (), warnings: list | None = None) -> DataFrame:
+    """The records of one delivery file, and in warnings (code, field) what is odd about its beginning; blocks on what makes the file unreadable, on a manifest that tells other numbers, and on a header that no longer has a guarded field."""
     if expected_bytes is not None and (n := byte_size(spark, path)) != expected_bytes:
         raise DeliveryBlocked("BYTE_SIZE_MISMATCH", f"{n} instead of {expected_bytes}")
     lines = numbered_lines(spark, path, s.charset)
+    warnings = [] if warnings is None else warnings
     first = lines.where(F.col("line") == max(1, s.header_line)).select(without_bom(F.col("value"), F.col("line")).alias("value")).head()
     if first is None:
         raise DeliveryBlocked("SOURCE_FILE_EMPTY" if not lines.head(1) else "HEADER_LINE_MISSING")
+    if s.header_line <= 1 and has_bom(spark, path):
+        warnings.append(("SOURCE_BOM_REMOVED", None))
     header = spark.range(1).select(split_record(F.lit(first["value"]), s.delimiter, s.quote).alias("h")).head()["h"]
     if header is None:
         raise DeliveryBlocked("CSV_UNCLOSED_QUOTE", "header")
     for code, field in header_drift(header, list(expected_header), set(guarded)) if expected_header else ():
         if code == "HEADER_FIELD_SEMANTIC_CHANGE":
             raise DeliveryBlocked(code, field)
+        warnings.append((code, field))
     rows = records(lines, s, header_places(header, s), len(header))
     if expected_records is not None and (n := rows.count()) != expected_records:
         raise DeliveryBlocked("RECORD_COUNT_MISMATCH", f"{n} instead of {expected_records}")
@@ -112,6 +116,19 @@ def read_delivery(spark: SparkSession, path: str, s: Structure, expected_records
     return rows
 
 
+def has_bom(spark: SparkSession, path: str) -> bool:
+    """Whether the first file at a path begins with the mark of UTF-8. Its first three bytes tell; Spark's reader takes the mark away."""
+    for name, size, _ in files_at(spark, path):
+        if size >= 3:
+            at = spark._jvm.org.apache.hadoop.fs.Path(name)
+            content = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+            try:
+                return [content.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+            finally:
+                content.close()
+    return False
+
+
 def byte_size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below path, from the listing alone."""
     return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
