@@ -97,3 +97,11 @@ def test_a_tampered_snapshot_is_refused(spark, tmp_path):
         publication.publish("b9", snapshot, components, sealed["b1"], out(snapshot), f"file://{tmp_path}/p")
     told = publication.publish("b1", snapshot, components, sealed["b1"], out(snapshot), f"file://{tmp_path}/p", seconds=600)
     assert told["rows"] == 2 and content(tmp_path / "p") == b"5000000\n7500000\n" and time.time() > 0
+
+
+def test_a_bundle_waits_while_another_touches_its_offers(spark):
+    rows = spark.createDataFrame([("b1", "x1", "PLANNED", 1), ("b1", "x2", "PLANNED", 1), ("b2", "x3", "PLANNED", 2), ("b3", "x4", "AWAITING_APPROVAL", 3)], "bundle_id string, identity_hash string, status string, batch_id int")
+    live = spark.createDataFrame([("b9", "x2"), ("b1", "x1"), ("b9", "x7")], "bundle_id string, identity_hash string")
+    got = {r.bundle_id: (r.undecided, r.conflicts, r.conflicts_between) for r in publication.preflight(rows, rows.limit(0), live).collect()}
+    assert got == {"b1": (0, 0, 1), "b2": (0, 0, 0), "b3": (1, 0, 0)}
+    assert publication.preflight(rows, rows.limit(0)).columns == ["bundle_id", "undecided", "stale", "conflicts"]

@@ -3,6 +3,7 @@
 import datetime
 import os
 import random
+import threading
 from decimal import Decimal
 
 import pytest
@@ -165,14 +166,15 @@ def test_a_crash_between_any_two_writes_leaves_a_whole_version(spark, tmp_path,
     library = Library(spark, f"file://{tmp_path}/library", PROFILE)
     library.advance(f"file://{tmp_path}/in/1.csv", "1970-01-02")
     before = {t: sorted(map(str, library.read(t).collect())) for t in ("state", "latest", "deliveries", "references", "cases", "tallies", "mutations")}
-    real, n_writes = b.Baseline._write, []
+    real, n_writes, lock = b.Baseline._write, [], threading.Lock()
     for stop in (0, 3, 6, 99):
         done = []
 
         def write(self, *a):
-            if len(done) == stop:
-                raise RuntimeError("lost")
-            done.append(a)
+            with lock:
+                if len(done) >= stop:
+                    raise RuntimeError("lost")
+                done.append(a)
             return real(self, *a)
 
         monkeypatch.setattr(b.Baseline, "_write", write)

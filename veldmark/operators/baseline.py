@@ -17,11 +17,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that are written at the same time.
+AT_ONCE = 4
+
 
 @dataclass(frozen=True)
 class Kept:
@@ -94,11 +98,14 @@ class Baseline:
         if base != self.last():
             raise VersionTaken(base)
         manifest, version = self.manifest(base), base + 1
-        for table, rows in changes.items():
-            segment = self._write(table, rows, version)
-            if segment["rows"]:
-                manifest[table] = self._settled(table, [*manifest[table], segment], version)
-        self._name(manifest, base)
+
+        def extended(table: str) -> list[dict]:
+            segment = self._write(table, changes[table], version)
+            return self._settled(table, [*manifest[table], segment], version) if segment["rows"] else manifest[table]
+
+        with ThreadPoolExecutor(AT_ONCE) as writers:  # small jobs of several tables share the cluster
+            segments = dict(zip(changes, writers.map(extended, changes), strict=True))
+        self._name(manifest | segments, base)
         return version
 
     def _write(self, table: str, rows: DataFrame, version: int) -> dict:

@@ -10,17 +10,24 @@ from veldmark.operators import bundles
 from veldmark.sources.artifact import write_artifact
 
 
-def preflight(mutations: DataFrame, stale: DataFrame) -> DataFrame:
-    """bundle_id, undecided, stale and conflicts of each bundle; all are 0 where it may be frozen."""
+def preflight(mutations: DataFrame, stale: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """bundle_id, undecided, stale and conflicts of each bundle; all are 0 where it may be frozen. live: mutations (bundle_id, identity_hash) of bundles that aren't finished; with them also conflicts_between, the identities that such another bundle touches too."""
     counts = mutations.groupBy("bundle_id").agg(F.count_if(F.col("status") == "AWAITING_APPROVAL").alias("undecided"))
     of = lambda rows, name: rows.groupBy("bundle_id").agg(F.count(F.lit(1)).alias(name))
     rows = counts.join(of(stale, "stale"), "bundle_id", "left").join(of(bundles.conflicts_inside(mutations), "conflicts"), "bundle_id", "left")
-    return rows.fillna(0, ["stale", "conflicts"])
+    if live is None:
+        return rows.fillna(0, ["stale", "conflicts"])
+    # an identity is in conflict for a bundle if bundles beside that one touch it: counts by identity, no pairs
+    own = mutations.select("bundle_id", "identity_hash").distinct()
+    all_ = live.select("bundle_id", "identity_hash").unionByName(own).distinct()
+    shared = all_.groupBy("identity_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(of(own.join(shared, "identity_hash", "left_semi"), "conflicts_between"), "bundle_id", "left")
+    return rows.fillna(0, ["stale", "conflicts", "conflicts_between"])
 
 
-def frozen(mutations: DataFrame, stale: DataFrame, stage: DataFrame) -> tuple[DataFrame, DataFrame]:
+def frozen(mutations: DataFrame, stale: DataFrame, stage: DataFrame, live: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A sealed freeze: bundles whose preflight is clear have their planned mutations approved and their content copied. Returns the mutations and the snapshot of frozen bundles, which no later decision changes."""
-    clear = preflight(mutations, stale).where("undecided = 0 and stale = 0 and conflicts = 0").select("bundle_id")
+    clear = preflight(mutations, stale, live).where("undecided = 0 and stale = 0 and conflicts = 0" + ("" if live is None else " and conflicts_between = 0")).select("bundle_id")
     inside = approve_planned(mutations.join(clear, "bundle_id", "left_semi"))
     rest = mutations.join(clear, "bundle_id", "left_anti").withColumn("decided_from", F.lit(None).cast("string"))
     return inside.unionByName(rest), bundles.snapshot(inside, stage)
