@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .components import share_limit
 from .text import parsed_boolean, parsed_date, parsed_integer, plain_decimal
 
 
@@ -25,9 +27,9 @@ def bookmark_error(c: Column, kind: str, *, choices: tuple[str, ...] = (), patte
     return error
 
 
-def share_in_range(share: Column, most: int) -> Column:
+def share_in_range(share: Column, most: int | Decimal) -> Column:
     """Whether a share (10^-12 percent) is at most a configured percentage."""
-    return share <= F.lit(most).cast("decimal(38,0)") * F.lit(10**12)
+    return share <= share_limit(most)
 
 
 def config_hash(*layers: list[tuple[str, str | None]]) -> str:

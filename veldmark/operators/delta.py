@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldmark.functions import components as parts_of
+
 STATE_COLUMNS = ["article_fingerprint", "price_fingerprint", "combined_fingerprint", "base_price", "currency"]
 
 
@@ -64,15 +66,24 @@ def component_changes(new: DataFrame, old: DataFrame, value: str = "percentage")
     return both.where(~F.col("new").eqNullSafe(F.col("old")))
 
 
-def change_mask(beside: DataFrame, components: DataFrame | None = None) -> DataFrame:
-    """mask of CHANGED rows: ARTICLE, PRICE and PRICE:code parts; null where nothing of these changed (a reference alone, or a currency that was only assumed)."""
+def change_mask(beside: DataFrame, components: DataFrame | None = None, codes: list[str] | None = None) -> DataFrame:
+    """mask of CHANGED rows: ARTICLE, PRICE and PRICE:code parts; null where nothing of these changed (a reference alone, or a currency that was only assumed).
+
+    Components come as a table of changes (``component_changes``), or nested in the rows as components and old_components; codes then names those that are configured.
+    """
     rows = beside
     more = F.lit(None).cast("string")
+    assumed = F.coalesce(F.col("currency_origin") == "SYSTEM_DEFAULT", F.lit(False)) if "currency_origin" in beside.columns else F.lit(True)
     if components is not None:
-        codes = components.groupBy("identity_hash").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("PRICE:"), "component_code"))), ",").alias("codes"))
-        rows, more = rows.join(codes, "identity_hash", "left"), F.nullif(F.col("codes"), F.lit(""))
+        changed = components.groupBy("identity_hash").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("PRICE:"), "component_code"))), ",").alias("codes"))
+        rows, more = rows.join(changed, "identity_hash", "left"), F.nullif(F.col("codes"), F.lit(""))
+    elif {"components", "old_components"} <= set(beside.columns):
+        named = parts_of.changed_codes(F.col("components"), F.col("old_components"), assumed)
+        named = named if codes is None else F.array_intersect(named, F.array(*map(F.lit, codes)))
+        more = F.nullif(F.array_join(F.transform(named, lambda c: F.concat(F.lit("PRICE:"), c)), ","), F.lit(""))
     article = F.when(differs(F.col("article_fingerprint"), F.col("old_article_fingerprint")), "ARTICLE")
-    price = F.when(differs(F.col("base_price"), F.col("old_base_price")) | differs(F.col("currency"), F.col("old_currency")), "PRICE")
+    other_currency = differs(F.col("currency"), F.col("old_currency")) | (F.col("old_currency").isNull() & ~assumed)
+    price = F.when(differs(F.col("base_price"), F.col("old_base_price")) | other_currency, "PRICE")
     mask = F.nullif(F.concat_ws(",", article, price, more), F.lit(""))
     return rows.withColumn("mask", F.when(F.col("classification") == "CHANGED", mask)).drop("codes")
 

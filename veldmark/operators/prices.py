@@ -7,7 +7,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldmark.functions.numeric import SHARE_UNIT, half_up_mean, half_up_percent, round_half_up
+from veldmark.functions import components as parts_of
+from veldmark.functions.numeric import SHARE_UNIT, half_up_mean, half_up_percent, round_half_up, whole_quotient
 
 KEY = ["identity_hash", "component_code"]
 
@@ -79,15 +80,35 @@ def missing_references(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("evaluated"), lacks("previous"), lacks("avg_short"), lacks("avg_long"))
 
 
+def values_of(staged: DataFrame) -> DataFrame:
+    """row_number, identity_hash, component_code, amount and previous (the accepted amount): one row for the base price of each staged row and, where rows carry components, one for each of these."""
+    base = F.struct(F.lit(parts_of.BASE).alias("component_code"), F.col("base_price").cast("decimal(24,0)").alias("amount"), F.col("old_base_price").cast("decimal(24,0)").alias("previous"))
+    values = F.array(base)
+    if "components" in staged.columns:
+        own = lambda c: F.struct(c["component_code"].alias("component_code"), c["amount"].alias("amount"), parts_of.of_code(F.col("old_components"), c["component_code"])["amount"].alias("previous"))
+        values = F.concat(values, F.transform("components", own))
+    return staged.select("row_number", "identity_hash", F.inline(values))
+
+
 def component_share(amount: Column, base: Column) -> Column:
     """Share of a component in 10^-12 percent; null without a base price, which rejects the row."""
     return half_up_percent(amount, base)
 
 
 def derivation_holds(amount: Column, base: Column, share: Column, tolerance: int = 10_000) -> Column:
-    """Whether base * share gives the amount again, both rounded to cents, within a tolerance in micro-units. What is too large to work out doesn't hold."""
-    worked = F.try_multiply(base.cast("decimal(24,0)"), share.cast("decimal(19,0)")).try_cast("decimal(38,0)")
-    cents = round_half_up(worked, 1_000_000 * SHARE_UNIT)
+    """Whether base * share gives the amount again, both rounded to cents, within a tolerance in micro-units. What is too large to work out doesn't hold.
+
+    Whole percents and the rest of a share are multiplied apart: one product would have more digits than a decimal holds.
+    """
+    size, parts = F.abs(base).cast("decimal(24,0)"), F.abs(share).cast("decimal(38,0)")
+    rest = parts % F.lit(SHARE_UNIT)
+    percents = ((parts - rest) / F.lit(SHARE_UNIT)).try_cast("decimal(38,0)")
+    whole = F.try_multiply(size, percents).try_cast("decimal(38,0)")  # in millionths of a cent
+    fine = F.try_multiply(size, rest.cast("decimal(12,0)")).try_cast("decimal(38,0)")  # in 10^-18 of one
+    a, a_left = whole_quotient(whole, F.lit(1_000_000).cast("decimal(7,0)"))
+    b, b_left = whole_quotient(fine, F.lit("1" + 18 * "0").cast("decimal(19,0)"))
+    left = (a_left.cast("decimal(6,0)") * F.lit(SHARE_UNIT) + b_left.cast("decimal(18,0)") + F.lit(5 * 10**17)).cast("decimal(19,0)")  # and half a cent, to round
+    cents = (a + b + F.floor(left / F.lit("1" + 18 * "0").cast("decimal(19,0)"))) * F.when((base < 0) != (share < 0), -1).otherwise(1)
     return F.coalesce(F.abs(cents - round_half_up(amount, 10_000)) * 10_000 <= tolerance, F.lit(False))
 
 

@@ -15,8 +15,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldmark.functions import components as parts_of
 from veldmark.functions import fingerprint as fp
-from veldmark.functions import text
+from veldmark.functions import text, values
+from veldmark.functions.components import PriceComponent
 from veldmark.functions.filters import RecordFilter, decision
 from veldmark.functions.issues import catalogued, signature
 from veldmark.functions.transforms import FieldMapping, field_of
@@ -31,7 +33,8 @@ IDENTITY = ("supplier", "grp", "reference")
 class Profile:
     """What is configured for deliveries of one link: mappings have the targets supplier, grp, reference, description, base_price, and perhaps currency and references by type. Percentages are whole numbers or decimals; None for a critical or rejected one is no threshold.
 
-    Version 2 of fingerprints: the article also has article_fields (targets of mappings), and references have a fingerprint of their own.
+    Version 2 of fingerprints: the article also has article_fields (targets of mappings), prices have the shares of their components, and references have a fingerprint of their own.
+    Components are held as one nested list a row, of the delivery and of the state; tolerance (micro-units) is for amounts that are worked out again from their share.
     """
 
     structure: Structure
@@ -53,6 +56,13 @@ class Profile:
     article_fields: tuple[str, ...] = ()
     expected_header: tuple[str, ...] | None = None
     guarded: tuple[str, ...] = ()
+    components: tuple[PriceComponent, ...] = ()
+    tolerance: int = 10_000
+
+    def __post_init__(self):
+        codes = [c.code for c in self.components]
+        if len({parts_of.BASE, *codes}) != len(codes) + 1:
+            raise ValueError(f"CONFIG_PRICE_COMPONENT_DUPLICATE: {sorted(codes)}")
 
 
 @dataclass
@@ -74,12 +84,16 @@ def routed(records: DataFrame, profile: Profile) -> DataFrame:
     keep = decision(list(profile.filters), records.columns)
     rows = records.select("file", "line", "error_code", keep.alias("__keep"), *(v.alias(t) for t, v, _ in targets), *(e.alias(f"__error_{t}") for t, _, e in targets))
     checks: list[tuple[str, Column]] = [(t, F.col(f"__error_{t}")) for t, _, _ in targets]
+    rows, unreadable = _amounts(rows, profile)
+    checks += unreadable
     checks += [(t, F.when(F.coalesce(F.col(t), F.lit("")) == "", "IDENTITY_COMPONENT_EMPTY")) for t in IDENTITY]
     checks += [(t, F.when(fp.has_reserved(F.col(t)), "CANONICAL_CONTROL_CHARACTER")) for t in (*IDENTITY, "description")]
     price = next(m for m in profile.mappings if m.target == "base_price")
     plain = text.plain_decimal(F.col("base_price"), price.decimal_sep, price.grouping_sep)
     micro = text.micro_units(plain)
     checks += [("base_price", text.price_error(F.col("base_price"), plain)), ("base_price", prices.base_price_error(micro, profile.allow_zero, profile.allow_negative))]
+    rows, listed, wrong = _components(rows.withColumn("__base", micro), profile, F.col("__base"))
+    checks += wrong
     code, where = None, None
     for name, error in checks:
         code = F.when(error.isNotNull(), error) if code is None else code.when(error.isNotNull(), error)
@@ -88,16 +102,59 @@ def routed(records: DataFrame, profile: Profile) -> DataFrame:
     rows = rows.withColumn("code", F.when(early, F.col("error_code")).when(F.col("__keep") == "EXCLUDE", None).when(rejects, "FILTER_RECORD_REJECTED").otherwise(code))
     rows = rows.withColumn("field", F.when(~early & (F.col("__keep") == "KEEP"), where))
     route = F.when(early, "ERROR_BEFORE_FILTER").when(F.col("__keep") == "EXCLUDE", "FILTERED").when(F.col("code").isNotNull(), "REJECTED").otherwise("VALID")
-    return rows.withColumn("route", route).withColumn("base_price", micro).drop("__keep", "error_code", *(f"__error_{t}" for t, _, _ in targets))
+    rows = rows.withColumn("route", route)
+    if profile.components:
+        rows = rows.withColumn("components", F.when(F.col("route") == "VALID", listed)).drop(*(f"__{what}_{c.code}" for c in profile.components for what in ("unread", "amount", "share", "wrong")), *(c.target for c in profile.components))
+    return rows.withColumn("base_price", F.col("__base")).drop("__keep", "__base", "error_code", *(f"__error_{t}" for t, _, _ in targets))
+
+
+def _amounts(rows: DataFrame, profile: Profile) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """Rows with the amount of each component in micro-units (null where there is none), and what is wrong with its text."""
+    checks = []
+    for c in profile.components:
+        mapping = next(m for m in profile.mappings if m.target == c.target)
+        given = text.outer_trim(F.col(c.target)) != ""
+        plain = text.plain_decimal(F.col(c.target), mapping.decimal_sep, mapping.grouping_sep)
+        rows = rows.withColumns({f"__unread_{c.code}": F.when(given, text.price_error(F.col(c.target), plain)), f"__amount_{c.code}": F.when(given, text.micro_units(plain))})
+        checks.append((c.target, F.col(f"__unread_{c.code}")))
+    return rows, checks
+
+
+def _currency(rows: DataFrame, profile: Profile) -> tuple[Column, Column, Column]:
+    delivered = text.normalise_reference(F.col("currency")) if "currency" in rows.columns else F.lit(None).cast("string")
+    return prices.currency(delivered, profile.link_currency)
+
+
+def _components(rows: DataFrame, profile: Profile, base: Column) -> tuple[DataFrame, Column, list[tuple[str, Column]]]:
+    """Rows with the share of each component, their nested list, and what is wrong with them: in order of code, and at last amounts whose share can't be worked out, as the base price is 0."""
+    effective, _, _ = _currency(rows, profile)
+    checks, any_amount, parts = [], F.lit(False), []
+    for c in sorted(profile.components, key=lambda c: c.code):
+        # columns of their own, as each is used more than once: written out in place they make code too long to compile
+        amount, share, wrong = (F.col(f"__{what}_{c.code}") for what in ("amount", "share", "wrong"))
+        rows = rows.withColumn(f"__share_{c.code}", prices.component_share(amount, base))
+        found = [prices.base_price_error(amount, c.allow_zero, c.allow_negative)]
+        if c.currency is not None:
+            found.append(F.when(amount.isNotNull() & (text.normalise_reference(F.col(c.currency)) != effective), "PRICE_CURRENCY_MISMATCH"))
+        if c.most_percent is not None:
+            found.append(F.when(~values.share_in_range(share, c.most_percent), "PRICE_PERCENTAGE_OUT_OF_RANGE"))
+        found.append(F.when(share.isNotNull() & ~prices.derivation_holds(amount, base, share, profile.tolerance), "PRICE_DERIVATION_MISMATCH"))
+        rows = rows.withColumn(f"__wrong_{c.code}", F.coalesce(*found))
+        checks.append((c.target, wrong))
+        any_amount = any_amount | amount.isNotNull()
+        parts.append((c.code, amount, share))
+    if parts:
+        checks.append(("base_price", F.when((base == 0) & any_amount, "PRICE_PERCENTAGE_NOT_COMPUTABLE")))
+    return rows, parts_of.listed(parts, effective), checks
 
 
 def normalised(valid: DataFrame, profile: Profile) -> DataFrame:
     """Valid rows with row_number, currency and fingerprints."""
-    delivered = text.normalise_reference(F.col("currency")) if "currency" in valid.columns else F.lit(None).cast("string")
-    currency, origin, printed = prices.currency(delivered, profile.link_currency)
+    currency, origin, printed = _currency(valid, profile)
     rows = valid.withColumnRenamed("line", "row_number").withColumn("printed", printed).withColumn("currency_origin", origin).withColumn("currency", currency)
     rows = rows.withColumn("identity_hash", fp.identity(profile.version, *(F.col(c) for c in IDENTITY))).withColumn("article_fingerprint", fp.article(profile.version, F.col("description"), {c: F.col(c) for c in profile.article_fields}))
-    rows = rows.withColumn("price_fingerprint", fp.price(profile.version, fp.amount_text(F.col("base_price")), F.col("printed")))
+    listed = parts_of.printed(F.col("components")) if profile.components and profile.version >= 2 else None
+    rows = rows.withColumn("price_fingerprint", fp.price(profile.version, fp.amount_text(F.col("base_price")), F.col("printed"), listed))
     prints = ["identity_hash", "article_fingerprint", "price_fingerprint"]
     if profile.version >= 2:
         rows = rows.withColumn("reference_fingerprint", fp.references(profile.version, {t: text.normalise_reference(F.col(t)) for t in profile.reference_types}))
@@ -118,12 +175,16 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     of_state = (*of_file, *(sorted(t.inputFiles()) if t is not None else None for t in (state, observations, active_references)))
     written = _write(routed(records, profile), _stage(folder, "routed", of_file))
     counters = judge.counters(written)
-    staged = delta.change_mask(delta.classified(delta.beside_state(normalised(written.where("route = 'VALID'"), profile), state)))
+    known = state if not profile.components or "components" in state.columns else state.withColumn("components", F.lit(None).cast(parts_of.TYPE))
+    beside = delta.beside_state(normalised(written.where("route = 'VALID'"), profile), known, [*delta.STATE_COLUMNS, "components"] if profile.components else None)
+    staged = delta.change_mask(delta.classified(beside), codes=[c.code for c in profile.components])
     staged = _write(staged, _stage(folder, "staged", of_state))
-    wanted = staged.where("classification <> 'UNCHANGED'").select("row_number", "identity_hash", F.lit("BASE").alias("component_code"), F.col("base_price").alias("amount"), F.col("old_base_price").alias("previous"))
+    # what is as it was accepted isn't judged again
+    wanted = prices.values_of(staged.where("classification <> 'UNCHANGED'")).where("previous is null or previous <> amount")
     controlled = prices.control(wanted.join(_averages(observations, wanted, profile), prices.KEY, "left"), profile.deviation_percent)
+    priced = F.coalesce(*(F.when(F.col("component_code") == c.code, c.target) for c in profile.components), F.lit("base_price"))
     found = _issue(written.where("code is not null"), F.col("code"), F.col("field"), "line")
-    found = found.unionByName(_issue(controlled.where("exceeded"), F.lit("PRICE_DEVIATION_EXCEEDED"), F.lit("base_price"), kind=F.col("direction")))
+    found = found.unionByName(_issue(controlled.where("exceeded"), F.lit("PRICE_DEVIATION_EXCEEDED"), priced, kind=F.col("direction")))
     duplicates = delta.duplicate_rows(staged)
     found = found.unionByName(_issue(duplicates, F.lit("DUPLICATE_IDENTITY_IN_DELIVERY"), F.lit("reference")))
     collisions = delta.hash_collisions(staged, list(IDENTITY)).select(F.col("first_row").alias("row_number"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldmark.operators import prices
+
 
 def stale(staged: DataFrame, state: DataFrame) -> DataFrame:
     """Rows whose state is not what they were compared with."""
@@ -52,7 +54,8 @@ def accept_baseline(
 
 def append_observations(observations: DataFrame, staged: DataFrame, day) -> DataFrame:
     """At most one value a key and day, the first: today's values of NEW and CHANGED rows where the day has none."""
-    today = staged.where(F.col("classification").isin("NEW", "CHANGED")).select("identity_hash", F.lit("BASE").alias("component_code"), F.lit(day).cast("date").alias("observation_date"), F.col("base_price").alias("amount"))
+    changed = staged.where(F.col("classification").isin("NEW", "CHANGED"))
+    today = prices.values_of(changed).select("identity_hash", "component_code", F.lit(day).cast("date").alias("observation_date"), "amount")
     return observations.unionByName(today.join(observations, ["identity_hash", "component_code", "observation_date"], "left_anti"))
 
 

@@ -8,13 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldmark.functions import components
 from veldmark.operators import issues, prices
 from veldmark.operators.baseline import Baseline, Kept, touched
 from veldmark.operators.delta import STATE_COLUMNS
 from veldmark.operators.screening import Profile, Screened, screen
 from veldmark.sources.delimited import DeliveryBlocked
 
-STATE = "identity_hash string, article_fingerprint string, price_fingerprint string, combined_fingerprint string, base_price decimal(24,0), currency string"
+STATE = "identity_hash string, article_fingerprint string, price_fingerprint string, combined_fingerprint string, base_price decimal(24,0), currency string, components " + components.TYPE
 #: What a library keeps.
 TABLES = {
     "state": Kept(STATE, ("identity_hash",)),
@@ -92,13 +93,14 @@ class Library:
     def _accepted(self, run: Screened, version: int, at) -> dict[str, DataFrame]:
         """What acceptance changes: offers that are new or changed, their values of the day, their references, and the plan itself."""
         changed = run.staged.where(F.col("classification").isin("NEW", "CHANGED"))
-        today = changed.select("identity_hash", F.lit("BASE").alias("component_code"), at.alias("observation_date"), F.col("base_price").cast("decimal(24,0)").alias("amount"))
+        today = prices.values_of(changed).select("identity_hash", "component_code", at.alias("observation_date"), "amount")
         old = touched(self.read("latest", version), today, prices.KEY)
         refs = None
         for kind in self.profile.reference_types:
             rows = changed.select(F.lit(kind).alias("reference_type"), F.col(kind).alias("value"), "identity_hash")
             refs = rows if refs is None else refs.unionByName(rows)
-        out = {"state": changed.select("identity_hash", *STATE_COLUMNS), "latest": prices.with_observations(old, today, self.most_values), "mutations": run.mutations}
+        nested = F.col("components") if "components" in changed.columns else F.lit(None).cast(components.TYPE)
+        out = {"state": changed.select("identity_hash", *STATE_COLUMNS, nested.alias("components")), "latest": prices.with_observations(old, today, self.most_values), "mutations": run.mutations}
         if refs is not None:  # references are only added; one that somebody holds stays with its holder
             known = self.read("references", version).select("reference_type", "value")
             new = refs.where("value is not null and value <> ''").distinct().join(known, ["reference_type", "value"], "left_anti")
