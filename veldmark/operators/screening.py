@@ -79,7 +79,7 @@ class Screened:
 
 
 def routed(records: DataFrame, profile: Profile) -> DataFrame:
-    """Records with their target fields, ``route`` (ERROR_BEFORE_FILTER, FILTERED, REJECTED or VALID) and, where a row fails, ``code`` and ``field``."""
+    """Records with their target fields, ``route`` (ERROR_BEFORE_FILTER, FILTERED, REJECTED or VALID) and, where a row fails, ``code`` and ``field``. Write it before filtering by route: a filter that is pushed below the checks repeats each of them for every use, which with components takes very long to plan."""
     targets = [(m.target, *field_of(m)) for m in profile.mappings]
     keep = decision(list(profile.filters), records.columns)
     rows = records.select("file", "line", "error_code", keep.alias("__keep"), *(v.alias(t) for t, v, _ in targets), *(e.alias(f"__error_{t}") for t, _, e in targets))
