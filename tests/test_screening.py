@@ -101,7 +101,7 @@ def test_settings_drive_transforms(spark):
     for m, want in wanted:
         value, error = field_of(m)
         assert tuple(rows.select(value.alias("v"), error.alias("e")).head()) == (want, None), m
-    errors = [(M("t", "y", "MAP", "values=B>bee;caseSensitive=true"), "MAPPING_VALUE_UNKNOWN"), (M("t", "x", "DIVIDE", "operand=0"), "TRANSFORM_DIVIDE_BY_ZERO"), (M("t", "z", required=True), "VALUE_MISSING"), (M("t", "y", type="INTEGER"), "VALUE_TYPE_MISMATCH"), (M("t", "y", type="DATE"), "DATE_UNREADABLE"), (M("t", "y", "SPLIT", "separator=/;index=2"), "TRANSFORM_FAILED")]
+    errors = [(M("t", "y", "MAP", "values=B>bee;caseSensitive=true"), "MAPPING_VALUE_UNKNOWN"), (M("t", "x", "DIVIDE", "operand=0"), "TRANSFORM_DIVIDE_BY_ZERO"), (M("t", "z", required=True), "VALUE_MISSING"), (M("t", "y", type="INTEGER"), "VALUE_TYPE_MISMATCH"), (M("t", "y", type="DATE"), "DATE_AMBIGUOUS"), (M("t", "y", type="DATE", pattern="dd/MM/yyyy"), "DATE_UNREADABLE"), (M("t", "y", "SPLIT", "separator=/;index=2"), "TRANSFORM_FAILED")]
     for m, want in errors:
         assert rows.select(field_of(m)[1].alias("e")).head().e == want, m
     for bad in (M("t", "x", "TURN"), M("t", "x", "PREFIX"), M("t", "x", "ADD", "operand=1;operandField=y"), M("t", "x", "NONE", "what=1"), M("t", "x", "SPLIT", "separator=/;index=two")):

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Groups: minute, second, fraction, sign of the offset, its hours, minutes and seconds.
+ISO_INSTANT = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(?:Z|([+-])(\d{2}):(\d{2})(?::(\d{2}))?)$"
+
+
 def outer_trim(c: Column) -> Column:
     """Without leading and trailing characters up to U+0020 (Spark's trim takes spaces only)."""
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
@@ -72,6 +76,33 @@ def parsed_instant(c: Column, pattern: str, zone: str) -> Column:
     return F.date_format(F.to_utc_timestamp(t, zone), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def iso_instant(c: Column) -> Column:
+    """The instant, in UTC, of an ISO time with an offset, to the nanosecond; null for other texts. It is worked out without a zone, so the session's doesn't matter."""
+    t = outer_trim(c)
+    part = lambda n: F.regexp_extract(t, ISO_INSTANT, n)
+    seconds = F.when(part(2) == "", "00").otherwise(part(2))
+    local = F.concat(F.replace(part(1), F.lit("T"), F.lit(" ")), F.lit(":"), seconds).try_cast("timestamp_ntz")
+    number = lambda n: F.coalesce(part(n).try_cast("int"), F.lit(0))
+    offset = F.make_dt_interval(F.lit(0), number(5), number(6), number(7).cast("decimal(18,6)"))
+    utc = F.when(part(4) == "-", local + offset).otherwise(local - offset).cast("string")
+    fraction = F.regexp_replace(F.rpad(part(3), 9, "0"), "(000)+$", "")
+    return F.when(t.rlike(ISO_INSTANT) & (number(5) * 60 + number(6) <= 18 * 60), F.concat(F.replace(utc, F.lit(" "), F.lit("T")), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z")))
+
+
+def local_instant(c: Column, pattern: str, zone: str) -> Column:
+    """A local time in a declared format and zone as an instant; null for times that were bent to fit."""
+    t = F.try_to_timestamp(outer_trim(c), F.lit(pattern))
+    return F.when(F.date_format(t, pattern) == outer_trim(c), parsed_instant(c, pattern, zone))
+
+
+def date_error(c: Column, parsed: Column, pattern: str | None) -> Column:
+    """Why a date or time wasn't read: in a declared format, or where it begins as an ISO date does, it doesn't exist; anything else could be read in more than one way."""
+    unread = c.isNotNull() & parsed.isNull()
+    if pattern is not None:
+        return F.when(unread, "DATE_UNREADABLE")
+    return F.when(unread & outer_trim(c).rlike(r"^\d{4}-\d{2}-\d{2}"), "DATE_UNREADABLE").when(unread, "DATE_AMBIGUOUS")
+
+
 def split_record(line: Column, delimiter: str, quote: str | None) -> Column:
     """Fields of one physical line, null where a quote is left open or stands inside a plain field. A doubled quote inside quotes is one.
 

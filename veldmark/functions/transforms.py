@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import exact_sum, fixed_units, product, quotient
-from .text import outer_trim, parsed_boolean, parsed_date, parsed_integer, plain_decimal, utf16_length
+from .text import date_error, iso_instant, local_instant, outer_trim, parsed_boolean, parsed_date, parsed_integer, plain_decimal, utf16_length
 
 
 def _ok():
@@ -71,7 +71,7 @@ def arithmetic(c: Column, operation: str, operand: Column, places: int = 6, deci
     return value, F.when(c.isNull(), None).when(x.isNull() | y.isNull(), "TRANSFORM_FAILED").when(by_zero, "TRANSFORM_DIVIDE_BY_ZERO").when(value.isNull(), "TRANSFORM_FAILED")
 
 
-def defaulted(c: Column, default: str):
+def defaulted(c: Column, default: str | Column):
     """Null (not empty) becomes the default."""
     return F.when(c.isNull(), default).otherwise(c), F.lit(None).cast("string")
 
@@ -122,7 +122,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class FieldMapping:
-    """How a target field comes from the columns of a record; settings say what the kind of transform needs."""
+    """How a target field comes from the columns of a record; settings say what the kind of transform needs. Dates and times without a pattern are ISO ones; times with a pattern are local times of zone."""
 
     target: str
     source: str | None = None
@@ -131,10 +131,11 @@ class FieldMapping:
     required: bool = False
     default: str | None = None
     longest: int | None = None
-    type: str = "TEXT"  # or DECIMAL, INTEGER, DATE, BOOLEAN
+    type: str = "TEXT"  # or DECIMAL, INTEGER, DATE, DATETIME, BOOLEAN
     decimal_sep: str | None = None
     grouping_sep: str | None = None
-    pattern: str = "yyyy-MM-dd"
+    pattern: str | None = None
+    zone: str | None = None
 
 
 #: Kinds of transforms and the settings that they know.
@@ -174,20 +175,37 @@ def transformed(m: FieldMapping) -> tuple[Column, Column]:
         raise ValueError(f"CONFIG_TRANSFORM_INVALID: {m.target}: {e}") from e
 
 
+def default_applied(m: FieldMapping) -> Column:
+    """Whether a record has the default of a mapping, as it has no value of its own (an empty one is a value)."""
+    return F.lit(False) if m.default is None else transformed(m)[0].isNull()
+
+
+def _instant(m: FieldMapping, value: Column) -> Column:
+    if m.pattern is None:
+        return iso_instant(value)
+    # without a zone a local time is no instant; parsing it tells whether it exists
+    return local_instant(value, m.pattern, m.zone or "UTC")
+
+
 def field_of(m: FieldMapping) -> tuple[Column, Column]:
-    """Canonical text and error code of a target field: transform, default, required, length and type, in this order; the first error counts."""
+    """Canonical text and error code of a target field: transform, outer trim, default, required, length and type, in this order; the first error counts."""
     value, error = transformed(m)
+    value = outer_trim(value)
     if m.default is not None:
-        value = defaulted(value, m.default)[0]
+        value = defaulted(value, outer_trim(F.lit(m.default)))[0]
     checks = [error]
     if m.required:
         checks.append(F.when(error.isNull(), required_error(value)))
     if m.longest is not None:
         checks.append(length_error(utf16_length(value), m.longest))
-    given = value.isNotNull() & (outer_trim(value) != "")
+    given = value.isNotNull() & (value != "")
     typed = {
-        "TEXT": lambda: value, "DECIMAL": lambda: plain_decimal(value, m.decimal_sep, m.grouping_sep), "INTEGER": lambda: parsed_integer(value), "DATE": lambda: parsed_date(value, m.pattern), "BOOLEAN": lambda: parsed_boolean(value),
+        "TEXT": lambda: value, "DECIMAL": lambda: plain_decimal(value, m.decimal_sep, m.grouping_sep), "INTEGER": lambda: parsed_integer(value), "DATE": lambda: parsed_date(value, m.pattern or "yyyy-MM-dd"), "DATETIME": lambda: _instant(m, value), "BOOLEAN": lambda: parsed_boolean(value),
     }[m.type]()
-    if m.type not in ("TEXT", "DECIMAL"):  # amounts have codes of their own
-        checks.append(F.when(given & typed.isNull(), "DATE_UNREADABLE" if m.type == "DATE" else "VALUE_TYPE_MISMATCH"))
+    if m.type in ("DATE", "DATETIME"):
+        checks.append(date_error(F.when(given, value), typed, m.pattern))
+        if m.type == "DATETIME" and m.pattern is not None and m.zone is None:
+            checks.append(F.when(typed.isNotNull(), "DATE_AMBIGUOUS"))
+    elif m.type not in ("TEXT", "DECIMAL"):  # amounts have codes of their own
+        checks.append(F.when(given & typed.isNull(), "VALUE_TYPE_MISMATCH"))
     return (value if m.type == "DECIMAL" else typed), F.coalesce(*checks)

@@ -61,9 +61,12 @@ def cap_notices(tallied: DataFrame, sampled: DataFrame) -> DataFrame:
     return tallied.groupBy("code").agg(F.sum("occurrences").alias("occurrences")).join(n, "code").where("occurrences > recorded")
 
 
-def critical_lines(issues: DataFrame, critical_fields: list[str]) -> DataFrame:
-    """One row: lines with an error on a critical field that no filter rejected."""
-    hit = (F.col("severity") == "ERROR") & F.col("field").isin(*critical_fields) & (F.col("code") != "RECORD_REJECTED_BY_FILTER")
+def critical_lines(issues: DataFrame, critical_fields: list[str], fields: list[str] | None = None) -> DataFrame:
+    """One row: lines with an error on a critical field that no filter rejected. With fields (all that are mapped), an error on none of them, or on no field at all, counts too: nobody has said that it is harmless."""
+    critical = F.coalesce(F.col("field").isin(*critical_fields), F.lit(False))
+    if fields is not None:
+        critical = critical | F.coalesce(~F.col("field").isin(*fields), F.lit(True))
+    hit = (F.col("severity") == "ERROR") & critical & (F.col("code") != "FILTER_RECORD_REJECTED")
     return issues.agg(F.countDistinct(F.when(hit, F.col("row_number"))).alias("critical_lines"))
 
 

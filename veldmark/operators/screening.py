@@ -21,12 +21,16 @@ from veldmark.functions import text, values
 from veldmark.functions.components import PriceComponent
 from veldmark.functions.filters import RecordFilter, decision
 from veldmark.functions.issues import catalogued, signature
-from veldmark.functions.transforms import FieldMapping, field_of
+from veldmark.functions.transforms import FieldMapping, default_applied, field_of, length_error
 from veldmark.operators import delta, issues, judge, prices, publication, references
 from veldmark.sources.archive import files_at
 from veldmark.sources.delimited import Structure, read_delivery
 
 IDENTITY = ("supplier", "grp", "reference")
+#: Where discount codes tell offers apart, in the order of their canonical text.
+IDENTITY_WITH_DISCOUNT = ("supplier", "grp", "discount", "reference")
+#: The most UTF-16 units of identity parts and references, and of descriptions.
+LONGEST_PART, LONGEST_DESCRIPTION = 200, 1000
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,7 @@ class Profile:
     """What is configured for deliveries of one link: mappings have the targets supplier, grp, reference, description, base_price, and perhaps currency and references by type. Percentages are whole numbers or decimals; None for a critical or rejected one is no threshold.
 
     Version 2 of fingerprints: the article also has article_fields (targets of mappings), prices have the shares of their components, and references have a fingerprint of their own.
+    With discount, identities have a fourth part: the target of that name, where an empty code is a value of its own. Errors on critical_fields and on references are critical, and so are those that belong to no mapped field.
     Components are held as one nested list a row, of the delivery and of the state; tolerance (micro-units) is for amounts that are worked out again from their share.
     """
 
@@ -58,8 +63,15 @@ class Profile:
     guarded: tuple[str, ...] = ()
     components: tuple[PriceComponent, ...] = ()
     tolerance: int = 10_000
+    discount: bool = False
+
+    @property
+    def identity(self) -> tuple[str, ...]:
+        return IDENTITY_WITH_DISCOUNT if self.discount else IDENTITY
 
     def __post_init__(self):
+        if self.discount and "discount" not in (m.target for m in self.mappings):
+            raise ValueError("CONFIG_DISCOUNT_FIELD_MISSING")
         codes = [c.code for c in self.components]
         if len({parts_of.BASE, *codes}) != len(codes) + 1:
             raise ValueError(f"CONFIG_PRICE_COMPONENT_DUPLICATE: {sorted(codes)}")
@@ -79,21 +91,28 @@ class Screened:
 
 
 def routed(records: DataFrame, profile: Profile) -> DataFrame:
-    """Records with their target fields, ``route`` (ERROR_BEFORE_FILTER, FILTERED, REJECTED or VALID) and, where a row fails, ``code`` and ``field``. Write it before filtering by route: a filter that is pushed below the checks repeats each of them for every use, which with components takes very long to plan."""
+    """Records with their target fields, ``route`` (ERROR_BEFORE_FILTER, FILTERED, REJECTED or VALID) and, where a row fails, ``code`` and ``field``; valid ones with ``defaulted``, the targets that got their default, where mappings have one. Write it before filtering by route: a filter that is pushed below the checks repeats each of them for every use, which with components takes very long to plan."""
     targets = [(m.target, *field_of(m)) for m in profile.mappings]
+    if profile.discount:
+        targets = [(t, F.coalesce(v, F.lit("")) if t == "discount" else v, e) for t, v, e in targets]
     keep = decision(list(profile.filters), records.columns)
-    rows = records.select("file", "line", "error_code", keep.alias("__keep"), *(v.alias(t) for t, v, _ in targets), *(e.alias(f"__error_{t}") for t, _, e in targets))
+    noted = [F.when(default_applied(m), m.target) for m in profile.mappings if m.default is not None]
+    applied = [F.filter(F.array(*noted), lambda t: t.isNotNull()).alias("defaulted")] if noted else []
+    rows = records.select("file", "line", "error_code", keep.alias("__keep"), *applied, *(v.alias(t) for t, v, _ in targets), *(e.alias(f"__error_{t}") for t, _, e in targets))
     checks: list[tuple[str, Column]] = [(t, F.col(f"__error_{t}")) for t, _, _ in targets]
     rows, unreadable = _amounts(rows, profile)
     checks += unreadable
-    checks += [(t, F.when(F.coalesce(F.col(t), F.lit("")) == "", "IDENTITY_COMPONENT_EMPTY")) for t in IDENTITY]
-    checks += [(t, F.when(fp.has_reserved(F.col(t)), "CANONICAL_CONTROL_CHARACTER")) for t in (*IDENTITY, "description")]
+    too_long = lambda t, most=LONGEST_PART: (t, length_error(text.utf16_length(F.col(t)), most))
+    for t in (*IDENTITY, *profile.identity[2:-1]):
+        checks += [(t, F.when(F.coalesce(F.col(t), F.lit("")) == "", "IDENTITY_COMPONENT_EMPTY"))] if t in IDENTITY else []
+        checks.append(too_long(t))
+    checks += [(t, F.when(fp.has_reserved(F.col(t)), "CANONICAL_CONTROL_CHARACTER")) for t in (*profile.identity, "description")]
     price = next(m for m in profile.mappings if m.target == "base_price")
     plain = text.plain_decimal(F.col("base_price"), price.decimal_sep, price.grouping_sep)
     micro = text.micro_units(plain)
     checks += [("base_price", text.price_error(F.col("base_price"), plain)), ("base_price", prices.base_price_error(micro, profile.allow_zero, profile.allow_negative))]
     rows, listed, wrong = _components(rows.withColumn("__base", micro), profile, F.col("__base"))
-    checks += wrong
+    checks += [*wrong, *map(too_long, profile.reference_types), too_long("description", LONGEST_DESCRIPTION)]
     code, where = None, None
     for name, error in checks:
         code = F.when(error.isNotNull(), error) if code is None else code.when(error.isNotNull(), error)
@@ -103,6 +122,8 @@ def routed(records: DataFrame, profile: Profile) -> DataFrame:
     rows = rows.withColumn("field", F.when(~early & (F.col("__keep") == "KEEP"), where))
     route = F.when(early, "ERROR_BEFORE_FILTER").when(F.col("__keep") == "EXCLUDE", "FILTERED").when(F.col("code").isNotNull(), "REJECTED").otherwise("VALID")
     rows = rows.withColumn("route", route)
+    if noted:
+        rows = rows.withColumn("defaulted", F.when(F.col("route") == "VALID", F.col("defaulted")))
     if profile.components:
         rows = rows.withColumn("components", F.when(F.col("route") == "VALID", listed)).drop(*(f"__{what}_{c.code}" for c in profile.components for what in ("unread", "amount", "share", "wrong")), *(c.target for c in profile.components))
     return rows.withColumn("base_price", F.col("__base")).drop("__keep", "__base", "error_code", *(f"__error_{t}" for t, _, _ in targets))
@@ -149,17 +170,19 @@ def _components(rows: DataFrame, profile: Profile, base: Column) -> tuple[DataFr
 
 
 def normalised(valid: DataFrame, profile: Profile) -> DataFrame:
-    """Valid rows with row_number, currency and fingerprints."""
+    """Valid rows with row_number, currency and fingerprints, and where discount codes are parts of identities, discount_state (VALUE or EMPTY)."""
     currency, origin, printed = _currency(valid, profile)
     rows = valid.withColumnRenamed("line", "row_number").withColumn("printed", printed).withColumn("currency_origin", origin).withColumn("currency", currency)
-    rows = rows.withColumn("identity_hash", fp.identity(profile.version, *(F.col(c) for c in IDENTITY))).withColumn("article_fingerprint", fp.article(profile.version, F.col("description"), {c: F.col(c) for c in profile.article_fields}))
+    rows = rows.withColumn("identity_hash", fp.identity(profile.version, *map(F.col, IDENTITY), discount=F.col("discount") if profile.discount else None)).withColumn("article_fingerprint", fp.article(profile.version, F.col("description"), {c: F.col(c) for c in profile.article_fields}))
     listed = parts_of.printed(F.col("components")) if profile.components and profile.version >= 2 else None
     rows = rows.withColumn("price_fingerprint", fp.price(profile.version, fp.amount_text(F.col("base_price")), F.col("printed"), listed))
+    if profile.discount:
+        rows = rows.withColumn("discount_state", F.when(F.col("discount") == "", "EMPTY").otherwise("VALUE"))
     prints = ["identity_hash", "article_fingerprint", "price_fingerprint"]
     if profile.version >= 2:
         rows = rows.withColumn("reference_fingerprint", fp.references(profile.version, {t: text.normalise_reference(F.col(t)) for t in profile.reference_types}))
         prints.append("reference_fingerprint")
-    return rows.withColumn("combined_fingerprint", fp.combined(*map(F.col, prints))).drop("route", "code", "field", "printed")
+    return rows.withColumn("combined_fingerprint", fp.combined(*map(F.col, prints))).drop("route", "code", "field", "printed", "defaulted")
 
 
 def _issue(rows: DataFrame, code: Column, of: Column, number: str = "row_number", kind: Column | None = None) -> DataFrame:
@@ -167,6 +190,14 @@ def _issue(rows: DataFrame, code: Column, of: Column, number: str = "row_number"
     return rows.select(code.alias("code"), of.alias("field"), signature(*parts).alias("signature"), F.col(number).alias("row_number"))
 
 
+def _of_rows(written: DataFrame) -> DataFrame:
+    """Issues of single records: what is wrong with them, and defaults that valid ones got."""
+    found = _issue(written.where("code is not null"), F.col("code"), F.col("field"), "line")
+    if "defaulted" in written.columns:
+        found = found.unionByName(_issue(written.select("line", F.explode("defaulted").alias("field")), F.lit("VALUE_DEFAULT_APPLIED"), F.col("field"), "line"))
+    return found
+
+
 def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, observations: DataFrame, folder: str, active_references: DataFrame | None = None, prefix: str = "1:1") -> Screened:
     """Screen the delivery at path. Routed records, staged rows and issues are written below folder, under names that tell what they were made of: the delivery's content, the profile, and for later stages the files of state, observations and references. So a call that is repeated after a crash goes on from what is there whole, an equal call writes nothing, and another profile or state has its own tables. DeliveryBlocked tells a file that can't be read."""
     warnings: list[tuple[str, str | None]] = []
@@ -183,13 +214,13 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     wanted = prices.values_of(staged.where("classification <> 'UNCHANGED'")).where("previous is null or previous <> amount")
     controlled = prices.control(wanted.join(_averages(observations, wanted, profile), prices.KEY, "left"), profile.deviation_percent)
     priced = F.coalesce(*(F.when(F.col("component_code") == c.code, c.target) for c in profile.components), F.lit("base_price"))
-    found = _issue(written.where("code is not null"), F.col("code"), F.col("field"), "line")
+    found = _of_rows(written)
     found = found.unionByName(_issue(controlled.where("exceeded"), F.lit("PRICE_DEVIATION_EXCEEDED"), priced, kind=F.col("direction")))
     duplicates = delta.duplicate_rows(staged)
     found = found.unionByName(_issue(duplicates, F.lit("DUPLICATE_IDENTITY_IN_DELIVERY"), F.lit("reference")))
-    collisions = delta.hash_collisions(staged, list(IDENTITY)).select(F.col("first_row").alias("row_number"))
-    if set(IDENTITY) <= set(state.columns):
-        collisions = collisions.unionByName(delta.collisions_with_state(staged, state, list(IDENTITY)).select("row_number"))
+    collisions = delta.hash_collisions(staged, list(profile.identity)).select(F.col("first_row").alias("row_number"))
+    if set(profile.identity) <= set(state.columns):
+        collisions = collisions.unionByName(delta.collisions_with_state(staged, state, list(profile.identity)).select("row_number"))
     found = found.unionByName(_issue(collisions, F.lit("IDENTITY_HASH_COLLISION"), F.lit("reference")))
     held = None
     if profile.reference_types and active_references is not None:
@@ -252,7 +283,7 @@ def trial(spark: SparkSession, path: str, profile: Profile, folder: str, most: i
     """A trial read of a delivery: one row of counters with duplicate_rows, and the first issues of each code. It changes nothing and leaves NOT_EVALUATED open."""
     written = _write(routed(read_delivery(spark, path, profile.structure), profile), f"{folder}/trial")
     duplicates = publication.trial_duplicates(normalised(written.where("route = 'VALID'"), profile))
-    found = catalogued(_issue(written.where("code is not null"), F.col("code"), F.col("field"), "line"))
+    found = catalogued(_of_rows(written))
     return judge.counters(written).join(duplicates, F.lit(True)), issues.samples(found, most)
 
 
@@ -261,7 +292,7 @@ def _judged(counters: DataFrame, staged: DataFrame, found: DataFrame, grouped: D
     # rows of one each, so these joins are of one row with one row
     new = staged.agg(F.count_if(F.col("classification") == "NEW").alias("candidates"))
     size = state.agg(F.count(F.lit(1)).alias("state_size"))
-    critical = issues.critical_lines(found, list(profile.critical_fields))
+    critical = issues.critical_lines(found, [*profile.critical_fields, *profile.reference_types], [m.target for m in profile.mappings])
     weight = found.agg(
         F.count_if(F.col("effect") == "BLOCK").alias("blocking"), F.count_if(F.col("effect") == "REVIEW").alias("review"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity").isin("WARNING", "ERROR")).alias("warnings"),
     )

@@ -8,7 +8,7 @@ from veldmark.functions import text, values
 from veldmark.functions.issues import signature
 from veldmark.operators import bundles, delta, issues, publication, references
 from veldmark.operators.ordering import positions
-from veldmark.plans import adapt, deliveries, priced, runs  # noqa: F401 (register their queries)
+from veldmark.plans import adapt, deliveries, previews, priced, runs  # noqa: F401 (register their queries)
 from veldmark.plans.places import folder
 from veldmark.plans.catalog import BUNDLES, ISSUES, ORACLES, QUERIES, SHAPES, _beside, _bundled, _components, _components_sql, _issues, _lineitem_offers, OFFERS, query
 

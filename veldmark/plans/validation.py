@@ -91,7 +91,9 @@ def profile_problems(profile: Profile, price_model: str = "DEVIATION") -> dict[s
     if found["structure"]:
         return found | {"skipped": ["INFO_CONFIG_CHECKS_SKIPPED"]}
     targets = [m.target for m in profile.mappings]
-    types = dict.fromkeys([*IDENTITY, "description", "currency", *profile.reference_types], "TEXT") | {"base_price": "DECIMAL"}
+    types = dict.fromkeys([*IDENTITY, "discount", "description", "currency", *profile.reference_types], "TEXT") | {"base_price": "DECIMAL"}
+    free = {*profile.article_fields, *(c.target for c in profile.components), *(c.currency for c in profile.components)}
+    types |= {m.target: m.type for m in profile.mappings if m.target in free}
     found["filters"] = filter_problems(list(profile.filters), profile.structure)
     found["mappings"] = mapping_problems([(m.target, m.source or profile.structure.fields[0]) for m in profile.mappings], types, profile.structure)
     found["mappings"] += [f"CONFIG_MAPPING_TYPE_INCOMPATIBLE:{m.target}" for m in profile.mappings if types.get(m.target, m.type) != m.type]

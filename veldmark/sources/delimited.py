@@ -147,15 +147,16 @@ def intake(arrivals: DataFrame, known: DataFrame) -> DataFrame:
     return arrivals.join(k, "idempotency_key", "left").withColumn("outcome", verdict).drop("known_sha256")
 
 
-def export_lines(rows: DataFrame, fields: list[tuple[str, Column]], order: Column) -> DataFrame:
-    """line and ordinal: quoted fields, guarded where a spreadsheet would see a formula."""
+def csv_text(c: Column, separator: str) -> Column:
+    """A value as a field of a file: empty where it is null, guarded where a spreadsheet would see a formula, quoted where it holds the separator, a quote or a line's end."""
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    c = F.when(c.rlike("^[=+@-]"), F.concat(F.lit("'"), c)).otherwise(c)
+    return F.when(c.rlike(f'["{separator}\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
-    def quoted(c: Column) -> Column:
-        c = F.coalesce(c.cast("string"), F.lit(""))
-        c = F.when(c.rlike("^[=+@-]"), F.concat(F.lit("'"), c)).otherwise(c)
-        return F.when(c.rlike('[";\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
-    line = F.concat_ws(";", *(quoted(c) for _, c in fields))
+def export_lines(rows: DataFrame, fields: list[tuple[str, Column]], order: Column) -> DataFrame:
+    """line and ordinal: quoted fields, guarded where a spreadsheet would see a formula."""
+    line = F.concat_ws(";", *(csv_text(c, ";") for _, c in fields))
     return rows.select(order.alias("ordinal"), line.alias("line"))
 
 
