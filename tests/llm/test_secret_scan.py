@@ -1,6 +1,7 @@
 """Secrets that no pattern tells: recall and false discoveries on keys that are planted in the driver's texts."""
 
 import random
+import re
 import string
 import time
 
@@ -89,3 +90,30 @@ def test_no_decoys_nothing_added(spark):
     docs = spark.createDataFrame([(1, "Zx8k" * 4 + "q9", None, None, None), (1, None, None, None, None)], SCHEMA)
     rows = secret_scan.find_secrets(docs).collect()
     assert [len(r.all_spans) for r in rows] == [0, 0]
+
+
+def test_decoys_are_all_words_of_whole_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("the Quick brown fox jumps over a lazy dog deadbeef".split()) + rng.choice(["", ".", "7", "/x"]) for _ in range(n)) for n in (0, 3, 40, 500, 9000)] + [None, "ab" * 8, "fade " * 30]
+    found = {(r.length, r.score): r.n for r in secret_scan.decoy_counts(table(spark, texts), F.col("text")).collect()}
+    pieces = []
+    for text in texts:
+        letters = "".join(re.findall(secret_scan.WORD, text or ""))
+        while len(letters) >= 16:
+            for n in secret_scan.CLASSES:
+                if len(letters) < n:
+                    while len(letters) >= 16:
+                        pieces, letters = [*pieces, letters[:16]], letters[16:]
+                    break
+                pieces, letters = [*pieces, letters[:n]], letters[n:]
+    scored = spark.createDataFrame([(p,) for p in pieces], "p string").select(F.length("p").alias("n"), secret_scan._battery(F.col("p")).alias("score")).groupBy("n", "score").count().collect()
+    assert found == {(secret_scan.CLASSES.index(r.n), r.score): r["count"] for r in scored}
+
+
+def test_the_end_of_a_long_text_counts(spark):
+    """Words that look random at the end of a long text are decoys too, however plain its beginning is."""
+    rng = random.Random(6)
+    plain = "aaaa " * 2000
+    odd = " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(4000))
+    counts = {t: {r.score for r in secret_scan.decoy_counts(table(spark, [t]), F.col("text")).where("length = 2").collect()} for t in (plain, plain + odd)}
+    assert min(counts[plain]) > secret_scan.REJECTED and min(counts[plain + odd]) == 0
