@@ -156,3 +156,16 @@ def test_what_is_odd_about_the_file_is_told(spark, tmp_path):
     empty = spark.createDataFrame([], STATE)
     out = screening.screen(spark, f"{tmp_path}/x.csv", profile, empty, spark.createDataFrame([], OBSERVED), f"file://{tmp_path}/out", spark.createDataFrame([], "identity_hash string, reference_type string, value string"))
     assert {(r.code, r.field) for r in out.notices.where("scope = 'DELIVERY' and severity = 'WARNING'").collect()} == {("SOURCE_BOM_REMOVED", None), ("HEADER_FIELD_SHIFTED", "S"), ("HEADER_FIELD_SHIFTED", "G")}
+
+
+def test_a_delivery_in_parts_is_one(spark, tmp_path):
+    """Parts are numbered through in order of their names, and only the first has a header."""
+    from veldmark.sources.delimited import Structure, read_delivery, write_parts
+
+    rows = spark.range(-1, 1000).select(F.col("id").alias("n"), F.when(F.col("id") < 0, "A;B").otherwise(F.concat_ws(";", F.col("id").cast("string"), F.lit("x"))).alias("value"))
+    write_parts(rows.repartition(7), "n", f"{tmp_path}/small")
+    rows.repartitionByRange(3, "n").sortWithinPartitions("n").select("value").write.text(f"{tmp_path}/in")
+    assert len(list((tmp_path / "in").glob("part-*.txt"))) == 3
+    for name in ("small", "in"):
+        got = read_delivery(spark, f"{tmp_path}/{name}", Structure(("A", "B"), in_parts=True)).select("line", "A").collect()
+        assert sorted((r.line, r.A) for r in got) == [(i + 2, str(i)) for i in range(1000)]

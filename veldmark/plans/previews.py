@@ -14,11 +14,11 @@ from veldmark.plans import adapt
 from veldmark.plans.catalog import query
 from veldmark.plans.places import folder
 from veldmark.plans.priced import AMOUNT, _part, _part_sql, _share_sql, _share_text_sql
-from veldmark.sources.delimited import Structure
+from veldmark.sources.delimited import Structure, write_parts
 
 HEADER = "SUP;GRP;REF;CODE;NAME;PRICE;SALE;SINCE"
 PROFILE = screening.Profile(
-    structure=Structure(tuple(HEADER.split(";"))),
+    structure=Structure(tuple(HEADER.split(";")), in_parts=True),
     mappings=(
         FieldMapping("supplier", "SUP"), FieldMapping("grp", "GRP"), FieldMapping("reference", "REF"), FieldMapping("discount", "CODE"), FieldMapping("description", "NAME"), FieldMapping("base_price", "PRICE", **AMOUNT),
         FieldMapping("VKP1", "SALE", **AMOUNT), FieldMapping("since", "SINCE", type="DATE"), FieldMapping("origin", default="BE"),
@@ -40,7 +40,7 @@ def screened(spark, sf: str) -> screening.Screened:
     fields = ["supplier", "grp", "reference", F.concat(F.lit(" "), code), F.concat(F.lit('"'), name, F.lit('"')), fp.amount_text(F.col("base_price")), F.coalesce(sale, F.lit("")), F.expr(SINCE)]
     rows = adapt.stage(spark, sf).select("row_number", F.concat_ws(";", *fields).alias("value"))
     header = spark.createDataFrame([(-1, HEADER)], "row_number long, value string")
-    header.unionByName(rows).coalesce(1).sortWithinPartitions("row_number").select("value").write.text(f"{path}/in")
+    write_parts(header.unionByName(rows), "row_number", f"{path}/in")
     known = adapt.state(spark, sf).withColumn("identity_hash", fp.identity(2, F.col("supplier"), F.col("grp"), F.col("reference"), code))
     known = known.withColumn("discount", code).select("identity_hash", "article_fingerprint", "price_fingerprint", "combined_fingerprint", "base_price", "currency", *PROFILE.identity)
     known.write.parquet(f"{path}/state")

@@ -13,11 +13,11 @@ from veldmark.operators import delta, prices, screening, state
 from veldmark.plans import adapt
 from veldmark.plans.catalog import query
 from veldmark.plans.places import folder
-from veldmark.sources.delimited import Structure
+from veldmark.sources.delimited import Structure, write_parts
 
 AMOUNT = {"type": "DECIMAL", "decimal_sep": "."}
 PROFILE = screening.Profile(
-    structure=Structure(("SUP", "GRP", "REF", "NAME", "PRICE", "COST", "SALE", "EAN")),
+    structure=Structure(("SUP", "GRP", "REF", "NAME", "PRICE", "COST", "SALE", "EAN"), in_parts=True),
     mappings=(
         FieldMapping("supplier", "SUP"), FieldMapping("grp", "GRP"), FieldMapping("reference", "REF"), FieldMapping("description", "NAME"), FieldMapping("base_price", "PRICE", **AMOUNT),
         FieldMapping("AKP", "COST", **AMOUNT), FieldMapping("VKP", "SALE", **AMOUNT), FieldMapping("EAN", "EAN"),
@@ -62,7 +62,7 @@ def screened(spark, sf: str) -> tuple[screening.Screened, DataFrame, DataFrame]:
     fields = ["supplier", "grp", "reference", "description", amount("base_price"), amount("AKP"), F.when(k % 17 == 0, "x1").otherwise(amount("VKP")), F.coalesce("EAN", F.lit(""))]
     rows = _delivered(spark, sf).select("row_number", F.concat_ws(";", *fields).alias("value"))
     header = spark.createDataFrame([(-1, "SUP;GRP;REF;NAME;PRICE;COST;SALE;EAN")], "row_number long, value string")
-    header.unionByName(rows).coalesce(1).sortWithinPartitions("row_number").select("value").write.text(f"{path}/in")
+    write_parts(header.unionByName(rows), "row_number", f"{path}/in")
     tables = []
     for name, rows in zip(("state", "observations", "references"), accepted(spark, sf), strict=True):
         rows.write.parquet(f"{path}/{name}")

@@ -10,10 +10,10 @@ from veldmark.operators import delta, screening, state
 from veldmark.plans import adapt
 from veldmark.plans.catalog import SHAPES, query
 from veldmark.plans.places import folder
-from veldmark.sources.delimited import Structure
+from veldmark.sources.delimited import Structure, write_parts
 
 PROFILE = screening.Profile(
-    structure=Structure(("SUP", "GRP", "REF", "NAME", "PRICE", "STATUS")),
+    structure=Structure(("SUP", "GRP", "REF", "NAME", "PRICE", "STATUS"), in_parts=True),
     mappings=(
         FieldMapping("supplier", "SUP", "PREFIX", "prefix=S", required=True), FieldMapping("grp", "GRP", required=True), FieldMapping("reference", "REF", "SPLIT", "separator=/;index=2", required=True),
         FieldMapping("description", "NAME", longest=1000), FieldMapping("base_price", "PRICE", type="DECIMAL", decimal_sep=",", grouping_sep="."), FieldMapping("currency", kind="FIXED_VALUE", settings="value=EUR"),
@@ -41,7 +41,7 @@ def _copied(offers, copies: int):
 
 
 def delivery(spark, sf: str, copies: int = 1) -> str:
-    """One file with a header, lines in order of their number."""
+    """One delivery in parts, with a header, lines in order of their number."""
     path = folder(spark, "run")
     k = F.col("row_number") % 100
     price = F.translate(F.format_number((F.col("base_price") / 1_000_000).cast("decimal(18,2)"), 2), ".,", ",.")
@@ -51,7 +51,7 @@ def delivery(spark, sf: str, copies: int = 1) -> str:
     ]
     rows = _copied(adapt.stage(spark, sf), copies).select("row_number", F.concat_ws(";", *fields).alias("value"))
     header = spark.createDataFrame([(-1, "SUP;GRP;REF;NAME;PRICE;STATUS")], "row_number long, value string")
-    header.unionByName(rows).coalesce(1).sortWithinPartitions("row_number").select("value").write.text(f"{path}/in")
+    write_parts(header.unionByName(rows), "row_number", f"{path}/in")
     return path
 
 

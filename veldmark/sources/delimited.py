@@ -23,6 +23,7 @@ class Structure:
     by_index: bool = False
     column_count: int | None = None
     max_line_length: int = 100_000
+    in_parts: bool = False  # the files at a path are parts of one, in order of their names; only the first has a header
 
 
 class DeliveryBlocked(ValueError):
@@ -33,12 +34,12 @@ class DeliveryBlocked(ValueError):
         self.code = code
 
 
-def numbered_lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """file, line (from 1) and value. Lines are numbered from counts by split, so a file is not one task."""
+def numbered_lines(spark: SparkSession, path: str, charset: str = "UTF-8", in_parts: bool = False) -> DataFrame:
+    """file, line (from 1, in its file; in_parts: in all files by name) and value. Lines are numbered from counts by split, one row each, so neither a file nor what is written in parts is one task."""
     rows = spark.read.option("encoding", charset).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
-    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.orderBy("file", "split") if in_parts else Window.partitionBy("file").orderBy("split")).rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("file", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return rows.join(starts.drop("n"), ["file", "split"]).select("file", (F.col("start") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+    return rows.join(F.broadcast(starts.drop("n")), ["file", "split"]).select("file", (F.col("start") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
 def without_bom(value: Column, line: Column) -> Column:
@@ -94,7 +95,7 @@ def read_delivery(spark: SparkSession, path: str, s: Structure, expected_records
     """The records of one delivery file, and in warnings (code, field) what is odd about its beginning; blocks on what makes the file unreadable, on a manifest that tells other numbers, and on a header that no longer has a guarded field."""
     if expected_bytes is not None and (n := byte_size(spark, path)) != expected_bytes:
         raise DeliveryBlocked("BYTE_SIZE_MISMATCH", f"{n} instead of {expected_bytes}")
-    lines = numbered_lines(spark, path, s.charset)
+    lines = numbered_lines(spark, path, s.charset, s.in_parts)
     warnings = [] if warnings is None else warnings
     first = lines.where(F.col("line") == max(1, s.header_line)).select(without_bom(F.col("value"), F.col("line")).alias("value")).head()
     if first is None:
@@ -160,6 +161,11 @@ def export_lines(rows: DataFrame, fields: list[tuple[str, Column]], order: Colum
     return rows.select(order.alias("ordinal"), line.alias("line"))
 
 
+def write_parts(lines: DataFrame, order: str, path: str) -> None:
+    """The values of lines as ordered text parts below path, which ``Structure(in_parts=True)`` reads as one delivery: no task writes it all."""
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("value").write.text(path)
+
+
 def write_export(lines: DataFrame, path: str, header: str) -> None:
     """Ordered text parts below path; the header stands in its own first part."""
     spark = lines.sparkSession
