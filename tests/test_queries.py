@@ -34,3 +34,8 @@ def test_query(spark, duck, name):
     own = [d[0] for d in found.description]
     assert sorted(own) == columns
     assert got == sorted(tuple(plain(r[own.index(c)]) for c in columns) for r in found.fetchall())
+
+
+def test_arithmetic_is_dealt_to_all_cores(spark):
+    """Few splits of a small file hold many rows that cost much."""
+    assert catalog.QUERIES["x08_x12_arithmetic"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
