@@ -39,3 +39,10 @@ def test_query(spark, duck, name):
 def test_arithmetic_is_dealt_to_all_cores(spark):
     """Few splits of a small file hold many rows that cost much."""
     assert catalog.QUERIES["x08_x12_arithmetic"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_malformed_records_are_written_small(spark, tmp_path, monkeypatch):
+    """Lines beyond the limit are nearly all of the bytes: 20 of them have 2 MB."""
+    monkeypatch.setattr("veldmark.plans.catalog.folder", lambda spark, name: f"{tmp_path}/{name}")
+    assert catalog.QUERIES["s06_s07_malformed_records"](spark, SF).agg({"too_long": "sum"}).head()[0] == 20
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 1_000_000
