@@ -46,3 +46,9 @@ def test_malformed_records_are_written_small(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("veldmark.plans.catalog.folder", lambda spark, name: f"{tmp_path}/{name}")
     assert catalog.QUERIES["s06_s07_malformed_records"](spark, SF).agg({"too_long": "sum"}).head()[0] == 20
     assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 1_000_000
+
+
+def test_freeze_sorts_lines_once(spark):
+    """Preflight, decisions and stage read the mutations that were written."""
+    plan = catalog.QUERIES["c23_sealed_freeze"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan

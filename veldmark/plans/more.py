@@ -237,6 +237,10 @@ def _(spark, sf):
     """Bundles of first quarters have all their mutations planned and freeze; the others hold undecided ones and stay open."""
     first = bundles.latest(_bundled(spark, sf), ["bundle_id", "identity_hash"], F.col("id"), F.col("l_linenumber"))
     rows = first.withColumn("batch_id", F.col("bundle_id")).withColumn("status", F.when(F.col("bundle_id").endswith("Q1"), "PLANNED").otherwise(F.col("status"))).withColumn("row_number", F.col("identity_hash")).withColumn("action", F.lit("UPDATE"))
+    # written once: preflight, decisions and stage would each sort all lines for it
+    path = folder(spark, "freeze")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     _, snapshot = publication.frozen(rows.drop("amount"), rows.limit(0), rows.select("batch_id", "row_number", "amount"))
     return snapshot.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("frozen"), F.sum("amount").cast("decimal(38,0)").alias("amount"))
 
