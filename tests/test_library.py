@@ -9,11 +9,12 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from veldmark.functions import fingerprint as fp
 from veldmark.functions.transforms import FieldMapping
 from veldmark.operators import baseline as b, issues, prices, screening
 from veldmark.sources.delimited import Structure
 from veldmark.sources.directory import Landing
-from veldmark.streaming.library import Library, follow_deliveries
+from veldmark.streaming.library import STATE, Library, follow_deliveries
 
 PAIR = {"t": b.Kept("k string, v long", ("k",)), "u": b.Kept("k string, v long", ("k",))}
 PROFILE = screening.Profile(
@@ -159,6 +160,37 @@ def test_streamed_deliveries(spark, tmp_path):
     assert tally["DUPLICATE_IDENTITY_IN_DELIVERY"]["occurrences"] == 2 and str(tally["DUPLICATE_IDENTITY_IN_DELIVERY"]["first_at"]) == "1970-01-04"
 
 
+def test_what_is_known_is_not_worked_out_again(spark, tmp_path):
+    """References are matched once a delivery, the judgement is a row, and tables that are only added to have no shuffle."""
+    folder = f"file://{tmp_path}/out"
+    refs = spark.createDataFrame([("x", "EAN", "e1")], "identity_hash string, reference_type string, value string")
+    put(tmp_path, "1.csv", lines(range(1, 4), lambda i: i), 86_400)
+    run = screening.screen(spark, f"file://{tmp_path}/1.csv", PROFILE, spark.createDataFrame([], STATE), spark.createDataFrame([], OBSERVED), folder, refs)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_foreign" not in plan(run.mutations) and "Aggregate" not in plan(run.judgement)
+    assert [(r.code, r.row_number) for r in run.issues.collect()] == [("REFERENCE_LINK_PROPOSED", 2)]
+    base = b.Baseline(spark, f"file://{tmp_path}/base", {"a": b.Kept("k string", ("k",), added=True)})
+    for n in range(3):
+        base.publish(n, {"a": spark.createDataFrame([(f"k{n}-{i}",) for i in range(9)], "k string")})
+    assert base.read("a").count() == 27 and "Aggregate" not in plan(base.read("a"))
+
+
+def test_digests_travel_as_bytes(spark):
+    digest = "0123456789abcdef" * 4
+    texts = [digest, digest.upper(), digest[:-1], f"{digest[:-1]}\n", f"{digest}\n", "", "é", "\0" * 32, None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fp.packed(F.col("t")).alias("p")).select("t", "p", fp.unpacked(F.col("p")).alias("u")).collect()
+    assert [r.u for r in got] == texts and len({bytes(r.p) for r in got if r.p is not None}) == 8 and len(got[0].p) == 32
+
+
+def test_merged_digests_and_keys_stay(spark, tmp_path):
+    kept = {"t": b.Kept("k string, d string, n long", ("k",), ("k", "d"))}
+    base = b.Baseline(spark, f"file://{tmp_path}", kept)
+    for n, rows in enumerate(([("ab" * 32, "CD" * 32, 1), ("plain", None, 2)], [("ab" * 32, "cd" * 32, 3), ("new", "", 4)])):
+        base.publish(n, {"t": spark.createDataFrame(rows, kept["t"].schema)})
+    assert len(base.manifest(2)["t"]) == 1
+    assert sorted(map(tuple, base.read("t").collect())) == [("ab" * 32, "cd" * 32, 3), ("new", "", 4), ("plain", None, 2)]
+
+
 def test_a_crash_between_any_two_writes_leaves_a_whole_version(spark, tmp_path, monkeypatch):
     (tmp_path / "in").mkdir()
     put(tmp_path / "in", "1.csv", lines(range(1, 4), lambda i: i), 86_400)

@@ -29,6 +29,16 @@ def sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def packed(digest: Column) -> Column:
+    """A digest in hex as its 32 bytes, for a shuffle; any other text as its own bytes behind 33 zero bytes, so that no two texts become one."""
+    return F.when(digest.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(digest)).otherwise(F.concat(F.lit(bytes(33)), F.encode(digest, "UTF-8")))
+
+
+def unpacked(digest: Column) -> Column:
+    """The text that was packed."""
+    return F.when(F.octet_length(digest) == 32, F.lower(F.hex(digest))).otherwise(F.decode(F.substring(digest, 34, 2**31 - 1), "UTF-8"))
+
+
 def combined(*hex_digests: Column) -> Column:
     """SHA-256 over the raw bytes of digests, one after another."""
     return F.sha2(F.concat(*(F.unhex(d) for d in hex_digests)), 256)

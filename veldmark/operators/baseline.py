@@ -8,7 +8,7 @@ publication is a compare-and-swap on the version that was read. (HDFS and object
 a rename do that in one step, as Spark's own streaming logs need it; a local disk in two, for tests.)
 
 Segments of like size are merged as they come, so a table of n rows has about log(n) of them and
-each row is rewritten about as often. Nothing is updated in place: a crash between any two writes leaves the
+each row is rewritten about as often. Tables whose rows are only ever added are read and merged without a shuffle. Nothing is updated in place: a crash between any two writes leaves the
 version before, and files that no manifest names.
 """
 
@@ -23,16 +23,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldmark.functions import fingerprint as fp
+
 #: Tables that are written at the same time.
 AT_ONCE = 4
 
 
 @dataclass(frozen=True)
 class Kept:
-    """A table of the baseline: its schema and the columns that name a row."""
+    """A table of the baseline: its schema and the columns that name a row.
+
+    digests: columns of hashes in hex, which travel as bytes when segments are merged. added: no key comes in two versions, so rows replace none.
+    """
 
     schema: str
     keys: tuple[str, ...]
+    digests: tuple[str, ...] = ()
+    added: bool = False
 
 
 class VersionTaken(RuntimeError):
@@ -74,24 +81,27 @@ class Baseline:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self._merged(table, self.manifest(self.last() if version is None else version)[table])
 
-    def _segment(self, table: str, segment: dict) -> DataFrame:
-        return self.spark.read.schema(self.tables[table].schema).parquet(f"{self.root}/{segment['path']}")
+    def _segment(self, table: str, *segments: dict) -> DataFrame:
+        return self.spark.read.schema(self.tables[table].schema).parquet(*(f"{self.root}/{s['path']}" for s in segments))
 
-    def _merged(self, table: str, segments: list[dict]) -> DataFrame:
+    def _merged(self, table: str, segments: list[dict], keyed: bool = True) -> DataFrame:
+        """The rows of segments. keyed: keys stay as they are, so that a join by them goes on with their shuffle."""
         if not segments:
             return self.spark.createDataFrame([], self.tables[table].schema)
-        first = self._segment(table, segments[0])
-        if len(segments) == 1:
-            return first
-        keys = list(self.tables[table].keys)
+        kept = self.tables[table]
+        if len(segments) == 1 or kept.added:
+            return self._segment(table, *segments)
+        first, keys = self._segment(table, segments[0]), list(kept.keys)
+        packed = [c for c in kept.digests if not (keyed and c in keys)]
         rest = [c for c in first.columns if c not in keys]
         rows = None
         for n, s in enumerate(segments):
-            own = self._segment(table, s).withColumn("__age", F.lit(n))
+            own = self._segment(table, s).withColumns({c: fp.packed(F.col(c)) for c in packed}).withColumn("__age", F.lit(n))
             rows = own if rows is None else rows.unionByName(own)
         # rows of one key: as many as there are segments, and tasks send the newest of theirs
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__age").alias("__row"))
-        return newest.select(*(F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in first.columns))
+        values = {c: F.col(c) if c in keys else F.col("__row")[c] for c in first.columns}
+        return newest.select(*((fp.unpacked(v) if c in packed else v).alias(c) for c, v in values.items()))
 
     def publish(self, base: int, changes: dict[str, DataFrame]) -> int:
         """The version after base, with new and replacing rows (one a key) of some tables; VersionTaken where it was published meanwhile."""
@@ -108,14 +118,19 @@ class Baseline:
         self._name(manifest | segments, base)
         return version
 
-    def _write(self, table: str, rows: DataFrame, version: int) -> dict:
+    def _write(self, table: str, rows: DataFrame, version: int, merged: bool = False) -> dict:
+        """A segment of rows. merged: they come from segments, so their keys were looked at before."""
         segment = {"path": f"data/{table}/{version:08d}-{uuid.uuid4().hex}", "version": version}
         kept = self.tables[table]
         types = {f.name: f.dataType for f in self.spark.createDataFrame([], kept.schema).schema}
-        rows.select(*(F.col(c).cast(t).alias(c) for c, t in types.items())).write.parquet(f"{self.root}/{segment['path']}")
+        rows.select(*(F.col(c).cast(t).alias(c) for c, t in types.items())).write.option("compression", "zstd").parquet(f"{self.root}/{segment['path']}")
         written = self._segment(table, segment)
-        n, twice = written.groupBy(*kept.keys).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 1)).head()
-        if twice:
+        if merged:
+            return segment | {"rows": written.count()}
+        # hashes of keys travel; where two are equal, the keys themselves tell
+        times = written.select(F.xxhash64(*kept.keys).alias("h")).groupBy("h").count()
+        n, suspect = times.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 1)).head()
+        if suspect and (twice := written.groupBy(*kept.keys).count().where("count > 1").count()):
             raise ValueError(f"{table}: {twice} keys come more than once")
         return segment | {"rows": n}
 
@@ -125,7 +140,7 @@ class Baseline:
         while take < len(segments) and segments[-take - 1]["rows"] <= 2 * total:
             take += 1
             total += segments[-take]["rows"]
-        return segments if take == 1 else [*segments[:-take], self._write(table, self._merged(table, segments[-take:]), version)]
+        return segments if take == 1 else [*segments[:-take], self._write(table, self._merged(table, segments[-take:], keyed=False), version, True)]
 
     def _name(self, manifest: dict, base: int) -> None:
         """The manifest comes to its number, unless that is taken."""

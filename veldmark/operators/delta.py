@@ -51,6 +51,15 @@ def hash_collisions(stage: DataFrame, parts: list[str]) -> DataFrame:
     return stage.groupBy("identity_hash").agg(unequal.alias("collides"), F.min("row_number").alias("first_row")).where("collides").drop("collides")
 
 
+def repeated_rows(stage: DataFrame, parts: list[str]) -> DataFrame:
+    """row_number of each row whose identity was delivered more than once, and collides: on the first row of a hash under which parts differ. What ``duplicate_rows`` and ``hash_collisions`` tell, from one grouping."""
+    unequal = F.lit(False)
+    for p in parts:
+        unequal = unequal | differs(F.min(p), F.max(p))
+    repeated = stage.groupBy("identity_hash").agg(F.count(F.lit(1)).alias("n_rows"), unequal.alias("unequal"), F.min("row_number").alias("first_row")).where("n_rows > 1")
+    return stage.select("identity_hash", "row_number").join(repeated, "identity_hash").select("row_number", (F.col("unequal") & (F.col("row_number") == F.col("first_row"))).alias("collides"))
+
+
 def collisions_with_state(stage: DataFrame, state: DataFrame, parts: list[str]) -> DataFrame:
     """Stage rows whose hash the state holds for other parts."""
     old = state.select("identity_hash", *(F.col(p).alias(f"old_{p}") for p in parts))

@@ -35,5 +35,13 @@ def match(refs: DataFrame, own: DataFrame, holders: DataFrame) -> DataFrame:
     return rows.select("row_number", "identity_hash", "reference_type", "value", "match_result", incident.alias("incident"), (~F.col("known") & (n_foreign == 1) & ~incident & ~empty).alias("link_proposal"))
 
 
+def found(refs: DataFrame, active: DataFrame) -> DataFrame:
+    """What of refs needs to be told: rows of ``match`` that are an incident or propose a link, and rows of ``duplicate_references`` (duplicate), each as a row of its own. active: all active references."""
+    none = F.lit(False)
+    matched = match(refs, active, active).where("incident or link_proposal").withColumn("duplicate", none)
+    twice = duplicate_references(refs).select("row_number", "identity_hash", "reference_type", "value", F.lit(None).cast("string").alias("match_result"), none.alias("incident"), none.alias("link_proposal"), F.lit(True).alias("duplicate"))
+    return matched.unionByName(twice)
+
+
 def incident_mutations(matched: DataFrame, prefix: str) -> DataFrame:
     return matched.where("incident").select(F.concat(F.lit(f"{prefix}:"), "identity_hash", F.lit(":REFERENCE:"), "reference_type").alias("idempotency_key"), "identity_hash", "row_number", F.lit("IDENTITY_REFERENCE_INCIDENT").alias("action"), F.lit("AWAITING_APPROVAL").alias("status"), F.col("match_result").alias("reason"))

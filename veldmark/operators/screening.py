@@ -207,8 +207,8 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     written = _write(routed(records, profile), _stage(folder, "routed", of_file))
     counters = judge.counters(written)
     known = state if not profile.components or "components" in state.columns else state.withColumn("components", F.lit(None).cast(parts_of.TYPE))
-    beside = delta.beside_state(normalised(written.where("route = 'VALID'"), profile), known, [*delta.STATE_COLUMNS, "components"] if profile.components else None)
-    staged = delta.change_mask(delta.classified(beside), codes=[c.code for c in profile.components])
+    beside = delta.beside_state(_packed(normalised(written.where("route = 'VALID'"), profile)), _packed(known), [*delta.STATE_COLUMNS, "components"] if profile.components else None)
+    staged = delta.change_mask(delta.classified(_unpacked(beside)), codes=[c.code for c in profile.components])
     staged = _write(staged, _stage(folder, "staged", of_state))
     # what is as it was accepted isn't judged again
     wanted = prices.values_of(staged.where("classification <> 'UNCHANGED'")).where("previous is null or previous <> amount")
@@ -216,22 +216,24 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     priced = F.coalesce(*(F.when(F.col("component_code") == c.code, c.target) for c in profile.components), F.lit("base_price"))
     found = _of_rows(written)
     found = found.unionByName(_issue(controlled.where("exceeded"), F.lit("PRICE_DEVIATION_EXCEEDED"), priced, kind=F.col("direction")))
-    duplicates = delta.duplicate_rows(staged)
-    found = found.unionByName(_issue(duplicates, F.lit("DUPLICATE_IDENTITY_IN_DELIVERY"), F.lit("reference")))
-    collisions = delta.hash_collisions(staged, list(profile.identity)).select(F.col("first_row").alias("row_number"))
+    slim = staged.select(fp.packed(F.col("identity_hash")).alias("identity_hash"), "row_number", *profile.identity)
+    codes = F.array(F.lit("DUPLICATE_IDENTITY_IN_DELIVERY"), F.when(F.col("collides"), "IDENTITY_HASH_COLLISION"))
+    repeated = delta.repeated_rows(slim, list(profile.identity)).select("row_number", F.explode(F.array_compact(codes)).alias("code"))
+    found = found.unionByName(_issue(repeated, F.col("code"), F.lit("reference")))
     if set(profile.identity) <= set(state.columns):
-        collisions = collisions.unionByName(delta.collisions_with_state(staged, state, list(profile.identity)).select("row_number"))
-    found = found.unionByName(_issue(collisions, F.lit("IDENTITY_HASH_COLLISION"), F.lit("reference")))
+        found = found.unionByName(_issue(delta.collisions_with_state(staged, state, list(profile.identity)), F.lit("IDENTITY_HASH_COLLISION"), F.lit("reference")))
     held = None
     if profile.reference_types and active_references is not None:
         refs = None
         for kind in profile.reference_types:
-            rows = staged.select("row_number", "identity_hash", F.lit(kind).alias("reference_type"), text.normalise_reference(F.col(kind)).alias("value"), F.coalesce("known", F.lit(False)).alias("known"))
+            rows = staged.select("row_number", fp.packed(F.col("identity_hash")).alias("identity_hash"), F.lit(kind).alias("reference_type"), text.normalise_reference(F.col(kind)).alias("value"), F.coalesce("known", F.lit(False)).alias("known"))
             refs = rows if refs is None else refs.unionByName(rows)
-        matched = references.match(refs, active_references, active_references)
-        held = matched.where("incident").select("row_number").unionByName(references.duplicate_references(refs).select("row_number")).distinct()
+        matched = references.found(refs, active_references.withColumn("identity_hash", fp.packed(F.col("identity_hash"))))
+        # written, as issues, counters and mutations all need it
+        matched = _write(matched.withColumn("identity_hash", fp.unpacked(F.col("identity_hash"))), _stage(folder, "matched", of_state))
+        held = matched.where("incident or duplicate").select("row_number").distinct()
         found = found.unionByName(_issue(matched.where("incident"), F.lit("IDENTITY_REFERENCE_INCIDENT"), F.col("reference_type"), kind=F.col("match_result")))
-        found = found.unionByName(_issue(references.duplicate_references(refs), F.lit("DUPLICATE_REFERENCE_IN_DELIVERY"), F.col("reference_type")))
+        found = found.unionByName(_issue(matched.where("duplicate"), F.lit("DUPLICATE_REFERENCE_IN_DELIVERY"), F.col("reference_type")))
         found = found.unionByName(_issue(matched.where("link_proposal"), F.lit("REFERENCE_LINK_PROPOSED"), F.col("reference_type")))
     found = _write(catalogued(found), _stage(folder, "issues", of_state))
     tallied, sampled = issues.tally(found), issues.samples(found)
@@ -239,6 +241,7 @@ def screen(spark: SparkSession, path: str, profile: Profile, state: DataFrame, o
     incidents = spark.range(1).select(F.lit(None if profile.reference_types else 0).cast("bigint").alias("incidents")) if held is None else held.agg(F.count(F.lit(1)).alias("incidents"))
     judgement, bulk = _judged(counters, staged, found, grouped, state, profile, incidents)
     outcome = judgement.head()
+    judgement = spark.createDataFrame([outcome], judgement.schema)  # one row, not worked out again
     bulk_price = outcome["bulk_price"]
     plan = delta.mutations(staged, outcome["creation_outcome"], prefix, held)
     plan = delta.hold_price_updates(plan, bulk_price)
@@ -323,10 +326,23 @@ def _stage(folder: str, name: str, made_of: tuple) -> str:
     return f"{folder}/{name}-{hashlib.sha256(repr(made_of).encode()).hexdigest()[:24]}"
 
 
+#: Fingerprints that travel with their rows.
+PRINTS = ("article_fingerprint", "price_fingerprint", "reference_fingerprint", "combined_fingerprint")
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows with fingerprints as bytes, for a shuffle: half as long as in hex."""
+    return rows.withColumns({c: fp.packed(F.col(c)) for c in PRINTS if c in rows.columns})
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: fp.unpacked(F.col(c)) for c in (*PRINTS, *(f"old_{p}" for p in PRINTS)) if c in rows.columns})
+
+
 def _write(rows: DataFrame, path: str) -> DataFrame:
     """The table at path, which is written only if it isn't there whole: a pass that ended half-way goes on behind its last table."""
     spark = rows.sparkSession
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -18,12 +18,12 @@ from veldmark.sources.delimited import DeliveryBlocked
 STATE = "identity_hash string, article_fingerprint string, price_fingerprint string, combined_fingerprint string, base_price decimal(24,0), currency string, components " + components.TYPE
 #: What a library keeps.
 TABLES = {
-    "state": Kept(STATE, ("identity_hash",)),
-    "latest": Kept(f"identity_hash string, component_code string, values {prices.VALUES}", ("identity_hash", "component_code")),
-    "references": Kept("reference_type string, value string, identity_hash string, since int", ("reference_type", "value", "identity_hash")),
+    "state": Kept(STATE, ("identity_hash",), ("identity_hash", "article_fingerprint", "price_fingerprint", "combined_fingerprint")),
+    "latest": Kept(f"identity_hash string, component_code string, values {prices.VALUES}", ("identity_hash", "component_code"), ("identity_hash",)),
+    "references": Kept("reference_type string, value string, identity_hash string, since int", ("reference_type", "value", "identity_hash"), added=True),
     "cases": Kept("code string, signature string, status string, revision string, event string", ("code", "signature")),
     "tallies": Kept("code string, signature string, severity string, occurrences bigint, first_row bigint, first_at date, last_at date", ("code", "signature")),
-    "mutations": Kept("idempotency_key string, identity_hash string, action string, status string, reason string, before_price decimal(24,0), after_price decimal(24,0), mask string", ("idempotency_key",)),
+    "mutations": Kept("idempotency_key string, identity_hash string, action string, status string, reason string, before_price decimal(24,0), after_price decimal(24,0), mask string", ("idempotency_key",), added=True),  # a key tells its version
     "deliveries": Kept("delivery string, name string, day date, outcome string, accepted boolean, raw bigint, valid bigint, n_mutations bigint", ("delivery",)),
 }
 
