@@ -104,6 +104,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
+#: Bytes of text for steps that hold many arrays of a text's length at once: a worker keeps the memory of its largest slice while it waits for its next task.
+SMALL = 1 << 19
+
+
 def slices(batches, text: str = "text", limit: int = 2 << 20, of_word: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Batches cut so that each has about ``limit`` bytes of text, or one document."""
     for batch in batches:

@@ -42,11 +42,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hashing import U64, mix, slices, spans_hash, windows
+from .hashing import SMALL, U64, mix, slices, spans_hash, windows
 from .repeats import answers, blocks_for, by_document, sent_by
 from .storage import HOT_SHARE, Workspace, hot_bound, left_join_hot, row_keys, whole_row_key
 
 SALTS = 32
+#: Keys that a task sends at once, at least.
+LEAST = 1 << 18
 
 
 def _need(n, percent):
@@ -102,7 +104,7 @@ def _keys(batch):
 
 def _send(k, percent):
     def produce(batches):
-        for batch, words in slices(batches):
+        for batch, words in slices(batches, limit=SMALL):
             doc, g, sizes = shingle_sets(words, k)
             rank, chosen = _prefix(sizes, percent)
             yield (*_keys(batch), doc[chosen], rank[chosen], mix(g[chosen], 8), None)  # mixed, as a prefix holds the least hashes
@@ -112,7 +114,7 @@ def _send(k, percent):
 
 def _profile(k):
     def run(batches):
-        for batch, words in slices(batches):
+        for batch, words in slices(batches, limit=SMALL):
             _, g, sizes = shingle_sets(words, k)
             yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(_names(g, sizes), pa.int64(), mask=sizes == 0)], ["k1", "k2", "doc_id", "n", "node"])
 
@@ -123,7 +125,7 @@ def _sets(k, percent):
     """Sets of the documents with enough shingles in their prefix that occur elsewhere."""
 
     def run(batches):
-        for batch, words in slices(batches):
+        for batch, words in slices(batches, limit=SMALL):
             _, g, sizes = shingle_sets(words, k)
             names, ends = _names(g, sizes), np.cumsum(sizes)
             rows = []
@@ -151,7 +153,7 @@ def _send_whole(batches):
         values, offsets = _lists_of(batch.column("members"))
         at = 0
         while at < len(names):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 18), side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + LEAST, side="right")) - 1)
             n = np.diff(offsets[at : to + 1])
             rank = np.arange(n.sum()) - np.repeat(offsets[at:to] - offsets[at], n)
             yield names[at:to], names[at:to], np.repeat(np.arange(to - at), n), rank, mix(values[offsets[at] : offsets[to]], 9), None
@@ -252,12 +254,12 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     id_type = dict(docs.dtypes)["doc_id"]
     profile = work.write(docs.mapInArrow(_profile(shingle), f"k1 long, k2 long, doc_id {id_type}, n long, node long"), "profile")
     texts = docs.select("k1", "k2", "text")
-    able = work.write(by_document(answers(sent_by(texts, _send(shingle, percent), blocks_for(n_chars // 15, partitions), False), False)), "able")
+    able = work.write(by_document(answers(sent_by(texts, _send(shingle, percent), blocks_for(n_chars // 15, partitions), False, LEAST), False)), "able")
     sets = texts.join(able, ["k1", "k2"]).mapInArrow(_sets(shingle, percent), "node long, n long, members array<long>")
     some = work.write(sets.dropDuplicates(["node"]), "sets")
     work.drop(able)
     n_members = some.agg(F.sum("n")).first()[0] or 0
-    seen = by_document(answers(sent_by(some.select("node", "members"), _send_whole, blocks_for(n_members, partitions), False), False))
+    seen = by_document(answers(sent_by(some.select("node", "members"), _send_whole, blocks_for(n_members, partitions), False, LEAST), False))
     n_seen = F.aggregate("parts", F.lit(0), lambda s, x: s + F.octet_length(x)) / 4
     enough = seen.select(F.col("k1").alias("node"), n_seen.alias("seen"))
     nodes = work.write(some.join(enough, "node").where(F.col("seen") >= _need_sql(F.col("n"), percent)), "nodes")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import slices, windows
+from .hashing import SMALL, slices, windows
 from .storage import Workspace
 
 SYMBOL = np.zeros(256, bool)
@@ -123,7 +123,7 @@ def votes(s: Statistics) -> np.ndarray:
 
 def _features(text_col: str, carry: list[str]):
     def run(batches):
-        for batch, words in slices(batches, text_col):
+        for batch, words in slices(batches, text_col, SMALL):
             s = statistics(batch, words, text_col)
             pattern = ["".join("0?1"[x and (1 if x < 0 else 2)] for x in row) for row in votes(s).tolist()]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in carry]

@@ -38,12 +38,12 @@ def blocks_for(n_keys: int, partitions: int) -> int:
 class Sender:
     """Gathers (document, position, key) and packs them by block."""
 
-    def __init__(self, blocks: int, exact: bool):
+    def __init__(self, blocks: int, exact: bool, least: int = FLUSH):
         self.blocks, self.exact = blocks, exact
         task = TaskContext.get()
         self.name = (task.partitionId() if task else 0) << 32
         self.parts: list[tuple] = []
-        self.n, self.full = 0, min(FLUSH_MOST, max(FLUSH, 16 * blocks))
+        self.n, self.full = 0, min(FLUSH_MOST, max(least, 16 * blocks))
 
     def add(self, k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, pos: np.ndarray, key: np.ndarray, low: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         """k1, k2: keys of documents; doc: index into them, for each pos and key, ascending."""
@@ -105,14 +105,15 @@ class Sender:
         return pa.RecordBatch.from_arrays(columns, names)
 
 
-def sent_by(documents: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], blocks: int, exact: bool) -> DataFrame:
-    """produce yields (k1, k2, doc, pos, key, low) for slices of documents."""
+def sent_by(documents: DataFrame, produce: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], blocks: int, exact: bool, least: int = FLUSH) -> DataFrame:
+    """produce yields (k1, k2, doc, pos, key, low) for slices of documents. least: keys that a task gathers at least before it sends rows."""
 
     def run(batches):
-        sender = Sender(blocks, exact)
+        sender = Sender(blocks, exact, least)
         for part in produce(batches):
             yield from sender.add(*part)
         yield from sender.flush()
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks, of this step and later ones
 
     return documents.mapInArrow(run, SENT)
 
@@ -127,13 +128,17 @@ def seen_twice(hi: np.ndarray, lo: np.ndarray, asked: int, exact: bool) -> np.nd
         twice[order[:-1][same]] = True
         return twice[:asked]
     width = max(10, int(np.ceil(np.log2(max(1, 4 * len(hi))))))
-    least = np.full(asked, 255, np.uint8)
-    for odd in (1, 0x9E3779B1):  # the rows of the sketch
+    nth = np.arange(len(hi), dtype=U32)
+    twice = np.ones(asked, bool)
+    for odd in (1, 0x9E3779B1):  # the rows of the sketch, whose counts end at two: a key that isn't the last of its cell is one of two
         cell = (hi * U32(odd)) >> U32(32 - width)
-        counts = np.minimum(np.bincount(cell, minlength=1 << width), 255).astype(np.uint8)
-        counts[cell[asked:]] = np.maximum(counts[cell[asked:]], 2)
-        least = np.minimum(least, counts[cell[:asked]])
-    return least >= 2
+        last = np.zeros(1 << width, U32)
+        last[cell] = nth
+        more = np.zeros(1 << width, bool)
+        more[cell[last[cell] != nth]] = True
+        more[cell[asked:]] = True
+        twice &= more[cell[:asked]]
+    return twice
 
 
 def answers(sent: DataFrame, exact: bool) -> DataFrame:
