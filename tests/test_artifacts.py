@@ -5,6 +5,7 @@ import os
 import resource
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,33 @@ def test_what_fails_leaves_nothing(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+def test_a_task_that_outlives_the_abort_leaves_nothing(tmp_path):
+    rows = pa.RecordBatch.from_pydict({"ordinal": pa.array([1, 2], pa.int64()), "line": ["a", "b"]})
+    for before in (0, 1):  # batches that the task has written when the write is aborted
+        pages = artifact.Artifact({"path": f"file://{tmp_path}/x"}).writer(None, False)
+
+        def late(pages=pages, before=before):
+            if before:
+                yield rows
+            pages.abort([])
+            yield rows.set_column(0, "ordinal", pa.array([3, 4], pa.int64()))
+
+        with pytest.raises(RuntimeError, match="ARTIFACT_ABORTED"):
+            pages.write(late())
+        with pytest.raises(RuntimeError, match="ARTIFACT_ABORTED"):
+            pages.write(iter([rows]))
+        assert os.listdir(tmp_path) == []
+
+
+def test_a_task_that_outlives_the_commit_harms_nothing(tmp_path):
+    rows = pa.RecordBatch.from_pydict({"ordinal": pa.array([1, 2], pa.int64()), "line": ["a", "b"]})
+    pages = artifact.Artifact({"path": f"file://{tmp_path}/x"}).writer(None, False)
+    pages.commit([pages.write(iter([rows]))])
+    with pytest.raises(RuntimeError, match="ARTIFACT_ABORTED"):
+        pages.write(iter([rows]))
+    assert os.listdir(tmp_path) == ["x"] and sorted(os.listdir(tmp_path / "x")) == ["_artifact.json", "page-000000"]
+
+
 def test_a_tampered_snapshot_is_refused(spark, tmp_path):
     snapshot = spark.createDataFrame([("b1", 1, 5_000_000), ("b1", 2, 7_500_000), ("b2", 3, 1)], "bundle_id string, id long, amount long")
     components = spark.createDataFrame([(1, "AKP", 50)], "id long, component_code string, percentage long")

@@ -4,11 +4,13 @@
 ``sealed`` (the hash that was promised, if any) and ``deadline`` (seconds since 1970, if any). Tasks write one page each beside the
 path and tell its range, bytes and hash. The commit puts pages in order, refuses ranges that overlap, reads the bytes once in order (one range
 in memory) and compares with what was sealed; only then the folder gets its name. What fails, comes too late or has other content is
-aborted and leaves nothing. Pages of attempts that were repeated are no part of the commit and go.
+aborted and leaves nothing: the driver makes the draft's folder with a mark in it, and a task that finds no mark (the write was aborted while it ran)
+takes its page away and fails. Pages of attempts that were repeated are no part of the commit and go.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import posixpath
@@ -27,6 +29,7 @@ from pyspark.sql.types import StructType
 from .archive import opened, ranges
 
 MANIFEST = "_artifact.json"
+OPEN = "_open"
 
 
 @dataclass
@@ -48,7 +51,9 @@ class Artifact(DataSource):
         return "ordinal bigint, line string"
 
     def writer(self, schema: StructType, overwrite: bool) -> Pages:
-        return Pages({k.lower(): v for k, v in self.options.items()})
+        pages = Pages({k.lower(): v for k, v in self.options.items()})
+        pages.begin()
+        return pages
 
 
 class Pages(DataSourceArrowWriter):
@@ -61,12 +66,30 @@ class Pages(DataSourceArrowWriter):
         if time.time() > self.deadline:
             raise TimeoutError("PUBLICATION_TIMEOUT: the attempt came too late and is aborted")
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Page:
+    def begin(self) -> None:
         files, top = opened(self.draft)
         files.create_dir(top, recursive=True)
+        files.open_output_stream(posixpath.join(top, OPEN)).close()
+
+    def _open(self, files: fs.FileSystem, top: str) -> None:
+        if files.get_file_info(posixpath.join(top, OPEN)).type == fs.FileType.NotFound:
+            raise RuntimeError(f"ARTIFACT_ABORTED: {self.path}")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Page:
+        files, top = opened(self.draft)
+        self._open(files, top)
         page = Page(f"page-{uuid.uuid4().hex}", 0, 0, 0, 0, "")
+        try:
+            self._fill(files, posixpath.join(top, page.name), page, iterator)
+            self._open(files, top)
+        except BaseException:
+            self._take_away(files, top, page.name)
+            raise
+        return page
+
+    def _fill(self, files: fs.FileSystem, path: str, page: Page, iterator: Iterator[pa.RecordBatch]) -> None:
         state = hashlib.sha256()
-        with files.open_output_stream(posixpath.join(top, page.name)) as out:
+        with files.open_output_stream(path) as out:  # makes no folder, but in stores that know none
             for batch in iterator:
                 self._in_time()
                 if not batch.num_rows:
@@ -82,7 +105,13 @@ class Pages(DataSourceArrowWriter):
                 out.write(part)
                 page.bytes += len(part)
         page.sha256 = state.hexdigest()
-        return page
+
+    def _take_away(self, files: fs.FileSystem, top: str, name: str) -> None:
+        """The page, and the draft's folder where an abort has gone before."""
+        if files.get_file_info(posixpath.join(top, name)).type != fs.FileType.NotFound:
+            files.delete_file(posixpath.join(top, name))
+        if files.get_file_info(posixpath.join(top, OPEN)).type == fs.FileType.NotFound:
+            self.abort([])
 
     def commit(self, messages: list[Page | None]) -> None:
         self._in_time()
@@ -95,7 +124,7 @@ class Pages(DataSourceArrowWriter):
         if files.get_file_info(final).type != fs.FileType.NotFound:
             raise FileExistsError(f"ARTIFACT_EXISTS: {self.path}")
         files.create_dir(top, recursive=True)
-        keep = {p.name for p in pages}
+        keep = {OPEN, *(p.name for p in pages)}  # without the mark, an attempt that still runs would take this for an abort
         for left in files.get_file_info(fs.FileSelector(top)):  # of attempts that were repeated, and empty ones
             if left.base_name not in keep:
                 files.delete_file(left.path)
@@ -112,11 +141,22 @@ class Pages(DataSourceArrowWriter):
             out.write(json.dumps(told).encode())
         self._in_time()
         files.move(top, final)
+        with contextlib.suppress(OSError):  # published already
+            files.delete_file(posixpath.join(final, OPEN))
 
     def abort(self, messages: list[Page | None]) -> None:
         files, top = opened(self.draft)
-        if files.get_file_info(top).type != fs.FileType.NotFound:
-            files.delete_dir(top)
+        for left in reversed(range(10)):  # a task that still runs may add its page meanwhile, or take it away
+            try:
+                if files.get_file_info(top).type == fs.FileType.NotFound:
+                    return
+                if files.get_file_info(posixpath.join(top, OPEN)).type != fs.FileType.NotFound:
+                    files.delete_file(posixpath.join(top, OPEN))
+                files.delete_dir(top)
+            except OSError:
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 def write_artifact(lines: DataFrame, path: str, sealed: str | None = None, seconds: float | None = None) -> dict:
