@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from veldmark.llm import jaccard_join, repeats
+from veldmark.llm import jaccard_join, repeats, storage
 from veldmark.llm.quality_rules import _features
 
 
@@ -48,3 +48,11 @@ def test_a_block_of_keys_is_counted_in_little_memory():
     twice = n[of[:asked]] > 1
     twice |= np.isin(keys[:asked], keys[asked:])  # later keys count as two
     assert not (twice & ~got[0]).any() and (got[0] & ~twice).mean() < 0.05
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    texts = spark.range(2_000).selectExpr("id", "repeat('word ', 1000) AS text").coalesce(1)  # 10 MB
+    before = spark.conf.get(storage.BATCH)
+    told = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    largest = storage.Workspace(spark, "test").write(told, "told", storage.SMALL_BATCH).agg({"n": "max"}).head()[0]
+    assert largest < 4e6 and spark.conf.get(storage.BATCH) == before

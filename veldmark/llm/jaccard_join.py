@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .hashing import SMALL, U64, mix, slices, spans_hash, windows
 from .repeats import answers, blocks_for, by_document, sent_by
-from .storage import HOT_SHARE, Workspace, hot_bound, left_join_hot, row_keys, whole_row_key
+from .storage import HOT_SHARE, SMALL_BATCH, Workspace, hot_bound, left_join_hot, row_keys, whole_row_key
 
 SALTS = 32
 #: Keys that a task sends at once, at least.
@@ -252,17 +252,17 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     id_type = dict(docs.dtypes)["doc_id"]
-    profile = work.write(docs.mapInArrow(_profile(shingle), f"k1 long, k2 long, doc_id {id_type}, n long, node long"), "profile")
+    profile = work.write(docs.mapInArrow(_profile(shingle), f"k1 long, k2 long, doc_id {id_type}, n long, node long"), "profile", SMALL_BATCH)
     texts = docs.select("k1", "k2", "text")
-    able = work.write(by_document(answers(sent_by(texts, _send(shingle, percent), blocks_for(n_chars // 15, partitions), False, LEAST), False)), "able")
+    able = work.write(by_document(answers(sent_by(texts, _send(shingle, percent), blocks_for(n_chars // 15, partitions), False, LEAST), False)), "able", SMALL_BATCH)
     sets = texts.join(able, ["k1", "k2"]).mapInArrow(_sets(shingle, percent), "node long, n long, members array<long>")
-    some = work.write(sets.dropDuplicates(["node"]), "sets")
+    some = work.write(sets.dropDuplicates(["node"]), "sets", SMALL_BATCH)
     work.drop(able)
     n_members = some.agg(F.sum("n")).first()[0] or 0
     seen = by_document(answers(sent_by(some.select("node", "members"), _send_whole, blocks_for(n_members, partitions), False, LEAST), False))
     n_seen = F.aggregate("parts", F.lit(0), lambda s, x: s + F.octet_length(x)) / 4
     enough = seen.select(F.col("k1").alias("node"), n_seen.alias("seen"))
-    nodes = work.write(some.join(enough, "node").where(F.col("seen") >= _need_sql(F.col("n"), percent)), "nodes")
+    nodes = work.write(some.join(enough, "node").where(F.col("seen") >= _need_sql(F.col("n"), percent)), "nodes", SMALL_BATCH)
     work.drop(some)
     shingles = nodes.select("node", "n", F.explode("members").alias("h"))
     df = shingles.groupBy("h").agg(F.count("*").alias("df")).where("df >= 2")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import SMALL, slices, windows
-from .storage import Workspace
+from .storage import SMALL_BATCH, Workspace
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -187,7 +187,7 @@ def posteriors(features_of: DataFrame) -> DataFrame:
 def score_quality(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the counts, votes, quality_posterior, base_failed and kept."""
     work = Workspace(documents.sparkSession, "quality-rules")
-    table = work.write(features(documents, text_col, [id_col]).withColumnRenamed(id_col, "doc_id"), "features")
+    table = work.write(features(documents, text_col, [id_col]).withColumnRenamed(id_col, "doc_id"), "features", SMALL_BATCH)
     return judged(table, posteriors(table))
 
 
@@ -196,7 +196,7 @@ def keep_good(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
     own = documents.columns
     renamed = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)))
     work = Workspace(documents.sparkSession, "quality-rules")
-    table = work.write(features(renamed, f"c{own.index(text_col)}", renamed.columns), "features")
+    table = work.write(features(renamed, f"c{own.index(text_col)}", renamed.columns), "features", SMALL_BATCH)
     return judged(table, posteriors(table)).where("kept").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
 
 

@@ -21,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: For texts, whose batches of 10,000 rows a worker would hold beside its arrays.
+SMALL_BATCH = "2m"
+
+
 class Workspace:
     """Written tables of one operator call: they cut lineage and survive lost executors."""
 
@@ -33,9 +38,17 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
-    def write(self, df: DataFrame, label: str) -> DataFrame:
+    def write(self, df: DataFrame, label: str, batch: str | None = None) -> DataFrame:
+        """batch: how much goes to Python at once, instead of what the session says."""
         path = self.path(label)
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(BATCH, None)
+        if batch:
+            self.spark.conf.set(BATCH, batch)
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if batch:
+                self.spark.conf.unset(BATCH) if before is None else self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._veldmark_path = path
         return out
